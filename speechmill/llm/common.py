@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import workers_find_package
+
 #: ASCII white space that separates words, and the same as a Java and RE2 class.
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 WHITE_CLASS = r"[\x20\x09-\x0D]"
@@ -20,6 +22,7 @@ UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    workers_find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -52,8 +52,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, block_groups: int = B
 
     # A group above BIG of a shard: at most 3 * shards / BIG of them, as each dimension has room for shards / BIG.
     big = groups.withColumn("_load", load).filter(F.col("_load") > BIG).toPandas().sort_values(key, kind="stable")
-    pieces = np.ceil(big["_load"].to_numpy() / SPLIT).astype(int) if len(big) else np.zeros(0, int)
-    size_of = np.repeat(big[dims].to_numpy(float) / np.maximum(pieces, 1)[:, None], pieces, axis=0) if len(big) else np.zeros((0, 3))
+    rows = big["rows"].to_numpy(int)
+    pieces = np.minimum(rows, np.ceil(big["_load"].to_numpy(float) / SPLIT).astype(int))
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    in_piece = -((nth - np.repeat(rows, pieces)) // np.repeat(pieces, pieces))  # rows of which the number modulo pieces is nth
+    size_of = np.repeat(big[dims].to_numpy(float) / rows[:, None], pieces, axis=0) * in_piece[:, None]
     placed, left = pack(size_of, np.tile(scale, (shards, 1)), scale)
     ends = np.cumsum(pieces)
     plan = [(*map(int, k), int(p), placed[e - p : e].tolist()) for k, p, e in zip(big[key].itertuples(index=False), pieces, ends, strict=True)]
@@ -72,23 +75,29 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, block_groups: int = B
 
     homes = small.groupBy("_block").applyInPandas(pack_block, "_hash long, text_crc32 long, size long, _shard int")
     marked = narrow.join(plan, key, "left")
-    piece = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("_pieces")).cast("int")
-    hot = marked.filter("_pieces is not null").withColumn("_shard", F.get("_shards", piece))
+    hot = numbered(marked.filter("_pieces is not null"), key, blocks, ["doc_id"])
+    hot = hot.withColumn("_shard", F.get("_shards", (F.col("_number") % F.col("_pieces")).cast("int")))
     cold = marked.filter("_pieces is null").join(homes, key)
     all_rows = cold.select("doc_id", "size", "text_crc32", "_shard").unionByName(hot.select("doc_id", "size", "text_crc32", "_shard"))
     return with_slots(all_rows, blocks)
 
 
+def numbered(rows: DataFrame, group: list[str], parts: int, order: list[str]) -> DataFrame:
+    """Adds ``_number``, from 0 without gaps in each group: by hash part of the group, then by ``order``.
+
+    Parts are numbered on their own and moved on by the counts of those before, so no task sorts a whole group.
+    """
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    counts = rows.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*group, "_part").orderBy(*order)
+    numbers = rows.withColumn("_at", F.row_number().over(inside) - 1).join(offsets, [*group, "_part"])
+    return numbers.withColumn("_number", F.col("_offset") + F.col("_at"))
+
+
 def with_slots(rows: DataFrame, parts: int) -> DataFrame:
-    """Numbers each shard's rows from 0: by part of the shard, then by doc_id; no task sorts a whole shard."""
-    parts = max(1, parts)
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(parts)).cast("int"))
-    counts = rows.groupBy("_shard", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_shard", "_part").orderBy("doc_id", "size", "text_crc32")
-    numbered = rows.withColumn("_at", F.row_number().over(inside) - 1).join(offsets, ["_shard", "_part"])
-    return numbered.select(
+    return numbered(rows, ["_shard"], parts, ["doc_id", "size", "text_crc32"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("_shard").cast("int").alias("shard"),
-        (F.col("_offset") + F.col("_at")).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        F.col("_number").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
