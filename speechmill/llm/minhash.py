@@ -5,9 +5,9 @@ k-th coordinate is the least rank among the shingles' places, each moved on by k
 class, and only classes are banded. Classes that share a band are candidates.
 
 A band can hold very many classes, so pairs within it are not all emitted. First every class is compared with its
-band's leader. As long as a band still holds several components, other leaders are drawn, and once few pairs are
-left between components, or leaders join no more, those left are all compared. Pairs inside a component need no
-comparison. Each link is confirmed on full sets: 100 * intersection >= percent * union.
+band's least one. Where a band still holds several components, classes with too many shingles of their own to be
+like any other are done with, and the others are compared with leaders that have the fewest such. Of what is left,
+pairs between components are all compared; pairs inside a component need no comparison. Each link is confirmed on full sets: 100 * intersection >= percent * union.
 
 With 40 bands of 6 coordinates a pair at similarity 0.8 misses all bands once in 190,000.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, checkpointed, materialize, slices, text_or_empty, utf8_values
 
 BANDS, BAND_ROWS, RING = 40, 6, 1 << 20
-LEADER_ROUNDS, PAIRS_PER_ROW = 6, 4
+LEADERS = 4
 _P = np.uint64(0x9E3779B185EBCA87)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _ring: np.ndarray | None = None
@@ -98,6 +98,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", common.alias("_i"), (F.size("ha") + F.size("hb") - common).alias("_u")).filter(100 * F.col("_i") >= percent * F.col("_u")).select("a", "b")
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The bands that hold more than one label."""
+    return rows.groupBy("band").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("band")
+
+
+def _shared(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, alone): shingles that no other node of ``rows`` has; without nodes that have too many to be like any other."""
+    held = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
+    held = checkpointed(held)
+    single = held.groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1")
+    alone = single.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = held.select("node", "n").distinct().join(alone, "node", "left").select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
+    return sizes.filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")).select("node", "alone")
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label): label is the least node that ``links`` (a, b) reach. Least labels spread, and labels follow labels."""
     labels = checkpointed(nodes.select("node", F.col("node").alias("label")))
@@ -130,42 +145,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets = bodies.mapInArrow(lambda b: _sets(b, width), "node long, hashes array<long>").join(nodes, "node", "left_semi")
     sets = materialize(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "minhash-sets")
 
-    links, labels, tried = None, nodes.select("node", F.col("node").alias("label")), None
-    like = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    a_first = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    for turn in range(LEADER_ROUNDS + 1):
-        open_rows = banded.join(labels, "node")
-        if turn:
-            by_label = open_rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"))
-            mixed = by_label.groupBy("band").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-            mixed = checkpointed(mixed)
-            left = mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs"), F.sum("all").alias("rows")).first()
-            if not left.pairs:
-                break
-            open_rows = checkpointed(open_rows.join(mixed.select("band"), "band"))
-            every = turn == LEADER_ROUNDS or left.pairs <= PAIRS_PER_ROW * left.rows or not joined
+    common = F.least("sa", "sb")  # no more shingles than this can be in both
+    like = 100 * common >= percent * (F.col("na") + F.col("nb") - common)
+    links = labels = tried = lone = None
+    for turn in ("first", "central", "all"):
+        rows = banded if labels is None else banded.join(labels, "node")
+        if labels is not None:
+            if lone is None:
+                rows = rows.join(_mixed(rows), "band")
+                lone = checkpointed(_shared(rows, sets, percent))
+                rows = banded.join(labels, "node")
+            rows = rows.join(lone, "node")
+            rows = checkpointed(rows.join(_mixed(rows), "band").withColumn("s", F.col("n") - F.col("alone")))
         else:
-            every = False
-        one = open_rows.select("band", F.col("node").alias("x"), F.col("n").alias("na"), F.col("label").alias("lx"))
-        if every:
-            two = open_rows.select("band", F.col("node").alias("y"), F.col("n").alias("nb"), F.col("label").alias("ly"))
-            pairs = one.join(two, "band").filter((F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")))
+            rows = rows.withColumns({"s": F.col("n"), "label": F.col("node"), "alone": F.lit(0)})
+        x = rows.select("band", F.col("node").alias("x"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("label").alias("lx"))
+        if turn == "first":
+            y = rows.groupBy("band").agg(F.min(F.struct("alone", "node", "n", "s", "label")).alias("t"))
+        elif turn == "central":
+            y = rows.groupBy("band", F.pmod("node", F.lit(LEADERS)).alias("_k")).agg(F.min(F.struct("alone", "node", "n", "s", "label")).alias("t"))
         else:
-            draw = F.col("node") if not turn else F.xxhash64("node", F.lit(turn))
-            leader = open_rows.groupBy("band").agg(F.min(F.struct(draw.alias("d"), "node", "n", "label")).alias("t"))
-            pairs = one.join(leader.select("band", F.col("t.node").alias("y"), F.col("t.n").alias("nb"), F.col("t.label").alias("ly")), "band").filter((F.col("x") != F.col("y")) & ((F.col("lx") != F.col("ly")) | F.lit(turn == 0)))
-        pairs = pairs.filter(like).select(*a_first).distinct()
+            y = rows.select("band", F.struct("node", "n", "s", "label").alias("t"))
+        y = y.select("band", F.col("t.node").alias("y"), F.col("t.n").alias("nb"), F.col("t.s").alias("sb"), F.col("t.label").alias("ly"))
+        pairs = x.join(y, "band").filter((F.col("lx") != F.col("ly")) & like)
+        if turn == "all":
+            pairs = pairs.filter("x < y")
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        good = checkpointed(_verified(pairs, sets, percent))
-        joined = not good.isEmpty()
+        tried = checkpointed(pairs)
+        good = checkpointed(_verified(tried, sets, percent))
         links = good if links is None else links.unionByName(good)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if joined:
+        if labels is None or not good.isEmpty():
             labels = components(nodes, links)
-        if every:
-            break
 
     heads = classes.join(labels, "node", "left").select("node", "low", "first", F.coalesce("label", "node").alias("label"))
     least = heads.groupBy("label").agg(F.min("first").alias("component_id"))
