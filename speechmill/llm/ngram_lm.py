@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,7 +156,7 @@ def _answer(table: pa.Table) -> pa.Table:
     bucket = table.column("bucket")[0].as_py()
     stats = np.zeros((3, CLASSES))
     for kind in (0, 1):
-        part = table.filter(pa.compute.equal(table.column("kind"), kind))
+        part = table.filter(pc.equal(table.column("kind"), kind))
         if not part.num_rows:
             continue
         part = part.sort_by("chunk")
@@ -222,7 +223,7 @@ def _score(buckets: int, n_chunks: int):
         words, pairs = np.zeros(len(chunk.word_hash), np.int64), np.zeros(len(chunk.distinct), np.int64)
         answers = answers.sort_by("bucket")
         for kind, order, target in ((0, chunk.word_order, words), (1, chunk.pair_order, pairs)):
-            part = answers.filter(pa.compute.equal(answers.column("kind"), kind))
+            part = answers.filter(pc.equal(answers.column("kind"), kind))
             target[order] = np.concatenate([_wide(x) for x in part.column("counts").to_pylist()])
         model = Automaton(chunk, words, pairs, stats, n_chunks)
         starts = np.cumsum(chunk.sizes) - chunk.sizes
