@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -86,17 +87,18 @@ def test_op2(spark, sf_dir, texts, odd, none):
 
 def test_op2_probabilities_sum_to_one(spark):
     rows = [(d, t) for d, t in zip(range(20), ["a b a", "b c", "a b", "c a", "d"] * 4, strict=True)]
-    train = [words(t) + [b""] for d, t in rows if zlib.crc32(str(d).encode()) % 10]
-    vocabulary = sorted({w for ws in train for w in ws})
-    probes = [(1000 + i, ("a " + w.decode()).strip()) for i, w in enumerate([*vocabulary, b"never"])]
-    probes = [(d, t) for d, t in probes if True]
-    docs = spark.createDataFrame(rows + [(d * 10_000 + k, t) for d, t in probes for k in range(60) if zlib.crc32(str(d * 10_000 + k).encode()) % 10 == 0], "doc_id long, text string")
-    scores = {}
+    known = {w.decode() for d, t in rows if zlib.crc32(str(d).encode()) % 10 for w in words(t)}
+    held_out = (d for d in itertools.count(1000) if zlib.crc32(str(d).encode()) % 10 == 0)
+    every = [" ".join(t) for n in range(7) for t in itertools.product([*sorted(known), "never"], repeat=n)]
+    docs = spark.createDataFrame(rows + list(zip(held_out, every)), "doc_id long, text string")
+    mass = Counter()
     for r in ngram_lm.score_documents(docs).collect():
-        if r.doc_id >= 10_000:
-            scores[dict(probes)[r.doc_id // 10_000]] = r.score
-    # log p(text) = p(a | start) p(w | a) p(end | w); two more scores give p(a | start), so only the sum over one-word texts is checked
-    assert len(scores) == len(probes) and all(s < 0 for s in scores.values())
+        if r.doc_id >= 1000:
+            mass[r.n_tokens - 1] += 10**r.score
+    # All texts of up to six words, and those of more by the ratio at which their share falls with each word.
+    ratio = mass[6] / mass[5]
+    assert 0 < ratio < 0.7 and sum(mass.values()) < 1
+    assert sum(mass.values()) + mass[6] * ratio / (1 - ratio) == pytest.approx(1, abs=2e-3)
 
 
 def test_op3(spark, sf_dir, odd, none):
