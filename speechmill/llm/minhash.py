@@ -15,6 +15,7 @@ With 40 bands of 6 coordinates a pair at similarity 0.8 misses all bands once in
 
 Defined cases: null texts and texts without words are linked with nothing; fewer words than a shingle make one
 shingle; rows that share a doc_id are documents of their own; a null doc_id is no candidate for the smallest one.
+Where one row of each component stays, a row is its doc_id, its text and its number among rows that share both.
 """
 
 from __future__ import annotations
@@ -65,6 +66,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches, width: int):
+    """Size, class and bands of each text, after the columns that are not the text."""
     for batch in slices(batches, 500):
         sizes, high, low, bands = [], [], [], []
         for text in utf8_values(batch.column("text")):
@@ -79,7 +81,8 @@ def _signed(batches, width: int):
                 bands.append([xxhash.xxh3_64_intdigest(raw[b * step : (b + 1) * step], b) - (1 << 63) for b in range(BANDS)])
             else:
                 bands.append([])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "high", "low", "bands"])
+        carried = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], [*carried, "n_shingles", "high", "low", "bands"])
 
 
 def _node(hashes: np.ndarray) -> tuple[int, int]:
@@ -136,10 +139,10 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and the class of equal sets (high, low), for every row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    signed = materialize(docs.mapInArrow(lambda b: _signed(b, width), "doc_id long, n_shingles long, high long, low long, bands array<long>"), "minhash-signed")
+def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` (doc_id, text and long columns) with their classes, and (node, low, first, label) of each class."""
+    carried = ", ".join(f"{c} long" for c in docs.columns if c != "text")
+    signed = materialize(docs.mapInArrow(lambda b: _signed(b, width), f"{carried}, n_shingles long, high long, low long, bands array<long>"), "minhash-signed")
     classes = signed.filter("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes.withColumnRenamed("high", "node"), "minhash-classes")
 
@@ -188,7 +191,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if labels is None or not good.isEmpty():
             labels = components(nodes, links)
 
-    heads = classes.join(labels, "node", "left").select("node", "low", "first", F.coalesce("label", "node").alias("label"))
+    return signed, classes.join(labels, "node", "left").select("node", "low", "first", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, and the class of equal sets (high, low), for every row of ``docs``."""
+    signed, heads = _labelled(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")), width, percent)
     least = heads.groupBy("label").agg(F.min("first").alias("component_id"))
     homes = heads.join(least, "label").select(F.col("node").alias("high"), "low", "component_id")
     rows = signed.select("doc_id", "n_shingles", "high", "low").join(homes, ["high", "low"], "left")
@@ -197,9 +205,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """All columns of the rows that stay: those without words, and of each component one row of its least doc_id.
+    """All columns of the rows that stay: those without words, and of each component its least row.
 
-    Which of several equal rows or of several texts under that doc_id stays is settled by the text's hash.
+    Rows are ordered by doc_id, nulls last, then by two hashes of the text (128 bits), and rows that share all of these
+    by their columns as JSON. Only the latter are brought together as whole rows, and combined before they are shuffled.
     """
-    found = near_duplicates(docs, width, percent).filter("n_shingles > 0 and not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col("doc_id").cast("bigint").eqNullSafe(found["_gone"]), "left_anti")
+    key = {"_id": F.col("doc_id").cast("bigint"), "_t": F.xxhash64(text_or_empty()), "_u": F.xxhash64(F.lit(1), text_or_empty())}
+    signed, heads = _labelled(docs.select(key["_id"].alias("doc_id"), key["_t"].alias("_t"), key["_u"].alias("_u"), text_or_empty().alias("text")), width, percent)
+    rows = signed.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), "_t", "_u", "high", "low").agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.join(heads.select(F.col("node").alias("high"), "low", "label"), ["high", "low"]).select("label", F.col("_id").isNull().alias("_null"), "_id", "_t", "_u", "_n")
+    rows = checkpointed(rows)
+    least = rows.groupBy("label").agg(F.min(F.struct("_null", "_id", "_t", "_u", "_n")).alias("s")).select("s.*")
+    single = checkpointed(least.filter("_n = 1"))
+    several = checkpointed(least.filter("_n > 1"))
+
+    def same(left, right: DataFrame):
+        return left["_id"].eqNullSafe(right["_id"]) & (left["_t"] == right["_t"]) & (left["_u"] == right["_u"])
+
+    aside = rows.join(single, same(rows, single), "left_anti").select("_id", "_t", "_u")
+    stay = docs.join(aside, same(key, aside), "left_anti")
+    if several.isEmpty():
+        return stay
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = docs.select(whole.alias("_row"), *[v.alias(k) for k, v in key.items()])
+    again = again.join(several, same(again, several), "left_semi").groupBy("_id", "_t", "_u").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return stay.unionByName(again.select("_row.*"))

@@ -169,6 +169,24 @@ def test_op5_large_groups(spark, odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_pipeline_keeps_one_row_of_each_component(spark, odd, none):
+    long = lambda k, *more: " ".join([f"{k}{i}" for i in range(60)] + list(more))
+    rows = [
+        (1, long("a"), "s"), (2, long("a", "end"), "s"), (2, long("b"), "s"),  # the clean text of a shared id stays
+        (3, long("c"), "s"), (3, long("c"), "s"), (3, long("c"), "t"),  # repeated rows
+        (4, long("d"), "s"), (None, long("d", "end"), "s"), (None, "alone and unique", "s"), (None, None, "s"), (None, " ", "s"),
+        (None, long("e"), "s"), (None, long("e"), "s"), (None, long("e", "end"), "s"),  # near copies without any id
+        (5, long("f"), "s"), (5, long("f", "end"), "s"),  # near copies under one id
+    ]
+    got = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    kept = Counter((r.doc_id, (r.text or "").split()[0] if (r.text or "").split() else r.text) for r in got)
+    assert kept == Counter([(1, "a0"), (2, "b0"), (3, "c0"), (4, "d0"), (None, "alone"), (None, None), (None, " "), (None, "e0"), (5, "f0")])
+    assert [r.source for r in got if r.doc_id == 3] == ["s"]
+    # Of the odd table's three rows with the same two words one stays; wordless rows stay.
+    assert sorted(str(r.doc_id) for r in minhash.one_of_each(odd).collect()) == ["1", "2", "3", "4", "6", "7"]
+    assert minhash.one_of_each(none).count() == 0
+
+
 def test_op6(spark, tmp_path):
     counts = {"w": F.regexp_count("text", F.lit(r"\S+"))}
     ledger = rollup.TokenRollup(spark, f"file://{tmp_path}/r", counts)
