@@ -2,14 +2,16 @@
 
 Documents are dealt into chunks of about ``chunk_bytes``. Each chunk asks, once per distinct word and word pair, for
 its training count; requests go to buckets by hash, so a word that makes up a third of all tokens is one row per
-chunk. A bucket sums what the chunks counted and answers each of them in the order of its request. A chunk then
-builds the part of the automaton that its documents can reach and traverses them.
+chunk. A bucket sums what the chunks counted and answers each of them in the order of its request, which depends on
+the keys alone. A pair seen once is known to the one chunk that counted it, which adds it to the size class of its
+first word's whole count. With these sums a chunk builds the part of the automaton that its documents can reach and
+traverses them.
 
 The model: state "v" has an arc for each word w seen after v, and a failure arc to the root, which has an arc for
 each known word and one for all unknown words.
     root:  p(w) = (c(w) - d) / N,  p(unknown) = d V / N,  d from the counts of words seen once and twice
     v:     p(w | v) = (1 - g) c(v,w) / c(v) + g p(w);  failure arc: g
-    g, by the size class of c(v), is the share of words that follow such a v for the first time.
+    g, by the size class of c(v) over all training data, is the share of tokens after such a v whose pair is seen once.
 Every state's probabilities sum to 1. An unseen v has no state: after it the traversal stands at the root.
 
 Memory: one chunk or one bucket in a task; both numbers grow with the text. Only a few sums for each size class are
@@ -39,8 +41,9 @@ START_HASH = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 PAIR_BITS = np.uint64((1 << 40) - 1)
 
-REQUESTS = "bucket int, chunk int, kind int, n long, keys binary, counts binary, classes binary"
+REQUESTS = "bucket int, chunk int, kind int, n long, keys binary, counts binary"
 ANSWERS = "chunk int, bucket int, kind int, n long, counts binary, stats array<double>"
+SINGLES = "singles array<double>"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -92,18 +95,30 @@ class Chunk:
         from_hash = np.concatenate([[START_HASH], word_hash])[(self.distinct >> np.uint64(32)).astype(np.int64)]
         key = _mixed(from_hash, word_hash[(self.distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)])
         pair_bucket = (key >> np.uint64(40)) % np.uint64(buckets)
-        self.pair_order = np.argsort(pair_bucket, kind="stable")
+        self.pair_order = np.argsort(pair_bucket << np.uint64(40) | key & PAIR_BITS, kind="stable")  # not by number: rows come in any order
         self.pair_key, self.pair_bucket = (key & PAIR_BITS)[self.pair_order], pair_bucket[self.pair_order]
 
     def requests(self, trains: np.ndarray) -> Iterator[tuple]:
         counted = np.repeat(trains, self.sizes)
         words = np.bincount(self.tokens[counted], minlength=len(self.word_hash))
         pairs = np.bincount(self.pair_at[counted], minlength=len(self.distinct))
-        n_from = np.bincount(self.before[counted], minlength=len(self.word_hash) + 1)
-        classes = _size_class(n_from[(self.distinct >> np.uint64(32)).astype(np.int64)])[self.pair_order]
         for kind, bucket, key, count in ((0, self.word_bucket, self.word_hash, words[self.word_order]), (1, self.pair_bucket, self.pair_key, pairs[self.pair_order])):
             for b, lo, hi in _runs(bucket):
-                yield b, kind, hi - lo, _packed(key[lo:hi], 5 if kind else 8), _narrow(count[lo:hi]), classes[lo:hi].tobytes() if kind else b""
+                yield b, kind, hi - lo, _packed(key[lo:hi], 5 if kind else 8), _narrow(count[lo:hi])
+
+    def answered(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of all words and all pairs over the whole training part."""
+        words, pairs = np.zeros(len(self.word_hash), np.int64), np.zeros(len(self.distinct), np.int64)
+        answers = answers.sort_by("bucket")
+        for kind, order, target in ((0, self.word_order, words), (1, self.pair_order, pairs)):
+            part = answers.filter(pc.equal(answers.column("kind"), kind))
+            target[order] = np.concatenate([_wide(x) for x in part.column("counts").to_pylist()])
+        return words, pairs
+
+
+def _histories(c_word: np.ndarray) -> np.ndarray:
+    """How often the start and each word are followed by another; the start is as often as the end is seen."""
+    return np.concatenate([c_word[:1], c_word])
 
 
 def _size_class(counts: np.ndarray) -> np.ndarray:
@@ -141,10 +156,9 @@ def _ask(buckets: int):
     def ask(table: pa.Table) -> pa.Table:
         number = table.column("chunk")[0].as_py()
         chunk = Chunk(table, buckets)
-        trains = ~np.array(table.column("held_out").to_pylist(), bool)
-        rows = [(b, number, *rest) for b, *rest in chunk.requests(trains)]
-        names = ["bucket", "chunk", "kind", "n", "keys", "counts", "classes"]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        rows = [(b, number, *rest) for b, *rest in chunk.requests(_trains(table))]
+        names = ["bucket", "chunk", "kind", "n", "keys", "counts"]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
     return ask
@@ -154,7 +168,7 @@ def _answer(table: pa.Table) -> pa.Table:
     """Sums one bucket's requests, answers each of them, and adds one row of statistics (chunk -1)."""
     out = []
     bucket = table.column("bucket")[0].as_py()
-    stats = np.zeros((3, CLASSES))
+    stats = np.zeros((2, CLASSES))
     for kind in (0, 1):
         part = table.filter(pc.equal(table.column("kind"), kind))
         if not part.num_rows:
@@ -165,13 +179,9 @@ def _answer(table: pa.Table) -> pa.Table:
         _, at = np.unique(keys, return_inverse=True)
         del keys
         total = np.bincount(at, weights=counts).astype(np.int64)
-        if kind:
-            size = np.zeros(len(total), np.uint8)
-            np.maximum.at(size, at, np.frombuffer(b"".join(part.column("classes").to_pylist()), np.uint8))
-            stats[1] = np.bincount(size, weights=total, minlength=CLASSES)
-            stats[2] = np.bincount(size[total == 1], minlength=CLASSES)
-        else:
+        if not kind:
             stats[0, :4] = total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()
+            stats[1] = np.bincount(_size_class(total), weights=total, minlength=CLASSES)  # the end's count stands for the start's
         found, lo = total[at], 0
         for number, n in zip(part.column("chunk").to_pylist(), part.column("n").to_pylist(), strict=True):
             out.append((number, bucket, kind, n, _narrow(found[lo : lo + n]), None))
@@ -185,8 +195,8 @@ def _answer(table: pa.Table) -> pa.Table:
 class Automaton:
     """States with weighted arcs, as arrays: root arcs by word, arcs of other states by pair, failure weights by state."""
 
-    def __init__(self, chunk: Chunk, c_word: np.ndarray, c_pair: np.ndarray, stats: np.ndarray, n_chunks: int):
-        stats = stats.reshape(3, CLASSES)
+    def __init__(self, chunk: Chunk, c_word: np.ndarray, c_pair: np.ndarray, stats: np.ndarray, singles: np.ndarray):
+        stats = stats.reshape(2, CLASSES)
         self.n, self.v, once, twice = stats[0, :4]
         self.c_word = c_word
         if self.n:
@@ -195,37 +205,45 @@ class Automaton:
         else:
             root = np.ones(len(c_word))
         self.root = np.log10(root)
-        fresh = (stats[2] + 1) / (stats[1] + 2)
-        c_from = np.concatenate([[self.starts(c_word)], c_word])  # the start is followed as often as the end is seen
-        size = _size_class(np.ceil(c_from / n_chunks).astype(np.int64))
+        fresh = (singles + 1) / (stats[1] + 2)
+        c_from = _histories(c_word)
         self.has_state = c_from > 0
-        g = np.where(self.has_state, fresh[size], 1.0)
+        g = np.where(self.has_state, fresh[_size_class(c_from)], 1.0)
         self.failure = np.log10(g)
         at_from, at_word = (chunk.distinct >> np.uint64(32)).astype(np.int64), (chunk.distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.has_arc = c_pair > 0
         seen = (1 - g[at_from]) * c_pair / np.maximum(c_from[at_from], 1)
         self.arc = np.where(self.has_arc, np.log10(seen + g[at_from] * root[at_word]), 0.0)
 
-    @staticmethod
-    def starts(c_word: np.ndarray) -> int:
-        return int(c_word[0])
-
     def traverse(self, chunk: Chunk) -> np.ndarray:
         """Log-probability of each token, left to right: the state is the word before; without an arc, fail to the root."""
         arc = chunk.pair_at
         return np.where(self.has_arc[arc], self.arc[arc], self.failure[chunk.before] + self.root[chunk.tokens])
 
 
-def _score(buckets: int, n_chunks: int):
+def _trains(table: pa.Table) -> np.ndarray:
+    return ~np.array(table.column("held_out").to_pylist(), bool)
+
+
+def _single(buckets: int):
+    """The pairs seen once in all, of those that this chunk counted, by the size class of the first word's whole count."""
+
+    def single(table: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk = Chunk(table, buckets)
+        words, pairs = chunk.answered(answers)
+        own = np.bincount(chunk.pair_at[np.repeat(_trains(table), chunk.sizes)], minlength=len(chunk.distinct))
+        before = (chunk.distinct[(own == 1) & (pairs == 1)] >> np.uint64(32)).astype(np.int64)
+        singles = np.bincount(_size_class(_histories(words)[before]), minlength=CLASSES)
+        return pa.table({"singles": pa.array([singles.astype(float).tolist()], pa.list_(pa.float64()))})
+
+    return single
+
+
+def _score(buckets: int):
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(table, buckets)
-        stats = np.array(answers.column("all_stats")[0].as_py())
-        words, pairs = np.zeros(len(chunk.word_hash), np.int64), np.zeros(len(chunk.distinct), np.int64)
-        answers = answers.sort_by("bucket")
-        for kind, order, target in ((0, chunk.word_order, words), (1, chunk.pair_order, pairs)):
-            part = answers.filter(pc.equal(answers.column("kind"), kind))
-            target[order] = np.concatenate([_wide(x) for x in part.column("counts").to_pylist()])
-        model = Automaton(chunk, words, pairs, stats, n_chunks)
+        words, pairs = chunk.answered(answers)
+        model = Automaton(chunk, words, pairs, np.array(answers.column("all_stats")[0].as_py()), np.array(answers.column("all_singles")[0].as_py()))
         starts = np.cumsum(chunk.sizes) - chunk.sizes
         base = np.log10((words + 0.1) / (model.n + 0.1 * (model.v + 1)))
         by_text = lambda x: np.add.reduceat(x, starts)
@@ -248,6 +266,10 @@ def score_documents(docs: DataFrame, held_out_mod: int = 10, chunk_bytes: int =
     dealt = docs.select("doc_id", "text", held_out.alias("held_out"), chunk.alias("chunk")).repartition(chunks, "chunk")
     asked = dealt.groupBy("chunk").applyInArrow(_ask(buckets), REQUESTS).repartition(buckets, "bucket")
     answered = asked.groupBy("bucket").applyInArrow(_answer, ANSWERS)
-    sums = answered.filter("chunk = -1").agg(F.array(*[F.sum(F.col("stats")[i]) for i in range(3 * CLASSES)]).alias("all_stats"))
-    replies = answered.filter("chunk >= 0").drop("stats").repartition(chunks, "chunk").join(F.broadcast(sums))
-    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(buckets, chunks), SCORES)
+    added = lambda name, n: F.array(*[F.sum(F.col(name)[i]) for i in range(n)])
+    sums = answered.filter("chunk = -1").agg(added("stats", 2 * CLASSES).alias("all_stats"))
+    replies = answered.filter("chunk >= 0").drop("stats").repartition(chunks, "chunk")
+    singles = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_single(buckets), SINGLES)
+    singles = singles.agg(added("singles", CLASSES).alias("all_singles"))
+    told = replies.join(F.broadcast(sums)).join(F.broadcast(singles))
+    return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_score(buckets), SCORES)
