@@ -2,7 +2,8 @@
 
 A builder follows the tags with the implied ends that HTML has (a new <li> ends the one before, a block ends a
 paragraph, ...). An element is rendered when it ends, from what its children have rendered, so deep nesting needs no
-recursion. Text that is not visible (scripts, styles, head, hidden attributes and styles) is left out. Blocks stand
+recursion. Text that is not visible (scripts, styles, head, hidden attributes and styles) is left out; what only
+screen readers skip is not. Of drawings the text elements are kept, of formulas all but annotations. Blocks stand
 on lines of their own, paragraphs and headings between blank lines, list items behind bullets or numbers and indented,
 and a table's cells in columns as wide as their widest cell.
 
@@ -24,7 +25,8 @@ from .common import fresh, slices
 #: Element names by what HTML says of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe object svg math canvas audio video datalist noframes".split())
+UNSEEN = frozenset("head script style title template noscript iframe object canvas audio video datalist noframes".split())
+HEAD = frozenset("head html base basefont bgsound link meta title style script noscript noframes template".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset".split())
 BLOCK = SPACED | frozenset("address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup hr html legend li main menu nav option optgroup search section summary tbody td tfoot th thead tr".split())
 
@@ -35,6 +37,10 @@ _ENDS = {
     **dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"})), "body": ({"head"}, {"html"}),
 }
 _P_ENDERS = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend"}
+#: In svg and math: elements that hold HTML again, elements that show nothing, and start tags that end the drawing or formula.
+_HOLDS_HTML = frozenset("foreignobject mi mo mn ms mtext".split())
+_FOREIGN_UNSEEN = frozenset("desc metadata defs symbol clippath mask marker pattern annotation annotation-xml".split())
+_BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 _SCOPES = frozenset("table td th caption button object template html".split())
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
@@ -44,10 +50,11 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class _Node:
-    __slots__ = ("tag", "seen", "parts", "cells", "rows", "count", "pre", "bare")
+    __slots__ = ("tag", "seen", "parts", "cells", "rows", "count", "pre", "bare", "foreign")
 
-    def __init__(self, tag: str, seen: bool, pre: bool):
+    def __init__(self, tag: str, seen: bool, pre: bool, foreign: str = ""):
         self.tag, self.seen, self.pre = tag, seen, pre
+        self.foreign = foreign  # "svg", "text" within a text element of it, "math", or "" for HTML
         self.parts: list = []  # str: inline text; (0, lines): a block; (1, lines): one between blank lines
         self.cells: list | None = None
         self.rows: list = []
@@ -101,11 +108,34 @@ class Renderer:
 
     def text(self, raw: str) -> None:
         at = self.open[-1]
-        if at.seen:
+        if at.seen or at.tag == "head":
             raw = html.unescape(raw) if "&" in raw else raw
+            if at.tag == "head" and raw.strip(" \t\n\r\f\0"):
+                self._close()
+                at = self.open[-1]
+        if at.seen and at.foreign != "svg":
             at.parts.append(raw.replace("\0", "") if at.pre else _SPACE.sub(" ", raw.replace("\0", "")))
 
-    def start(self, tag: str, attributes: str) -> None:
+    def start(self, tag: str, attributes: str) -> bool:
+        """Whether an element is open now for what follows."""
+        if self.open[-1].tag == "head" and tag not in HEAD:
+            self._close()
+        if tag in _BREAKS_OUT:
+            while self.open[-1].foreign:
+                self._close()
+        foreign = self.open[-1].foreign
+        if tag in ("svg", "math"):
+            foreign = tag
+        elif foreign and tag in _HOLDS_HTML:
+            foreign = ""
+        elif foreign == "svg" and tag == "text":
+            foreign = tag
+        if (foreign or self.open[-1].foreign) and attributes.endswith("/"):
+            last = None
+            for last in _ATTRIBUTE.finditer(attributes):
+                pass
+            if last is None or last.end() < len(attributes):  # else the slash ends an unquoted value
+                return False
         if tag in _P_ENDERS:
             self._end_up_to({"p"}, _SCOPES)
         if tag in _ENDS:
@@ -117,7 +147,7 @@ class Renderer:
             for m in _ATTRIBUTE.finditer(attributes):
                 given.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
         parent = self.open[-1]
-        seen = parent.seen and tag not in UNSEEN and not ("hidden" in given or given.get("aria-hidden", "").lower() == "true" or _UNSEEN_STYLE.search(given.get("style", "")) or tag == "dialog" and "open" not in attributes)
+        seen = parent.seen and tag not in UNSEEN and not (parent.foreign and tag in _FOREIGN_UNSEEN or "hidden" in given or _UNSEEN_STYLE.search(given.get("style", "")) or tag == "dialog" and "open" not in attributes)
         if tag in VOID:
             if seen and tag == "br":
                 parent.parts.append("\n" if parent.pre else "\0")
@@ -125,8 +155,8 @@ class Renderer:
                 parent.parts.append((0, ["---"]))
             elif seen and tag == "input" and given.get("type", "").lower() in ("submit", "button", "reset") and given.get("value"):
                 parent.parts.append(f" {html.unescape(given['value'])} ")
-            return
-        node = _Node(tag, seen, parent.pre or tag in ("pre", "textarea", "xmp"))
+            return False
+        node = _Node(tag, seen, parent.pre or tag in ("pre", "textarea", "xmp"), foreign)
         if tag == "ol":
             node.count = int(given["start"]) if re.fullmatch(r"-?\d{1,9}", given.get("start", "")) else 1
         if tag == "li" and re.fullmatch(r"-?\d{1,9}", given.get("value", "")):
@@ -135,8 +165,13 @@ class Renderer:
                     up.count = int(given["value"])
                     break
         self.open.append(node)
+        return True
 
     def end(self, tag: str) -> None:
+        if self.open[-1].tag == "head":
+            if tag not in ("head", "body", "html", "br"):
+                return
+            self._close()
         if tag in ("p", "br") and not any(n.tag == tag for n in self.open):
             self.start(tag, "")
             if tag == "br":
@@ -198,6 +233,8 @@ class Renderer:
             nested = tag in ("ul", "ol") and any(n.tag == "li" for n in self.open)
             lines = _lines(node.parts, node.pre)
             parent.parts.append((int(tag in SPACED and not nested), lines))
+        elif tag == "text" and node.foreign:
+            parent.parts.extend([" ", *node.parts, " "])
         else:
             parent.parts.extend(node.parts)
 
@@ -225,8 +262,7 @@ def render(page: str | None) -> str:
         if m[1]:
             made.end(tag)
             continue
-        made.start(tag, m[3])
-        if tag in RAW:
+        if made.start(tag, m[3]) and tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             made.text(page[at : close.start() if close else len(page)])
             at = close.start() if close else len(page)

@@ -296,6 +296,24 @@ def test_op10(page, text):
     assert html.render(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<html><head><title>T</title><p>Hello", "Hello"),
+        ("<head>\n<meta charset=x><style>p{}</style><link rel=y>\nHello <b>you</b>", "Hello you"),
+        ("<head><noscript><p>n</p></noscript></div><title>T</title></head><body>y", "y"),
+        ("<p><svg/> Hello</p>", "Hello"),
+        ("<p>a<math /> b<svg width='1'/> c</p>", "a b c"),
+        ("<p>x <math><mi>y</mi><mo>=</mo><mn>2</mn><annotation>z</annotation></math></p>", "x y=2"),
+        ("<svg>no<title/><style/><defs><text>no</text></defs><desc>no</desc><g><text>one</text><text><tspan>two</tspan></text></g></svg>three", "one two three"),
+        ("<svg><path d=a/>no<foreignObject><p>yes</foreignObject></svg><svg><g><p>out", "yes\n\nout"),
+        ("a <span aria-hidden=true>b</span><span aria-hidden='true' hidden>n</span> c", "a b c"),
+    ],
+)
+def test_op10_head_and_foreign_elements(page, text):
+    assert html.render(page) == text
+
+
 def test_op10_whole_table(spark, sf_dir):
     done = queries.op10_html_text(spark, sf_dir)
     assert done.count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
