@@ -314,6 +314,22 @@ def test_op10_head_and_foreign_elements(page, text):
     assert html.render(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<p class="a"">Text', "Text"),
+        ('<p class="a"">Text <a href="b">more</a> end', "Text more end"),
+        ("<a href=x title=don't>Text", "Text"),
+        ("<a href=x title=don't>Text</a> isn't <b 'x>lost</b>", "Text isn't lost"),
+        ("<a title=don'hidden>Text</a>", "Text"),
+        ("<a title = 'x > y' href=\"a>b\">Text</a>", "Text"),
+        ("<a title= >Text</a>", "Text"),
+    ],
+)
+def test_op10_quotes_in_tags(page, text):
+    assert html.render(page) == text
+
+
 def test_op10_whole_table(spark, sf_dir):
     done = queries.op10_html_text(spark, sf_dir)
     assert done.count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
