@@ -4,18 +4,23 @@ Two permutations make all coordinates: one moves a shingle to a place on a ring,
 k-th coordinate is the least rank among the shingles' places, each moved on by k. Texts with equal sets form one
 class, and only classes are banded. Classes that share a band are candidates.
 
-A band can hold very many classes, so pairs within it are not all emitted. First every class is compared with its
-band's least one. Where a band still holds several components, classes with too many shingles of their own to be
-like any other are done with, and the others are compared with leaders that have the fewest rare ones. Of the pairs
-left between components, those that share a rare shingle are all compared, and of the others all whose common
-shingles are enough; that loses none, and neither grows with the square of a group. Pairs inside a component need no
-comparison. Each link is confirmed on full sets: 100 * intersection >= percent * union.
+A band can hold very many classes, so its pairs are not all emitted. First every class is compared with its band's
+central one, which shares most bands with others, and with the least one; linked classes get one label. Where a band
+still holds several labels, only pairs of different labels remain, and of these two kinds: pairs with a rare shingle
+in common, of which no shingle makes more than RARE * RARE, and pairs whose other shingles alone are enough. The
+latter are taken between classes outside the band's main label and all of the band, and classes that have too few
+frequent shingles for that are left out before the join. That loses no pair of a band. Each link is confirmed on full
+sets: 100 * intersection >= percent * union. What stays open: a band with very many classes that are made of frequent
+shingles, like none of the two leaders and yet like others, costs the square of their number in time.
 
 With 40 bands of 6 coordinates a pair at similarity 0.8 misses all bands once in 190,000.
 
 Defined cases: null texts and texts without words are linked with nothing; fewer words than a shingle make one
-shingle; rows that share a doc_id are documents of their own; a null doc_id is no candidate for the smallest one.
-Where one row of each component stays, a row is its doc_id, its text and its number among rows that share both.
+shingle; rows that share a doc_id are documents of their own; a null doc_id is no candidate for the smallest one; an
+empty table gives no rows; a very long text costs memory for its own distinct shingles, 8 bytes each; other columns
+of ``docs``, whatever their names, take no part. Where one row of each component stays, a row is its doc_id, its text
+and its number among rows that share both. Classes are told apart by 128 bits of their sets, and inside the search by
+64 of them.
 """
 
 from __future__ import annotations
@@ -23,13 +28,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, checkpointed, materialize, slices, text_or_empty, utf8_values
+from .common import LOWER, Scratch, slices, text_or_empty, utf8_values
 
 BANDS, BAND_ROWS, RING = 40, 6, 1 << 20
-LEADERS, RARE = 4, 32
+RARE = 32
 _P = np.uint64(0x9E3779B185EBCA87)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _ring: np.ndarray | None = None
@@ -91,115 +96,142 @@ def _node(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(batches, width: int):
+    """The sets of the texts, where they are those that ``node`` wants."""
     for batch in slices(batches, 200):
-        found = [shingle_set(t, width) for t in utf8_values(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([pa.array([_node(h)[0] for h in found], pa.int64()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], ["node", "hashes"])
+        nodes, found = [], []
+        for node, text in zip(batch.column("node").to_pylist(), utf8_values(batch.column("text")), strict=True):
+            hashes = shingle_set(text, width)
+            if _node(hashes)[0] == node:
+                nodes.append(node)
+                found.append(hashes.view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "hashes"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
-    common = F.size(F.array_intersect("ha", "hb"))
-    return both.select("a", "b", common.alias("_i"), (F.size("ha") + F.size("hb") - common).alias("_u")).filter(100 * F.col("_i") >= percent * F.col("_u")).select("a", "b")
+def _alike(common, one: str, two: str, percent: int):
+    """Whether sets of sizes ``one`` and ``two`` with so many shingles in common are similar enough."""
+    return 100 * common >= percent * (F.col(one) + F.col(two) - common)
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """The bands that hold more than one label."""
-    return rows.groupBy("band").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("band")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) whose full sets are similar enough, without the sets."""
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("_hb")), "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("_ha")), "a")
+    both = both.select(*pairs.columns, F.size(F.array_intersect("_ha", "_hb")).alias("_i"), F.size("_ha").alias("_na"), F.size("_hb").alias("_nb"))
+    return both.filter(_alike(F.col("_i"), "_na", "_nb", percent)).select(*pairs.columns)
 
 
-def _rarities(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(node, alone, rare): shingles that no other node of ``rows`` has, and that at most RARE nodes have; and (hash, node) of these.
+def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, label) of every node in ``links`` (a, b): the least node that links reach.
 
-    Nodes with too many shingles of their own to be like any other are left out of both.
+    Each round a node takes the least label among its own, its neighbours' and its label's; long chains halve, so
+    rounds grow with the logarithm of a component's diameter. A round is one join and one sum; a node with many links
+    is spread by the join's skew handling and combined before the sum's shuffle.
     """
-    held = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
-    held = checkpointed(held)
-    few = held.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= RARE)
-    rare = held.join(few, "hash").select("node", "hash", "c")
-    counts = rare.groupBy("node").agg(F.count_if(F.col("c") == 1).alias("alone"), F.count(F.lit(1)).alias("rare"))
-    sizes = held.select("node", "n").distinct().join(counts, "node", "left").select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("rare", F.lit(0)).alias("rare"))
-    nodes = checkpointed(sizes.filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")).select("node", "alone", "rare"))
-    return nodes, checkpointed(rare.filter("c > 1").join(nodes, "node", "left_semi").select("hash", "node"))
-
-
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label): label is the least node that ``links`` (a, b) reach. Least labels spread, and labels follow labels."""
-    labels = checkpointed(nodes.select("node", F.col("node").alias("label")))
-    both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    if both.isEmpty():
-        return labels
-    while True:
-        near = both.join(labels.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
-        moved = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
-        hop = moved.select(F.col("node").alias("next"), F.col("next").alias("hop"))
-        moved = checkpointed(moved.join(hop, "next").select("node", F.col("hop").alias("label"), (F.col("hop") != F.col("label")).alias("changed")))
+    edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = scratch.keep(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), f"{name}-0")
+    turn, changed = 0, not labels.isEmpty()
+    while changed:
+        turn += 1
+        own = labels.select(F.col("node").alias("a"), F.col("node").alias("b"))
+        up = labels.filter("label <> node").select(F.col("label").alias("a"), F.col("node").alias("b"))
+        told = edges.unionByName(own).unionByName(up).join(labels.select(F.col("node").alias("a"), "label"), "a")
+        told = told.groupBy(F.col("b").alias("node")).agg(F.min("label").alias("label"), F.min(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("before"))
+        moved = scratch.keep(told, f"{name}-{turn}")
+        changed = not moved.filter("label <> before").isEmpty()
+        scratch.drop(f"{name}-{turn - 1}")
         labels = moved.select("node", "label")
-        if moved.filter("changed").isEmpty():
-            return labels
+    return labels
+
+
+def _bands(classes: DataFrame) -> DataFrame:
+    """(band, node, n, rep, weight, once) of the bands that several classes share. weight: how many classes share them."""
+    rows = classes.select(F.explode("bands").alias("band"), "node", "n", "rep")
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    node = Window.partitionBy("node")  # a class has BANDS rows at most
+    once = F.row_number().over(node.orderBy("band")) == 1
+    return rows.join(shared, "band").select("band", "node", "n", "rep", F.sum("size").over(node).alias("weight"), once.alias("once"))
+
+
+def _leader_pairs(bands: DataFrame) -> DataFrame:
+    leaders = bands.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("central"), F.min("node").alias("least"))
+    pairs = bands.join(leaders, "band").select("node", F.explode(F.array("central.node", "least")).alias("leader")).filter("node <> leader")
+    return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+
+
+def _open_rows(bands: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, node, n, label, other) of bands that hold several labels. other: not of the band's main label."""
+    rows = bands.join(labels, "node", "left").select("band", "node", "n", "weight", F.coalesce("label", "node").alias("label"))
+    mixed = rows.groupBy("band").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max(F.struct("weight", "node", "label")).alias("_main")).filter("_lo < _hi")
+    return rows.join(mixed.select("band", F.col("_main.label").alias("_main")), "band").select("band", "node", "n", "label", (F.col("label") != F.col("_main")).alias("other"))
+
+
+def _open_pairs(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b, la, lb): the pairs of different labels in one band that may be similar enough."""
+    nodes = rows.groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n"))
+    held = scratch.keep(sets.join(nodes, "node").select("node", "label", "n", "hashes"), "open-sets")
+    shingles = held.select(F.explode("hashes").alias("hash"), "node", "label", "n")
+    few = shingles.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= RARE)
+    rare = scratch.keep(shingles.join(few, "hash"), "open-rare")
+    counts = rare.groupBy("node").agg(F.count_if(F.col("c") == 1).alias("alone"), F.count(F.lit(1)).alias("rare"))
+    counts = held.select("node", "label", "n").join(counts, "node", "left").na.fill(0, ["alone", "rare"])
+    counts = counts.select("node", "label", "n", (F.col("n") - F.col("alone")).alias("shared"), (F.col("n") - F.col("rare")).alias("frequent"))
+    counts = scratch.keep(counts.filter(100 * F.col("shared") >= percent * F.col("n")), "open-counts")
+
+    def pairs(left: DataFrame, right: DataFrame, key: str, most: str) -> DataFrame:
+        side = lambda df, k: df.select(key, *[F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "n", most)])
+        met = side(left, "a").join(side(right, "b"), key).filter("label_a <> label_b").filter(_alike(F.least(f"{most}_a", f"{most}_b"), "n_a", "n_b", percent))
+        lower = F.col("node_a") < F.col("node_b")
+        order = lambda x, y: F.when(lower, F.col(x)).otherwise(F.col(y))
+        return met.select(order("node_a", "node_b").alias("a"), order("node_b", "node_a").alias("b"), order("label_a", "label_b").alias("la"), order("label_b", "label_a").alias("lb"))
+
+    able = counts.filter(100 * F.col("frequent") >= percent * F.col("n"))
+    banded = rows.select("band", "node", "other").join(able, "node")
+    by_rare = rare.filter("c > 1").select("hash", "node").join(counts, "node")
+    return pairs(banded.filter("other"), banded, "band", "frequent").unionByName(pairs(by_rare, by_rare, "hash", "shared")).distinct()
 
 
 def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` (doc_id, text and long columns) with their classes, and (node, low, first, label) of each class."""
+    """The rows of ``docs`` (doc_id, _t, text and long columns) with their classes, and (node, low, first, label) of each class.
+
+    ``_t`` is a hash of the text. Both tables stay in the shared folder; what led to them is dropped.
+    """
+    scratch = Scratch(docs.sparkSession, "minhash")
     carried = ", ".join(f"{c} long" for c in docs.columns if c != "text")
-    signed = materialize(docs.mapInArrow(lambda b: _signed(b, width), f"{carried}, n_shingles long, high long, low long, bands array<long>"), "minhash-signed")
-    classes = signed.filter("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = materialize(classes.withColumnRenamed("high", "node"), "minhash-classes")
-
-    banded = classes.select(F.explode("bands").alias("band"), "node", "n")
-    shared = banded.groupBy("band").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).filter("_lo < _hi").select("band")
-    banded = materialize(banded.join(shared, "band"), "minhash-bands")
-    nodes = checkpointed(banded.select("node").distinct())
-    firsts = classes.join(nodes, "node", "left_semi").select("first").distinct()
-    bodies = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["first"]), "left_semi").select("text")
-    sets = bodies.mapInArrow(lambda b: _sets(b, width), "node long, hashes array<long>").join(nodes, "node", "left_semi")
-    sets = materialize(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "minhash-sets")
-
-    def like(one: str, two: str):
-        """Whether the sets can be similar enough, if these numbers of shingles at most are in both."""
-        common = F.least(one, two)
-        return 100 * common >= percent * (F.col("na") + F.col("nb") - common)
-
-    links = labels = tried = lone = None
-    for turn in ("first", "central", "all"):
-        if labels is None:
-            rows = banded.withColumns({"label": F.col("node"), "alone": F.lit(0), "rare": F.lit(0)})
-        else:
-            rows = banded.join(labels, "node")
-            if lone is None:
-                lone, rare = _rarities(rows.join(_mixed(rows), "band"), sets, percent)
-            rows = rows.join(lone, "node")
-            rows = checkpointed(rows.join(_mixed(rows), "band"))
-        side = lambda node, n, s, c, label: [F.col("node").alias(node), F.col("n").alias(n), (F.col("n") - F.col("alone")).alias(s), (F.col("n") - F.col("rare")).alias(c), F.col("label").alias(label)]
-        x, y = side("x", "na", "sa", "ca", "lx"), side("y", "nb", "sb", "cb", "ly")
-        apart = F.col("lx") != F.col("ly")
-        if turn != "all":
-            parts = ["band"] if turn == "first" else ["band", F.pmod("node", F.lit(LEADERS)).alias("_k")]
-            leader = rows.groupBy(*parts).agg(F.min(F.struct("rare", "node", "n", "alone", "label")).alias("t")).select("band", "t.*")
-            pairs = rows.select("band", *x).join(leader.select("band", *y), "band").filter(apart & like("sa", "sb"))
-        else:
-            # Pairs with a rare shingle in common, of which each node has few; others have only common shingles in both.
-            pairs = rows.select("band", *x).join(rows.select("band", *y), "band").filter("x < y").filter(apart & like("ca", "cb"))
-            once = checkpointed(rows.select("node", "n", "alone", "rare", "label").distinct().join(rare, "node"))
-            pairs = pairs.select("x", "y").unionByName(once.select("hash", *x).join(once.select("hash", *y), "hash").filter("x < y").filter(apart & like("sa", "sb")).select("x", "y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        tried = checkpointed(pairs)
-        good = checkpointed(_verified(tried, sets, percent))
-        links = good if links is None else links.unionByName(good)
-        if labels is None or not good.isEmpty():
-            labels = components(nodes, links)
-
-    return signed, classes.join(labels, "node", "left").select("node", "low", "first", F.coalesce("label", "node").alias("label"))
+    signed = scratch.keep(docs.mapInArrow(lambda b: _signed(b, width), f"{carried}, n_shingles long, high long, low long, bands array<long>"), "signed")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_t")
+    classes = signed.filter("n_shingles > 0").groupBy(F.col("high").alias("node"), "low").agg(F.min(row).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = scratch.keep(classes, "classes")
+    bands = scratch.keep(_bands(classes), "bands")
+    wanted = bands.filter("once").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep._t").alias("_h"))
+    bodies = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]) & (docs["_t"] == wanted["_h"])).select("node", "text")
+    sets = bodies.mapInArrow(lambda b: _sets(b, width), "node long, hashes array<long>")
+    sets = scratch.keep(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+
+    labels = components(scratch.keep(_verified(scratch.keep(_leader_pairs(bands), "leader-pairs"), sets, percent), "leader-links"), scratch, "labels")
+    rows = scratch.keep(_open_rows(bands, labels), "open-rows")
+    scratch.drop("leader-pairs", "leader-links", "bands")
+    if not rows.isEmpty():
+        pairs = scratch.keep(_open_pairs(rows, sets, percent, scratch), "open-pairs")
+        links = scratch.keep(_verified(pairs, sets, percent).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "open-links")
+        if not links.isEmpty():
+            joined = components(links, scratch, "joined").select(F.col("node").alias("label"), F.col("label").alias("_to"))
+            # A label may stand for a class that no leader link touched.
+            known = labels.join(joined, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
+            alone = joined.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("_to").alias("label"))
+            labels = known.unionByName(alone)
+    heads = classes.join(labels, "node", "left").select("node", "low", F.col("rep.doc_id").alias("first"), F.coalesce("label", "node").alias("label"))
+    heads = scratch.keep(heads, "heads")
+    scratch.drop("classes", "sets", "open-rows", "open-sets", "open-rare", "open-counts", "open-pairs", "open-links")
+    return signed.drop("bands"), heads
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and the class of equal sets (high, low), for every row of ``docs``."""
-    signed, heads = _labelled(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")), width, percent)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("_t"), text_or_empty().alias("text"))
+    signed, heads = _labelled(docs, width, percent)
     least = heads.groupBy("label").agg(F.min("first").alias("component_id"))
     homes = heads.join(least, "label").select(F.col("node").alias("high"), "low", "component_id")
-    rows = signed.select("doc_id", "n_shingles", "high", "low").join(homes, ["high", "low"], "left")
+    rows = signed.filter("n_shingles > 0").join(homes, ["high", "low"])
+    rows = rows.unionByName(signed.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
     home = F.coalesce("component_id", "doc_id")
     return rows.select("doc_id", "n_shingles", home.alias("component_id"), F.col("doc_id").eqNullSafe(home).alias("kept"), "high", "low")
 
@@ -212,17 +244,19 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """
     key = {"_id": F.col("doc_id").cast("bigint"), "_t": F.xxhash64(text_or_empty()), "_u": F.xxhash64(F.lit(1), text_or_empty())}
     signed, heads = _labelled(docs.select(key["_id"].alias("doc_id"), key["_t"].alias("_t"), key["_u"].alias("_u"), text_or_empty().alias("text")), width, percent)
+    scratch = Scratch(docs.sparkSession, "minhash-rows")
     rows = signed.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), "_t", "_u", "high", "low").agg(F.count(F.lit(1)).alias("_n"))
     rows = rows.join(heads.select(F.col("node").alias("high"), "low", "label"), ["high", "low"]).select("label", F.col("_id").isNull().alias("_null"), "_id", "_t", "_u", "_n")
-    rows = checkpointed(rows)
-    least = rows.groupBy("label").agg(F.min(F.struct("_null", "_id", "_t", "_u", "_n")).alias("s")).select("s.*")
-    single = checkpointed(least.filter("_n = 1"))
-    several = checkpointed(least.filter("_n > 1"))
+    rows = scratch.keep(rows, "rows")
+    least = scratch.keep(rows.groupBy("label").agg(F.min(F.struct("_null", "_id", "_t", "_u", "_n")).alias("s")).select("label", "s.*"), "least")
+    several = least.filter("_n > 1")
 
     def same(left, right: DataFrame):
         return left["_id"].eqNullSafe(right["_id"]) & (left["_t"] == right["_t"]) & (left["_u"] == right["_u"])
 
-    aside = rows.join(single, same(rows, single), "left_anti").select("_id", "_t", "_u")
+    first = least.select("label", F.struct("_id", "_t", "_u").alias("_first"), F.col("_n").alias("_m"))
+    aside = rows.join(first, "label").filter((F.struct("_id", "_t", "_u") != F.col("_first")) | (F.col("_m") > 1))
+    aside = aside.select("_id", "_t", "_u")
     stay = docs.join(aside, same(key, aside), "left_anti")
     if several.isEmpty():
         return stay
