@@ -9,7 +9,8 @@ central one, which shares most bands with others, and with the least one; linked
 still holds several labels, only pairs of different labels remain, and of these two kinds: pairs with a rare shingle
 in common, of which no shingle makes more than RARE * RARE, and pairs whose other shingles alone are enough. The
 latter are taken between classes outside the band's main label and all of the band, and classes that have too few
-frequent shingles for that are left out before the join. That loses no pair of a band. Each link is confirmed on full
+frequent shingles for that are left out before the join. Of both kinds only pairs leave the join whose sets' parities
+over 1024 places differ in few enough, a lower bound of what only one of them has. That loses no pair of a band. Each link is confirmed on full
 sets: 100 * intersection >= percent * union. What stays open: a band with very many classes that are made of frequent
 shingles, like none of the two leaders and yet like others, costs the square of their number in time.
 
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, Scratch, slices, text_or_empty, utf8_values
 
 BANDS, BAND_ROWS, RING = 40, 6, 1 << 20
-RARE = 32
+#: A shingle is rare if so many classes have it at most; a set's parity has so many 64-bit words.
+RARE, PARITY = 32, 16
 _P = np.uint64(0x9E3779B185EBCA87)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _ring: np.ndarray | None = None
@@ -96,15 +98,17 @@ def _node(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(batches, width: int):
-    """The sets of the texts, where they are those that ``node`` wants."""
+    """The sets of the texts, where they are those that ``node`` wants, and for each of 1024 places whether an odd number of their hashes falls there."""
     for batch in slices(batches, 200):
-        nodes, found = [], []
+        nodes, found, parity = [], [], []
         for node, text in zip(batch.column("node").to_pylist(), utf8_values(batch.column("text")), strict=True):
             hashes = shingle_set(text, width)
             if _node(hashes)[0] == node:
                 nodes.append(node)
                 found.append(hashes.view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "hashes"])
+                odd = np.bincount((hashes % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+                parity.append(np.packbits(odd.astype(bool)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))], ["node", "hashes", "parity"])
 
 
 def _alike(common, one: str, two: str, percent: int):
@@ -166,19 +170,23 @@ def _open_rows(bands: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _open_pairs(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b, la, lb): the pairs of different labels in one band that may be similar enough."""
+    parity = [f"p{i}" for i in range(PARITY)]
     nodes = rows.groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n"))
-    held = scratch.keep(sets.join(nodes, "node").select("node", "label", "n", "hashes"), "open-sets")
+    held = scratch.keep(sets.join(nodes, "node").select("node", "label", "n", "hashes", *[F.col("parity")[i].alias(w) for i, w in enumerate(parity)]), "open-sets")
     shingles = held.select(F.explode("hashes").alias("hash"), "node", "label", "n")
     few = shingles.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= RARE)
     rare = scratch.keep(shingles.join(few, "hash"), "open-rare")
     counts = rare.groupBy("node").agg(F.count_if(F.col("c") == 1).alias("alone"), F.count(F.lit(1)).alias("rare"))
-    counts = held.select("node", "label", "n").join(counts, "node", "left").na.fill(0, ["alone", "rare"])
-    counts = counts.select("node", "label", "n", (F.col("n") - F.col("alone")).alias("shared"), (F.col("n") - F.col("rare")).alias("frequent"))
+    counts = held.select("node", "label", "n", *parity).join(counts, "node", "left").na.fill(0, ["alone", "rare"])
+    counts = counts.select("node", "label", "n", *parity, (F.col("n") - F.col("alone")).alias("shared"), (F.col("n") - F.col("rare")).alias("frequent"))
     counts = scratch.keep(counts.filter(100 * F.col("shared") >= percent * F.col("n")), "open-counts")
 
     def pairs(left: DataFrame, right: DataFrame, key: str, most: str) -> DataFrame:
-        side = lambda df, k: df.select(key, *[F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "n", most)])
+        side = lambda df, k: df.select(key, *[F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "n", most, *parity)])
         met = side(left, "a").join(side(right, "b"), key).filter("label_a <> label_b").filter(_alike(F.least(f"{most}_a", f"{most}_b"), "n_a", "n_b", percent))
+        # Each place of unequal parity holds a shingle that one set has and the other lacks.
+        apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in parity), F.lit(0))
+        met = met.filter(100 * (F.col("n_a") + F.col("n_b") - apart) >= percent * (F.col("n_a") + F.col("n_b") + apart))
         lower = F.col("node_a") < F.col("node_b")
         order = lambda x, y: F.when(lower, F.col(x)).otherwise(F.col(y))
         return met.select(order("node_a", "node_b").alias("a"), order("node_b", "node_a").alias("b"), order("label_a", "label_b").alias("la"), order("label_b", "label_a").alias("lb"))
@@ -203,8 +211,8 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     bands = scratch.keep(_bands(classes), "bands")
     wanted = bands.filter("once").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep._t").alias("_h"))
     bodies = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]) & (docs["_t"] == wanted["_h"])).select("node", "text")
-    sets = bodies.mapInArrow(lambda b: _sets(b, width), "node long, hashes array<long>")
-    sets = scratch.keep(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+    sets = bodies.mapInArrow(lambda b: _sets(b, width), "node long, hashes array<long>, parity array<long>")
+    sets = scratch.keep(sets.groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("parity").alias("parity")), "sets")
 
     labels = components(scratch.keep(_verified(scratch.keep(_leader_pairs(bands), "leader-pairs"), sets, percent), "leader-links"), scratch, "labels")
     rows = scratch.keep(_open_rows(bands, labels), "open-rows")
