@@ -1,16 +1,23 @@
-"""Line dedup by prefix doubling over line-ID sequences, in DataFrame functions only.
-
-A line's ID is the hash of its text. The name of 2^(k+1) lines from a place is the hash of the names of 2^k lines
-from there and from 2^k lines on; equal names mean equal lines, so names need no global ranking and each doubling
-is a lead within its document. Suffixes that agree on as many lines as hold ``min_words`` words make one interval
-of the suffix array; it is found by its key, made of two names that overlap to cover these lines. Each place asks for
-its interval forwards and backwards, so that together they cover every repeated run of at least ``min_words`` words
-to its last line. In each interval the first copy in (doc_id, line) order stays; intervals that touch in a document
-join to maximal runs, and these are deleted.
-
-Hot lines are summed before any shuffle, and joins split them; no task gathers an interval. Defined cases: lines
-without words are not counted and, where a document loses lines, dropped; a null text is left alone; rows with equal
-doc_id and text are one document, so both stay or lose the same lines; texts under one doc_id are told apart by hash.
+"""Line dedup by a suffix array over line-ID sequences, in DataFrame functions only.
+
+Lines that occur once part the documents into segments; only segments of ``min_words`` words or more can hold a
+repeated run. A suffix is a place in a segment. Its rank is first that of its line (128 bits of hash), and then
+doubles: suffixes that agree on 2^k lines are ranked anew by the rank 2^k lines on, until each is alone with its rank or
+compared to its end. A rank is the number of smaller suffixes, so those that are settled keep theirs, and segments
+that are settled leave the rounds. Ranks come from sorted range partitions, running sums in them, and the partitions' totals.
+
+In suffix order, the longest common prefix of neighbours is counted in lines, as far as any interval asked for
+reaches. Each line asks for the shortest run of ``min_words`` words that starts with it, and for the one that ends
+with it; these cover every repeated run of so many words to its last line. The suffixes that share such a run are an
+interval: neighbours without a smaller prefix between them. In each interval the first copy in (doc_id, line) order
+stays; later runs that touch in a document join to maximal runs, and these are deleted.
+
+Sums are combined before each shuffle, and joins split hot lines; no task gathers an interval. What is broadcast has
+one row, or one for each run length below ``min_words``, for each shuffle partition. Defined cases: lines without
+words are not counted and, where a document loses lines, dropped; a null text is left alone and an empty one has no
+lines; rows with equal doc_id and text are one document, so both stay or lose the same lines; texts under one doc_id
+are told apart by hash; null doc_ids come first; an empty table gives no rows; a very long text is one row, and its
+lines are ranked like any others; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -18,10 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, text_or_empty
+from .common import Scratch, fresh, text_or_empty
 
 MIN_WORDS = 50
 _WORD = r"[^\x20\x09-\x0D]+"
+_DOC = ("doc_id", "version")
 
 
 def _lines(text: Column) -> Column:
@@ -33,61 +41,120 @@ def _has_words(line: Column) -> Column:
 
 
 def line_places(docs: DataFrame) -> DataFrame:
-    """doc_id, text hash, line number among lines with words, line ID, words, and words before it."""
-    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("version"), F.posexplode(_lines(text_or_empty())).alias("pos", "line"))
-    lines = lines.select("doc_id", "version", "pos", F.xxhash64("line").alias("name0"), F.regexp_count("line", F.lit(_WORD)).cast("bigint").alias("words")).filter("words > 0")
-    order = Window.partitionBy("doc_id", "version").orderBy("pos")
-    lines = lines.withColumn("_last", F.lag("pos").over(order)).filter("_last is null or _last <> pos").drop("_last")  # a repeated row
-    return lines.select("doc_id", "version", "name0", "words", (F.row_number().over(order) - 1).alias("line"), (F.sum("words").over(order) - F.col("words")).alias("before"))
-
-
-def intervals(places: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, version, and each place's runs: struct(line, lines, key), equal keys for equal lines."""
-    doc = Window.partitionBy("doc_id", "version")
-    order = doc.orderBy("before")
-    ends = (F.col("before") + F.col("words")).alias("after")
-    ahead = F.count(F.lit(1)).over(order.rangeBetween(0, min_words - 1))
-    step = places.select("*", ends, F.sum("words").over(doc).alias("total")).filter(F.col("total") >= min_words)
-    step = step.withColumn("ahead", F.when(F.col("total") - F.col("before") >= min_words, ahead))
-    back = F.count(F.lit(1)).over(doc.orderBy("after").rangeBetween(-(min_words - 1), 0))
-    step = step.withColumn("back", F.when(F.col("after") >= min_words, back))
-    levels = max(1, min_words).bit_length()
-    for k in range(levels - 1):
-        step = step.withColumn(f"name{k + 1}", F.xxhash64(f"name{k}", F.lead(f"name{k}", 1 << k).over(order)))
-
-    def key(count: str, forward: bool) -> Column:
-        """Lines of the run and its names from the first and up to the last line, by the run's number of lines."""
-        move = (lambda c, n: F.lead(c, n).over(order)) if forward else (lambda c, n: F.lag(c, n).over(order))
-        out = None
-        for k in range(levels):
-            for n in range(1 << k, min(1 << (k + 1), min_words + 1)):
-                rest = n - (1 << k)
-                a, b = (F.col(f"name{k}"), move(f"name{k}", rest)) if forward else (move(f"name{k}", n - 1), move(f"name{k}", (1 << k) - 1))
-                hit = F.col(count) == n
-                value = F.xxhash64(F.lit(n), a, b)
-                out = F.when(hit, value) if out is None else out.when(hit, value)
-        return out
-
-    step = step.select("doc_id", "version", "line", "ahead", "back", key("ahead", True).alias("ahead_key"), key("back", False).alias("back_key"))
-    runs = F.array_distinct(F.array_compact(F.array(
-        F.when(F.col("ahead_key").isNotNull(), F.struct("line", F.col("ahead").cast("int").alias("lines"), F.col("ahead_key").alias("key"))),
-        F.when(F.col("back_key").isNotNull(), F.struct((F.col("line") - F.col("back").cast("int") + 1).alias("line"), F.col("back").cast("int").alias("lines"), F.col("back_key").alias("key"))),
-    )))
-    return step.select("doc_id", "version", F.explode(runs).alias("run")).select("doc_id", "version", "run.line", "run.lines", "run.key")
+    """doc_id, text hash, line number among lines with words, line ID (two hashes), and words."""
+    worded = F.filter(_lines(text_or_empty()), _has_words)
+    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("version"), F.posexplode(worded).alias("line", "_text"))
+    return lines.select(*_DOC, "line", F.xxhash64("_text").alias("one"), F.xxhash64(F.lit(1), "_text").alias("two"), F.regexp_count("_text", F.lit(_WORD)).cast("bigint").alias("words"))
+
+
+def _ranked(rows: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """``rows`` (keys, count) with ``before``: the sum of ``count`` over all rows with smaller keys. Keys are distinct."""
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    placed = scratch.keep(placed, name)
+    totals = placed.groupBy("_part").agg(F.sum("count").alias("_sum"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
+    offsets = totals.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    running = F.sum("count").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    placed = placed.withColumn("before", F.coalesce(running, F.lit(0))).join(F.broadcast(offsets), "_part")
+    return placed.select(*rows.columns, (F.col("before") + F.col("_offset")).alias("before"))
+
+
+def segments(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+    """doc_id, version, segment, line, words, rank: the lines of segments that can hold a repeated run."""
+    lines = line_places(docs)
+    repeated = lines.groupBy("one", "two").agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
+    ranks = _ranked(repeated, ["one", "two"], scratch, "line-ids").select("one", "two", F.col("before").alias("rank"))
+    lines = lines.join(ranks, ["one", "two"]).select(*_DOC, "line", "words", "rank")
+    order = Window.partitionBy(*_DOC).orderBy("line")
+    lines = lines.withColumn("_last", F.lag("line").over(order)).filter("_last is null or _last <> line").drop("_last")  # a repeated row
+    lines = lines.withColumn("segment", F.col("line") - F.row_number().over(order))
+    whole = Window.partitionBy(*_DOC, "segment")
+    lines = lines.withColumn("_words", F.sum("words").over(whole)).filter(F.col("_words") >= min_words).drop("_words")
+    return scratch.keep(lines.withColumn("lines", F.count(F.lit(1)).over(whole.orderBy(F.col("line").desc()))), "lines")
+
+
+def suffix_ranks(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, version, line, rank of every suffix, by prefix doubling. Equal ranks: equal to their ends."""
+
+    def frame(rows: DataFrame, ahead: int) -> DataFrame:
+        """The rank ``ahead`` lines on (-1: past the end) of open suffixes, and whether the segment has any of them."""
+        segment = Window.partitionBy(*_DOC, "segment")
+        next_rank = F.coalesce(F.lead("rank", ahead).over(segment.orderBy("line")), F.lit(-1))
+        return rows.select(*_DOC, "segment", "line", "lines", "rank", F.when(F.col("open"), next_rank).alias("next"), F.max("open").over(segment).alias("live"))
+
+    turn = 0
+    rows = scratch.keep(frame(lines.withColumn("open", F.lit(True)), 1), f"frame-{turn}")
+    done = rows.filter("not live").select(*_DOC, "line", "rank")
+    while not rows.filter("live").isEmpty():
+        live = rows.filter("live")
+        groups = live.filter("next is not null").groupBy("rank", "next").agg(F.count(F.lit(1)).alias("count"))
+        groups = _ranked(groups, ["rank", "next"], scratch, f"pairs-{turn}")
+        start = groups.groupBy("rank").agg(F.min("before").alias("_start"))
+        groups = groups.join(start, "rank").select("rank", "next", "count", (F.col("rank") + F.col("before") - F.col("_start")).alias("_new"))
+        # Settled: alone, or compared past its end.
+        is_open = (F.col("count") > 1) & (F.col("lines") >= 2 << turn)
+        moved = live.join(groups, ["rank", "next"], "left").select(*_DOC, "segment", "line", "lines", F.coalesce("_new", "rank").alias("rank"), F.coalesce(is_open, F.lit(False)).alias("open"))
+        turn += 1
+        rows = scratch.keep(frame(moved, 1 << turn), f"frame-{turn}")
+        scratch.drop(f"pairs-{turn - 1}")
+        done = done.unionByName(rows.filter("not live").select(*_DOC, "line", "rank"))
+    return done
+
+
+def asked_runs(lines: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, version, line, sizes, head: the numbers of lines of the runs asked for from a line, and the IDs of the longest."""
+    segment = Window.partitionBy(*_DOC, "segment")
+    before = F.sum("words").over(segment.orderBy("line")) - F.col("words")
+    rows = lines.withColumn("before", before).withColumns({"after": F.col("before") + F.col("words"), "total": F.sum("words").over(segment)})
+    ahead = F.count(F.lit(1)).over(segment.orderBy("before").rangeBetween(0, min_words - 1))
+    back = F.count(F.lit(1)).over(segment.orderBy("after").rangeBetween(-(min_words - 1), 0))
+    head = F.collect_list("rank").over(segment.orderBy("line").rowsBetween(0, min_words - 1))
+    rows = rows.select(*_DOC, "line", head.alias("head"), F.when(F.col("total") - F.col("before") >= min_words, ahead).alias("ahead"), F.when(F.col("after") >= min_words, back).alias("back"))
+    runs = F.array(F.struct("line", F.col("ahead").alias("size"), F.lit(True).alias("own")), F.struct((F.col("line") - F.col("back") + 1).cast("int").alias("line"), F.col("back").alias("size"), F.lit(False).alias("own")))
+    asked = rows.select(*_DOC, "head", F.explode(runs).alias("run")).filter("run.size is not null or run.own")
+    asked = asked.groupBy(*_DOC, "run.line").agg(F.array_compact(F.collect_set(F.col("run.size").cast("int"))).alias("sizes"), F.max(F.when(F.col("run.own"), F.col("head"))).alias("head"))
+    return asked.filter(F.size("sizes") > 0).select(*_DOC, "line", "sizes", F.slice("head", F.lit(1), F.array_max("sizes")).alias("head"))
+
+
+def intervals(lines: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+    """doc_id, version, line, size, interval: equal (size, interval) where the next ``size`` lines are equal."""
+    ranks = suffix_ranks(lines, scratch).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("line").alias("_line"), "rank")
+    asked = asked_runs(lines, min_words)
+    suffixes = asked.join(ranks, asked["doc_id"].eqNullSafe(ranks["_id"]) & (asked["version"] == ranks["_version"]) & (asked["line"] == ranks["_line"])).select(*asked.columns, "rank")
+    order = ["rank", *_DOC, "line"]
+    array = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).select(*asked.columns, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    array = scratch.keep(array, "suffix-array")
+    ends = array.groupBy("part").agg(F.max_by("head", "at").alias("_end"))
+    ends = ends.select("part", F.lag("_end").over(Window.orderBy("part")).alias("_end"))  # over one row for each partition
+    in_part = Window.partitionBy("part").orderBy("at")
+    last = F.coalesce(F.lag("head").over(in_part), "_end")
+    unequal = F.array_position(F.zip_with("head", "_last", lambda a, b: a.eqNullSafe(b)), False) - 1
+    # Without an unequal place one head is the other's beginning: the common prefix is the shorter.
+    common = F.when(F.col("_last").isNull(), 0).when(unequal >= 0, unequal).otherwise(F.size("head"))
+    rows = array.join(F.broadcast(ends), "part").withColumn("_last", last).withColumn("common", common)
+    rows = rows.select(*_DOC, "line", "part", "at", "common", F.explode("sizes").alias("size"))
+    starts = F.when(F.col("common") < F.col("size"), F.col("at"))
+    rows = rows.withColumn("start", F.max(starts).over(Window.partitionBy("part", "size").orderBy("at")))
+    carried = rows.groupBy("part", "size").agg(F.max(starts).alias("_start"))
+    carried = carried.select("part", "size", F.max("_start").over(Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("_start"))
+    rows = rows.join(F.broadcast(carried), ["part", "size"], "left")
+    return rows.select(*_DOC, "line", "size", F.coalesce("start", "_start").alias("interval"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Maximal runs of lines that stand earlier too: doc_id, version, line, lines, and where the first line's copy is."""
-    asked = intervals(line_places(docs), min_words)
+    kept, scratch = Scratch(docs.sparkSession, "linedup-intervals"), Scratch(docs.sparkSession, "linedup")
+    asked = kept.keep(intervals(segments(docs, min_words, scratch), min_words, scratch), "whole")
+    scratch.drop_all()
     place = F.struct("doc_id", "line", "version")
-    first = asked.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("key", "first")
-    later = asked.join(first, "key").filter(place > F.col("first")).select("doc_id", "version", "line", (F.col("line") + F.col("lines")).alias("end"), "first")
-    order = Window.partitionBy("doc_id", "version").orderBy("line", "end")
+    first = asked.groupBy("size", "interval").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("size", "interval", "first")
+    later = asked.join(first, ["size", "interval"]).filter(place > F.col("first")).select(*_DOC, "line", (F.col("line") + F.col("size")).alias("end"), "first")
+    order = Window.partitionBy(*_DOC).orderBy("line", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     later = later.withColumn("_new", F.when(reach >= F.col("line"), 0).otherwise(1))
     later = later.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = later.groupBy("doc_id", "version", "_run").agg(F.min("line").alias("line"), F.max("end").alias("end"), F.min(F.struct("line", "first")).alias("f"))
-    return runs.select("doc_id", "version", "line", (F.col("end") - F.col("line")).cast("int").alias("lines"), F.col("f.first.doc_id").alias("first_doc_id"), F.col("f.first.line").alias("first_line"))
+    runs = later.groupBy(*_DOC, "_run").agg(F.min("line").alias("line"), F.max("end").alias("end"), F.min(F.struct("line", "first")).alias("f"))
+    return runs.select(*_DOC, "line", (F.col("end") - F.col("line")).cast("int").alias("lines"), F.col("f.first.doc_id").alias("first_doc_id"), F.col("f.first.line").alias("first_line"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, names: tuple[str, str, str] = ("n_lines", "n_deleted", "n_runs")) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from compare import same
 from speechmill.llm import bpe, decontam, fingerprint, html, linedup, minhash, ngram_lm, queries, ranking, rollup, sharding
+from speechmill.llm.common import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Null and empty texts, a repeated row, a null id, columns that operators use themselves.
@@ -277,6 +278,44 @@ def test_op9_edges(spark, none):
     assert linedup.dedup_lines(none).count() == 0
 
 
+def brute_runs(docs, min_words):
+    """Lines of each document in any run of ``min_words`` words or more that stands earlier too."""
+    seen, gone = set(), {d: set() for d in docs}
+    for d in sorted(docs):
+        lines = [x for x in docs[d].split("\n") if x.split()]
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                run = tuple(lines[i:j])
+                if sum(len(x.split()) for x in run) >= min_words:
+                    if run in seen:
+                        gone[d].update(range(i, j))
+                    seen.add(run)
+    return {d: len(g) for d, g in gone.items()}
+
+
+@pytest.mark.parametrize("min_words", [3, 10, 25, 60])
+def test_op9_is_the_brute_force(spark, min_words):
+    draw = random.Random(min_words)
+    line = lambda k: " ".join([f"w{k}"] * (1 + k % 4))
+    docs = {d: "\n".join(line(draw.randrange(4 if d % 2 else 12)) for _ in range(draw.randrange(40))) for d in range(40)}
+    docs |= {40: docs[3], 41: f"{docs[4]}\n{docs[3]}", 42: "\n".join([line(3)] * 70), 43: "\n".join([line(3)] * 50)}
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.n_deleted for r in linedup.dedup_lines(table, min_words).collect()} == brute_runs(docs, min_words)
+
+
+def test_op9_suffix_array(spark, tmp_path):
+    draw = random.Random(9)
+    docs = {d: [draw.randrange(3) for _ in range(draw.randrange(1, 30))] for d in range(30)}
+    table = spark.createDataFrame([(d, "\n".join(f"line {k}" for k in ks)) for d, ks in docs.items()], "doc_id long, text string")
+    lines = linedup.segments(table, 1, Scratch(spark, "test"))
+    code = {(r.doc_id, r.line): r["rank"] for r in lines.collect()}
+    suffix = {(d, i): tuple(code[d, j] for j in range(i, len(ks))) for d, ks in docs.items() for i in range(len(ks))}
+    ranks = {(r.doc_id, r.line): r["rank"] for r in linedup.suffix_ranks(lines, Scratch(spark, "test")).collect()}
+    order = sorted(suffix, key=suffix.get)
+    assert set(ranks) == set(suffix)
+    assert all((ranks[a] < ranks[b]) == (suffix[a] < suffix[b]) and ranks[a] <= ranks[b] for a, b in itertools.pairwise(order))
+
+
 @pytest.mark.parametrize(
     "page,text",
     [
