@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 
 import ahocorasick
 import numpy as np
@@ -117,9 +118,14 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder(path: str, pattern: str) -> Encoder:
-    """One for each worker process."""
+    """One for each worker process. Where a worker lacks ``path``, the file of that name that is installed there counts."""
     if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(path, pattern)
+        here = path
+        if not os.path.exists(here):
+            import public_tokenizers
+
+            here = public_tokenizers.path(os.path.basename(path))
+        _encoders[path, pattern] = Encoder(here, pattern)
     return _encoders[path, pattern]
 
 
@@ -169,7 +175,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def tokenized(docs: DataFrame, carry: list[str], path: str, pattern: str) -> DataFrame:
-    """The columns ``carry``, ``n_tokens``, ``ids``, and ``exact``: the ids decode to the text's bytes."""
+    """The columns ``carry``, ``n_tokens``, ``ids``, and ``exact``: the ids decode to the text's bytes.
+
+    Where ``carry`` has such a name, the new column has underscores before it.
+    """
+    names = [fresh(docs.select(*[F.col(f"`{c}`") for c in carry]), n) for n in ("n_tokens", "ids", "exact")]
 
     def made(batches):
         make = encoder(path, pattern)
@@ -178,9 +188,8 @@ def tokenized(docs: DataFrame, carry: list[str], path: str, pattern: str) -> Dat
             packed = [make.encode(t) for t in texts]
             exact = [make.decode(p) == t.encode() for p, t in zip(packed, texts, strict=True)]
             ids = [np.frombuffer(p, "<u4").astype(np.int32) for p in packed]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(exact)], [*carry, "n_tokens", "ids", "exact"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(exact)], [*carry, *names])
 
-    carry = [c for c in carry if c not in ("n_tokens", "ids", "exact")]
     source = docs.select(*[F.col(f"`{c}`") for c in carry], text_or_empty().alias(fresh(docs, "body")))
-    new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())]
+    new = [T.StructField(n, k) for n, k in zip(names, (T.LongType(), T.ArrayType(T.IntegerType()), T.BooleanType()), strict=True)]
     return source.mapInArrow(made, T.StructType([*source.schema.fields[:-1], *new]))

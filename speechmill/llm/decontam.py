@@ -10,6 +10,9 @@ adds to what the passes before have found.
 
 A window is ``WINDOW`` consecutive words of an item, or all of a shorter one. Defined cases: null or wordless texts
 have no words and no windows; rows are documents of their own even if doc_ids repeat; an item without id is named "".
+An empty table gives no rows, an empty benchmark no hits; a very long text is one shard of its own; findings take
+names that the carried columns must not have (``fresh`` gives such). Where an item holds a window several times, a
+match names one of its places.
 """
 
 from __future__ import annotations
@@ -44,14 +47,14 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.known, self.names, self.words = _Known(), [], []
-        places: dict[bytes, list[tuple[int, int]]] = {}
+        places: dict[bytes, dict[int, dict[int, None]]] = {}  # window -> item -> its starts there, in order
         for name, text in items:
             words = words_of(text)
             if not words:
                 continue
             ids = np.array([self.known.setdefault(w, len(self.known) + 1) for w in words], np.int64)
             for at in range(max(1, len(ids) - window + 1)):
-                places.setdefault(ids[at : at + window].tobytes(), []).append((len(self.names), at))
+                places.setdefault(ids[at : at + window].tobytes(), {}).setdefault(len(self.names), {})[at] = None
             self.names.append(name)
             self.words.append(ids)
         self.windows = [np.frombuffer(w, np.int64) for w in places]
@@ -144,21 +147,31 @@ def _matches(index: Benchmark, texts: list[bytes]) -> tuple[list[int], list[np.n
                     hit[at + k] = True
                 owner = np.searchsorted(begin, at, side="right") - 1
                 for p, d in zip(at.tolist(), owner.tolist(), strict=True):
-                    for item, start in index.places[i]:
-                        found[d].append((item, p - int(begin[d]), start, size))
+                    found[d].append((p - int(begin[d]), int(i)))
     masks = [hit[b : b + n] for b, n in zip(begin.tolist(), counts, strict=True)]
     return counts, masks, [_longest(index, f) for f in found]
 
 
-def _longest(index: Benchmark, found: list[tuple]) -> list[tuple]:
-    """Windows that overlap on one diagonal joined to maximal verbatim matches (item, word, item word, length)."""
+def _longest(index: Benchmark, found: list[tuple[int, int]]) -> list[tuple]:
+    """Verbatim matches (item, word, item word, length), from the windows found at words.
+
+    Left to right, a window goes on with an item's match if it also stands at the next word of the item; else a new
+    match begins at the item's first such place. So each window found adds one step for each item that has it.
+    """
     out: list[tuple] = []
-    for item, word, start, size in sorted(found, key=lambda f: (f[0], f[1] - f[2], f[1])):
-        if out and out[-1][0] == item and out[-1][1] - out[-1][2] == word - start and word <= out[-1][1] + out[-1][3]:
-            out[-1] = (*out[-1][:3], word + size - out[-1][1])
-        else:
-            out.append((item, word, start, size))
-    return [(index.names[i], w, s, n) for i, w, s, n in out]
+    open_at: dict[int, list[int]] = {}  # item -> word, item word, length, last window's word
+    for word, i in sorted(found):
+        size = len(index.windows[i])
+        for item, starts in index.places[i].items():
+            now = open_at.get(item)
+            if now is not None and now[3] == word - 1 and now[1] + word - now[0] in starts:
+                now[2:] = word + size - now[0], word
+                continue
+            if now is not None:
+                out.append((index.names[item], *now[:3]))
+            open_at[item] = [word, next(iter(starts)), size, word]
+    out += [(index.names[item], *now[:3]) for item, now in open_at.items()]
+    return sorted(out)
 
 
 def _pass(source: DataFrame, items, body: str, state: list[str], window: int, shard_words: int) -> DataFrame:

@@ -148,6 +148,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     scratch.drop_all()
     place = F.struct("doc_id", "line", "version")
     first = asked.groupBy("size", "interval").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("size", "interval", "first")
+    first = kept.keep(first, "first")  # written, so that the join below can split hot intervals
     later = asked.join(first, ["size", "interval"]).filter(place > F.col("first")).select(*_DOC, "line", (F.col("line") + F.col("size")).alias("end"), "first")
     order = Window.partitionBy(*_DOC).orderBy("line", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))

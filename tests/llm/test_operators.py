@@ -253,6 +253,9 @@ def test_op7(spark, sf_dir, texts, odd, none):
     assert np.frombuffer(made.encode("a" * 3000), "<u4").tolist() == other.encode_ordinary("a" * 3000)
     back = bpe.decode_documents(bpe.encode_documents(odd, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN).collect()
     assert Counter((r.doc_id, bytes(r.data)) for r in back) == Counter((o[0], (o[1] or "").encode()) for o in ODD)
+    clash = odd.withColumnRenamed("score", "ids")
+    rows = bpe.tokenized(clash, ["doc_id", "ids"], path, public_tokenizers.PATTERN).collect()
+    assert Counter(r.ids for r in rows) == Counter(o[2] for o in ODD) and all(r.exact and len(r["_ids"]) == r.n_tokens for r in rows)
     assert bpe.round_trip(none, path, public_tokenizers.PATTERN).count() == 0
 
 
@@ -267,6 +270,14 @@ def test_op8_blocks_and_edges(spark, odd, none):
     assert decontam.find_contamination(odd, items.filter("false"), ["doc_id"]).filter("n_hit > 0").count() == 0
 
 
+def test_op8_repeated_words_are_not_all_pairs(spark):
+    items = spark.createDataFrame([(1, "ha " * 800), (2, "a b c d e f g h i j k l")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "ha " * 4000), (2, "x a b c d e f g h i j k l y b c d e f g h i j k")], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontam.find_contamination(docs, items, ["doc_id"]).collect()}
+    assert got[1].n_hit == 4000 and len(got[1].matches) < 10
+    assert [tuple(m) for m in got[2].matches] == [("2", 1, 0, 12), ("2", 14, 1, 10)]
+
+
 def test_op9_edges(spark, none):
     line = lambda k, n=30: " ".join(f"w{k}x{i}" for i in range(n))
     rows = [(1, f"{line(1)}\n{line(2)}\nalone"), (2, f"first\n{line(1)}\n\n{line(2)}\nlast"), (2, f"first\n{line(1)}\n\n{line(2)}\nlast"), (3, line(1)), (4, None), (5, f"{line(1)}\n{line(2)}\nalone"), (6, "")]
