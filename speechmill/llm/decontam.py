@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import fresh, materialize, slices, text_or_empty, utf8_values
 
-WINDOW, SHARD_WORDS, BLOCK_BYTES = 10, 1_000_000, 4_000_000
+WINDOW, SHARD_WORDS, BLOCK_BYTES = 10, 250_000, 4_000_000
 
 #: ASCII letters and digits and all bytes of other characters are parts of words; A-Z count as a-z.
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
