@@ -1,10 +1,10 @@
 import pytest
 
 from compare import same
-from speechmill.plans import corpus, relational
+from speechmill.plans import corpus, media, relational
 
-SQL = {**corpus.oracle_sql(), **relational.oracle_sql()}
-QUERIES = {**corpus.queries(), **relational.queries()}
+SQL = {**corpus.oracle_sql(), **relational.oracle_sql(), **media.oracle_sql()}
+QUERIES = {**corpus.queries(), **relational.queries(), **media.queries()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
