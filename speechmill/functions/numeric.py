@@ -41,7 +41,7 @@ def emotion_vector(text: Column) -> Column:
 def shift_list(text: Column) -> Column:
     """Whole numbers from -18 to 18 without 0; full-width commas and minus signs count, other items are dropped."""
     parts = F.transform(F.split(F.translate(text, "，－−", ",--"), ","), lambda x: F.trim(x).try_cast("int"))
-    return F.array_distinct(F.filter(parts, lambda n: n.isNotNull() & n.between(-18, 18) & (n != 0)))
+    return F.filter(parts, lambda n: n.isNotNull() & n.between(-18, 18) & (n != 0))
 
 
 def human_size(size: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Full-width letters and digits and what they stand for.
@@ -14,7 +14,20 @@ COMPARE_MARKS = r"[\s　`~!@#$%^&*()_\-+=\[\]{}\\|;:'\",.<>/?·！？…。，
 VERDICT_MARKS = r"[\s　`~!@#$%^&*()_\-+=\[\]{|;:'\",.<>/?·！？…。，、；：‘’“”（）《》〈〉【】〔〕％＃＠＆＊－＋＝｜｛｝／＼「」～￥]+"
 
 #: Sentences that recognisers invent over silence.
-STOCK_PHRASES = ("thanks for watching", "thank you for watching", "subscribe", "amara.org", "mbc news", "字幕组")
+STOCK_PHRASES = (
+    "请不吝点赞", "字幕由", "谢谢观看", "感谢观看", "请勿盗用", "有需要字幕", "明镜与点点", "字幕组", "小铃铛",
+    "thanks for watching", "thank you for watching", "subscribe", "amara.org", "mbc news",
+)
+# A sentence with its closing marks, and what makes it one.
+SENTENCE = r"[^。！？!?…；;\n]*[。！？!?…]+|[^。！？!?…；;\n]*[；;\n]+|[^。！？!?…；;\n]+"
+WORDED = r"[\p{L}\p{N}_]"
+#: White space at both ends, in Unicode's sense, not only spaces.
+OUTER_SPACE = r"^[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$"
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends; null as empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), OUTER_SPACE, "")
 
 
 def normalize_text(text: Column) -> Column:
@@ -48,9 +61,9 @@ def sanitize_punctuation(text: Column, latin_terminal: bool = False) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Trimmed sentences with their terminal marks; those without a letter or digit are dropped."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"([^。！？!?…\n.]*[。！？!?…\n.]+|[^。！？!?…\n.]+)"), F.lit(1)), lambda s: F.trim(F.translate(s, "\n", " ")))
-    return F.filter(found, lambda s: s.rlike(r"[\p{L}\p{N}_]"))
+    """Sentences with their closing marks and without outer white space; those without a letter or digit are dropped."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0)), strip)
+    return F.filter(found, lambda s: s.rlike(WORDED))
 
 
 def split_after_marks(text: Column) -> Column:
@@ -71,25 +84,34 @@ def pack_greedily(parts: Column, limit: int) -> Column:
 
 
 def verdict_core(text: Column) -> Column:
-    return F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), VERDICT_MARKS, "")
+    return F.regexp_replace(strip(text), VERDICT_MARKS, "")
+
+
+def sorted_characters(core: Column) -> Column:
+    return F.array_sort(F.filter(F.split(core, ""), lambda c: c != ""))
 
 
-def degenerate_reason(text: Column, core: Column, min_chars: int = 2, strict_repeat: bool = False) -> Column:
-    """Why a generated text is useless, '' if it isn't; ``core`` is ``verdict_core(text)`` as a column of its own.
+def with_degenerate_reason(rows: DataFrame, text: str, name: str, min_chars: int = 2, strict_repeat: bool = False) -> DataFrame:
+    """Adds ``name``: why a generated text is useless, '' if it isn't.
 
-    The rule against six equal characters in a row is off by default, as the text it comes from never applied it.
+    Characters are sorted once for each row: one that makes up half of a text stands in the middle, so that two counts
+    decide. The rule against six equal characters in a row is off by default, as the text it comes from never applied it.
     """
-    chars = F.array_distinct(F.filter(F.split(core, ""), lambda c: c != ""))
-    size = F.char_length(core)
-    most = F.array_max(F.transform(chars, lambda c: size - F.char_length(F.replace(core, c, F.lit("")))))
-    low = F.lower(F.trim(text))
+    body = F.col(f"`{text}`")
+    step = rows.withColumn("_core", verdict_core(body)).withColumn("_chars", sorted_characters(F.col("_core")))
+    step = step.withColumns({"_size": F.size("_chars"), "_kinds": F.size(F.array_distinct("_chars"))})
+    core, size, kinds = F.col("_core"), F.col("_size"), F.col("_kinds")
+    count = lambda at: size - F.char_length(F.replace(core, F.coalesce(F.get("_chars", at.cast("int")), F.lit(" ")), F.lit("")))
+    most = F.greatest(count(F.floor((size - 1) / 2)), count(F.floor(size / 2)))
+    low = F.lower(body)
     stock = F.lit(False)
     for phrase in STOCK_PHRASES:
         stock = stock | low.contains(phrase)
-    out = F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty").when(size < min_chars, "too_short").when(F.size(chars) == 1, "single_character").when(most / size >= 0.5, "one_character_dominates")
+    out = F.when(strip(body) == "", "empty").when(size < min_chars, "too_short").when(kinds == 1, "single_character").when(most / size >= 0.5, "one_character_dominates")
     if strict_repeat:
         out = out.when(core.rlike(r"(.)\1{5,}"), "repeated_character")
-    return out.when((size >= 8) & (F.size(chars) / size < 0.15), "few_characters").when(stock, "stock_phrase").otherwise("")
+    out = out.when((size >= 8) & (kinds / size < 0.15), "few_characters").when(stock, "stock_phrase").otherwise("")
+    return step.withColumn(name, out).drop("_core", "_chars", "_size", "_kinds")
 
 
 def rich_transcript(raw: Column, events: tuple[str, ...], emotions: dict[str, str]) -> Column:
@@ -103,7 +125,7 @@ def rich_transcript(raw: Column, events: tuple[str, ...], emotions: dict[str, st
 
 def cjk_tokens(text: Column) -> Column:
     """Each CJK character a token of its own, other runs as words, upper case."""
-    spaced = F.regexp_replace(F.trim(F.upper(text)), r"([一-鿿㐀-䶿぀-ヿ])", " $1 ")
+    spaced = F.regexp_replace(F.trim(F.upper(text)), r"([\x{1100}-\x{11FF}\x{2E80}-\x{A4CF}\x{A840}-\x{D7AF}\x{F900}-\x{FAFF}\x{FE30}-\x{FE4F}\x{FF65}-\x{FFDC}\x{20000}-\x{2FFFF}])", " $1 ")
     return F.filter(F.split(F.trim(spaced), r"\s+"), lambda w: w != "")
 
 

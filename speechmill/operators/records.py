@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+from ..session import ready_for_checkpoints
+
 #: Lengths in seconds and loudness above noise that a recording must have.
 MIN_SECONDS, TRAIN_SECONDS, HARD_SECONDS, MIN_SNR = 1.0, 20.0, 72.6, 15.0
 
+#: A list of more names is a table, not a parameter.
+MOST_NAMES = 10_000
+
 
 def update_fields(records: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Non-null fields of ``changes`` replace those of known records; nothing is inserted, unknown fields are ignored."""
+    """Non-null fields of ``changes`` replace those of known records; nothing is inserted, unknown fields are ignored.
+
+    Of several changes to one record the least row counts, by its fields in order.
+    """
     fields = [c for c in changes.columns if c in records.columns and c != key]
-    new = changes.dropDuplicates([key]).select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in fields])
+    new = changes.groupBy(key).agg(F.min(F.struct(*fields)).alias("_c")).select(key, *[F.col(f"_c.{c}").alias(f"_new_{c}") for c in fields])
     joined = records.join(new, key, "left")
     return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in records.columns])
 
@@ -25,21 +34,24 @@ def only_new(incoming: DataFrame, existing: DataFrame, keys: list[str], order: l
 
 
 def next_ids(incoming: DataFrame, existing: DataFrame, column: str, order: list[str], prefix: str = "utt_", parts: int = 16) -> DataFrame:
-    """Ids that go on from the highest number in use; numbered in parts by order, so no task sorts all rows."""
+    """Ids that go on from the highest number in use; numbered in parts by order, so no task sorts all rows.
+
+    Parts come from sampled bounds, which differ from one execution to the next, so the parts are checkpointed before
+    they are counted and numbered.
+    """
+    ready_for_checkpoints(incoming.sparkSession)
     top = existing.agg(F.coalesce(F.max(F.regexp_extract(column, r"(\d+)$", 1).try_cast("long")), F.lit(0))).first()[0]
-    dealt = incoming.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    counts = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, so_far = {}, top
-    for part in sorted(counts):
-        offsets[part], so_far = so_far, so_far + counts[part]
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), F.col("_part")) if offsets else F.lit(top)
-    number = offset + F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.withColumn(column, F.format_string(f"{prefix}%05d", number)).drop("_part")
+    dealt = incoming.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each part
+    offsets = counts.select("_part", (F.lit(top) + F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_offset"))
+    number = F.col("_offset") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.join(F.broadcast(offsets), "_part").withColumn(column, F.format_string(f"{prefix}%05d", number)).drop("_part", "_offset")
 
 
 def status(text: Column, seconds: Column, snr: Column, has_features: Column, need_features: bool = False) -> tuple[Column, Column]:
     """The first problem that counts, or ready; and all problems."""
-    empty = F.trim(F.coalesce(text, F.lit(""))) == ""
+    empty = strip(text) == ""
     missing = ~has_features if need_features else F.lit(False)
     tests = [("no_text", empty), ("over_hard_limit", seconds > HARD_SECONDS), ("too_long", seconds.between(TRAIN_SECONDS, HARD_SECONDS) & (seconds > TRAIN_SECONDS)), ("too_short", seconds < MIN_SECONDS), ("low_snr", snr < MIN_SNR), ("no_features", missing)]
     verdict = F.when(tests[0][1], tests[0][0])
@@ -63,7 +75,7 @@ def curate(records: DataFrame, reason: Column, score: Column, min_score: float,
     return marked.withColumn("drop_reason", F.when(passed & (F.col("_at") > most), "repeats over the limit").otherwise(F.col("drop_reason"))).drop("_key", "_passed", "_at")
 
 
-def contained_name(rows: DataFrame, text: str, names: list[str], limit: int = 10_000) -> DataFrame:
+def contained_name(rows: DataFrame, text: str, names: list[str], limit: int = MOST_NAMES) -> DataFrame:
     """Adds ``match``: the first of a short list of names that the text contains. The list is part of the plan."""
     if len(names) > limit:
         raise ValueError(f"{len(names)} names; a list of over {limit} is a table, not a parameter")

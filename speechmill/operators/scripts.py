@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import sentences
+
 # Emotion keys in order of precedence, words that speak for them, stressed words.
 EMOTIONS = ("happy", "angry", "sad", "afraid", "disgusted", "melancholic", "surprised", "calm")
 EMOTION_WORDS = {
@@ -26,15 +28,6 @@ FINAL_MARKS = "…—！？。.；;：:，,、!?"
 #: Marks after which a block takes another line without a full stop between.
 CLOSED = "。！？…！？.!?\""
 
-SENTENCE = r"[^。！？!?…；;\n]*[。！？!?…]+|[^。！？!?…；;\n]*[；;\n]+|[^。！？!?…；;\n]+"
-WORDED = r"[\p{L}\p{N}_]"
-
-
-def script_sentences(text: Column) -> Column:
-    """Sentences with their closing marks and without outer white space; those without a letter or digit are dropped."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
-    return F.filter(found, lambda s: s.rlike(WORDED))
-
 
 def guess_emotion(line: Column) -> tuple[Column, Column]:
     """Emotion key and intensity: most words found (ties: first key), then what !, ? and … add."""
@@ -98,7 +91,7 @@ def hashed_jitter(*key: Column) -> Column:
 
 def rules_script(texts: DataFrame, key: str, text: str, seed: int = 0, scale: float = 1.0) -> DataFrame:
     """``key``, pos, line, emotion, intensity, pause, stress: a script line for each sentence."""
-    lines = texts.select(key, F.posexplode(script_sentences(F.coalesce(text, F.lit("")))).alias("pos", "line"))
+    lines = texts.select(key, F.posexplode(sentences(F.col(text))).alias("pos", "line"))
     emotion, strength = guess_emotion(F.col("line"))
     lines = lines.select("*", emotion.alias("emotion"), strength.alias("intensity"))
     jitter = hashed_jitter(F.lit(str(seed)), F.col(key).cast("string"), F.col("pos").cast("string"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def merge_adjacent(rows: DataFrame, group: str, start: str, end: str, label: str, gap: float) -> DataFrame:
     """Neighbouring intervals of one label, less than ``gap`` apart, as one."""
-    order = Window.partitionBy(group).orderBy(start, end)
+    order = Window.partitionBy(group).orderBy(start, end, label)
     new = (F.lag(label).over(order) != F.col(label)) | (F.col(start) - F.lag(end).over(order) >= gap)
     marked = rows.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(group, "_run", label).agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_run")

@@ -23,9 +23,10 @@ def _norm(column: str) -> str:
     return f"lower(regexp_replace(translate(coalesce({column}, ''), '{text.FULL_WIDTH}', '{text.HALF_WIDTH}'), {_lit(text.COMPARE_MARKS)}, '', 'g'))"
 
 
-_CORE = f"regexp_replace(trim(coalesce(text, '')), {_lit(text.VERDICT_MARKS)}, '', 'g')"
-_STOCK = " OR ".join(f"contains(lower(trim(text)), '{p}')" for p in text.STOCK_PHRASES)
-_REASON = f"""CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN len(core) < 2 THEN 'too_short' WHEN len(cs) = 1 THEN 'single_character'
+_STRIP = f"regexp_replace(coalesce(text, ''), {_lit(text.OUTER_SPACE)}, '', 'g')"
+_CORE = f"regexp_replace({_STRIP}, {_lit(text.VERDICT_MARKS)}, '', 'g')"
+_STOCK = " OR ".join(f"contains(lower(text), '{p}')" for p in text.STOCK_PHRASES)
+_REASON = f"""CASE WHEN {_STRIP} = '' THEN 'empty' WHEN len(core) < 2 THEN 'too_short' WHEN len(cs) = 1 THEN 'single_character'
   WHEN list_max(list_transform(cs, lambda c: len(core) - len(replace(core, c, '')))) / len(core) >= 0.5 THEN 'one_character_dominates'
   WHEN len(core) >= 8 AND len(cs) / len(core) < 0.15 THEN 'few_characters' WHEN {_STOCK} THEN 'stock_phrase' ELSE '' END"""
 _REASONED = f"SELECT *, {_REASON} AS reason FROM (SELECT *, list_distinct(string_split(core, '')) AS cs FROM (SELECT *, {_CORE} AS core FROM documents))"
@@ -33,9 +34,9 @@ _REASONED = f"SELECT *, {_REASON} AS reason FROM (SELECT *, list_distinct(string
 
 def curate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents each drop reason takes; at most two with the same words stay."""
-    docs = _t(spark, sf_dir, "documents").withColumn("core", text.verdict_core(F.col("text")))
+    docs = text.with_degenerate_reason(_t(spark, sf_dir, "documents"), "text", "reason")
     key = F.lower(F.array_join(F.filter(F.split("text", r"\s+"), lambda w: w != ""), " "))
-    kept = records.curate(docs, text.degenerate_reason(F.col("text"), F.col("core")), F.col("n_chars"), 20, key, ["doc_id"], 2)
+    kept = records.curate(docs, F.col("reason"), F.col("n_chars"), 20, key, ["doc_id"], 2)
     return kept.groupBy(F.get(F.split("drop_reason", " "), F.lit(0)).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -180,14 +181,24 @@ def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = _t(spark, sf_dir, "embeddings")
     mean = vec.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     mean = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("c"))
-    means = [(r["label"], list(r["c"])) for r in mean.orderBy("label").limit(4096).collect()]  # classes, not rows
-    table = F.from_json(F.lit(str([{"label": k, "c": c} for k, c in means]).replace("'", '"')), "array<struct<label:int,c:array<double>>>")
-    near = F.array_max(F.transform(table, lambda m: F.struct(F.round(numeric.cosine(F.col("embedding"), m["c"]), 9).alias("sim"), (-m["label"]).alias("l"))))
-    return vec.select("vec_id", near.alias("n")).select("vec_id", (-F.col("n.l")).alias("nearest"), F.round("n.sim", 5).alias("similarity"))
+    classes, block = mean.count(), 4096
+    # Classes go to the vectors a block at a time, and a vector keeps the best of each block: blocks bound the broadcast.
+    best = None
+    blocks = -(-classes // block)
+    for b in range(blocks):
+        part = mean.filter(F.pmod(F.xxhash64("label"), F.lit(blocks)) == b).agg(F.collect_list(F.struct("label", "c")).alias("_classes"))
+        near = F.array_max(F.transform("_classes", lambda m: F.struct(F.round(numeric.cosine(F.col("embedding"), m["c"]), 9).alias("sim"), (-m["label"]).alias("l"))))
+        one = vec.join(F.broadcast(part)).select("vec_id", near.alias("n"))
+        best = one if best is None else best.unionByName(one)
+    if best is None:
+        return vec.limit(0).select("vec_id", F.col("label").alias("nearest"), F.lit(0.0).alias("similarity"))
+    if blocks > 1:
+        best = best.groupBy("vec_id").agg(F.max("n").alias("n"))
+    return best.select("vec_id", (-F.col("n.l")).alias("nearest"), F.round("n.sim", 5).alias("similarity"))
 
 
 def substring_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = [r[0] for r in _t(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().orderBy("w").limit(10_000).collect()]
+    words = [r[0] for r in _t(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().orderBy("w").limit(records.MOST_NAMES + 1).collect()]  # one more than allowed, so that contained_name refuses
     return records.contained_name(_t(spark, sf_dir, "part"), "p_type", [w.upper() for w in words if w]).select("p_partkey", "match")
 
 
@@ -220,11 +231,14 @@ ORACLES = {
         a AS (SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), ' ') AS k, CASE WHEN reason <> '' THEN 'text:' WHEN n_chars < 20 THEN 'score' ELSE '' END AS reason FROM r),
         b AS (SELECT CASE WHEN reason = '' AND row_number() OVER (PARTITION BY k, reason = '' ORDER BY doc_id) > 2 THEN 'repeats' ELSE reason END AS reason FROM a)
         SELECT reason, count(*) AS n FROM b GROUP BY reason""",
-    "doc_status_stats": """
+    "doc_status_stats": f"""
         WITH d AS (SELECT text, n_chars / 15.0 AS s, q FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id)),
-        e AS (SELECT s, CASE WHEN trim(coalesce(text, '')) = '' THEN 'no_text' WHEN s > 72.6 THEN 'over_hard_limit' WHEN s > 20 THEN 'too_long' WHEN s < 1 THEN 'too_short' WHEN q = 0 THEN 'low_snr' WHEN q IS NULL THEN 'no_features' ELSE 'ready' END AS status,
-          (trim(coalesce(text, '')) = '')::INT + (s > 20)::INT + (s < 1)::INT + coalesce(q = 0, false)::INT + (q IS NULL)::INT AS k FROM d)
+        e AS (SELECT s, CASE WHEN {_STRIP} = '' THEN 'no_text' WHEN s > 72.6 THEN 'over_hard_limit' WHEN s > 20 THEN 'too_long' WHEN s < 1 THEN 'too_short' WHEN q = 0 THEN 'low_snr' WHEN q IS NULL THEN 'no_features' ELSE 'ready' END AS status,
+          ({_STRIP} = '')::INT + (s > 20)::INT + (s < 1)::INT + coalesce(q = 0, false)::INT + (q IS NULL)::INT AS k FROM d)
         SELECT status, count(*) AS n, CAST(sum(k) AS BIGINT) AS problems, round(sum(s) / 60, 3) AS minutes FROM e GROUP BY status""",
+    "sentence_explode": f"""
+        WITH l AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '{text.SENTENCE}'), lambda x: regexp_replace(x, '{text.OUTER_SPACE}', '', 'g')), lambda x: regexp_matches(x, '{text.WORDED}')) AS s FROM documents)
+        SELECT doc_id, len(s) AS n, CAST(list_max(list_transform(s, lambda x: length(x))) AS INT) AS longest, CAST(list_sum(list_transform(s, lambda x: length(x))) AS BIGINT) AS total FROM l WHERE len(s) > 0""",
     "text_normalize_compare": f"SELECT doc_id, md5({_norm('text')}) AS digest FROM documents",
     "repeat_cap": "SELECT doc_id, row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) > 1 AS over FROM documents",
     "only_new_sources": "SELECT min(doc_id) AS doc_id FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) GROUP BY text",

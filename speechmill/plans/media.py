@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import catalog, frames, sampling, scripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,8 +146,8 @@ def nearest_unused(spark, sf_dir):
 
 # Scripts
 
-_SENT = f"""l0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{scripts.SENTENCE}') AS s FROM documents),
-  l1 AS (SELECT doc_id, list_filter(list_transform(s, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: regexp_matches(x, '{scripts.WORDED}')) AS s FROM l0),
+_SENT = f"""l0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{text.SENTENCE}') AS s FROM documents),
+  l1 AS (SELECT doc_id, list_filter(list_transform(s, lambda x: regexp_replace(x, '{text.OUTER_SPACE}', '', 'g')), lambda x: regexp_matches(x, '{text.WORDED}')) AS s FROM l0),
   l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) - 1 AS pos FROM l1)"""
 _HITS = {e: " + ".join(f"contains(line, '{w}')::INT" for w in ws) for e, ws in scripts.EMOTION_WORDS.items()}
 _EMO = f"""h AS (SELECT *, {", ".join(f"{v} AS h_{e}" for e, v in _HITS.items())} FROM l), b AS (SELECT *, greatest({", ".join(f"h_{e}" for e in _HITS)}) AS best, regexp_matches(line, '[！!]') AS sh, regexp_matches(line, '[？?]') AS qu, contains(line, '…') AS tr FROM h),
@@ -162,7 +163,7 @@ _JIT = "(0.85 + 0.30 * (CAST('0x' || substr(md5('0:' || doc_id || ':' || pos), 1
 
 @_says(f"WITH {_SENT} SELECT doc_id, count(*) AS n, max(length(line)) AS longest, md5(string_agg(line, '|' ORDER BY pos)) AS digest FROM l GROUP BY doc_id")
 def script_sentences(spark, sf_dir):
-    s = _t(spark, sf_dir, "documents").select("doc_id", scripts.script_sentences(F.coalesce("text", F.lit(""))).alias("s")).filter(F.size("s") > 0)
+    s = _t(spark, sf_dir, "documents").select("doc_id", text.sentences(F.col("text")).alias("s")).filter(F.size("s") > 0)
     return s.select("doc_id", F.size("s").cast("bigint").alias("n"), F.array_max(F.transform("s", F.char_length)).cast("bigint").alias("longest"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -17,6 +18,16 @@ def workers_find_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ready_for_checkpoints(spark: SparkSession) -> None:
+    """The context gets the session's ``spark.checkpoint.dir``; only a local session that names none gets a temporary one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
 def build(name: str = "speechmill", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """A session with the settings that the library's jobs are written for."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")

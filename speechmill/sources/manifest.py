@@ -27,13 +27,32 @@ def read_collecting(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_replacing(records: DataFrame, path: str) -> None:
-    """Written aside and then put in place, so a reader sees the old table or the new one."""
-    jvm = records.sparkSession.sparkContext._jvm
-    aside, target = jvm.org.apache.hadoop.fs.Path(f"{path}.tmp"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(records.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    """Written aside, then put in the old table's place, which is kept as ``.old`` until the new one stands.
+
+    Between the two renames a reader finds no table; a crash there leaves both whole beside each other, and
+    ``recover_replaced`` puts the newer one in place.
+    """
+    spark = records.sparkSession
     records.write.mode("overwrite").json(f"{path}.tmp")
-    fs.delete(target, True)
-    fs.rename(aside, target)
+    fs, at = _files(spark, path)
+    if fs.exists(at(path)):
+        fs.delete(at(f"{path}.old"), True)
+        fs.rename(at(path), at(f"{path}.old"))
+    fs.rename(at(f"{path}.tmp"), at(path))
+    fs.delete(at(f"{path}.old"), True)
+
+
+def recover_replaced(spark: SparkSession, path: str) -> None:
+    """After a crash in ``write_replacing``: if the table is gone, the whole new one or else the old one takes its place."""
+    fs, at = _files(spark, path)
+    for kept in (f"{path}.tmp", f"{path}.old"):
+        if not fs.exists(at(path)) and fs.exists(at(f"{kept}/_SUCCESS")):
+            fs.rename(at(kept), at(path))
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 #: Keys that a task may have.

@@ -22,13 +22,18 @@ def test_error_rate(spark):
 
 
 def test_degenerate(spark):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(["", "哈", "哈哈哈", "哈哈你", "a normal sentence here", "Thanks for watching", "abcdefgggggghijklmnop"])], "i int, t string").withColumn("core", text.verdict_core(F.col("t")))
-    got = [r[0] for r in df.orderBy("i").select(text.degenerate_reason(F.col("t"), F.col("core"))).collect()]
-    assert got == ["empty", "too_short", "single_character", "one_character_dominates", "", "stock_phrase", ""]
-    strict = df.filter("i = 6").select(text.degenerate_reason(F.col("t"), F.col("core"), strict_repeat=True)).first()[0]
+    given = ["", "哈", "哈哈哈", "哈哈你", "a normal sentence here", "Thanks for watching", "abcdefgggggghijklmnop", "\n\t", "　\u00a0", "请不吝点赞订阅", "abab", "aab", "abcaaxyzaaq!"]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, t string")
+    got = [r.why for r in text.with_degenerate_reason(df, "t", "why").orderBy("i").collect()]
+    assert got == ["empty", "too_short", "single_character", "one_character_dominates", "", "stock_phrase", "", "empty", "empty", "stock_phrase", "one_character_dominates", "one_character_dominates", ""]
+    strict = text.with_degenerate_reason(df.filter("i = 6"), "t", "why", strict_repeat=True).first().why
     assert strict == "repeated_character"
 
 
+def test_sentences(spark):
+    assert one(spark, ["One. c 3.14！ Two？！\n…\nthree；四", None], text.sentences) == [["One. c 3.14！", "Two？！", "three；", "四"], []]
+
+
 def test_packing(spark):
     assert one(spark, ["一二三，四五，六七八九十，"], lambda c: text.pack_greedily(text.split_after_marks(c), 6)) == [["一二三，", "四五，", "六七八九十，"]]
     assert one(spark, ["a,b,c", ""], lambda c: text.pack_greedily(text.split_after_marks(c), 4)) == [["a,b,", "c"], []]
@@ -37,6 +42,7 @@ def test_packing(spark):
 def test_small_text_functions(spark):
     assert one(spark, ["ju2", "lu4", "xuan1"], text.correct_pinyin) == ["JV2", "LU4", "XVAN1"]
     assert one(spark, ["你好world 1"], text.cjk_tokens) == [["你", "好", "WORLD", "1"]]
+    assert one(spark, ["한국 か𠀀x"], text.cjk_tokens) == [["한", "국", "か", "𠀀", "X"]]
     assert one(spark, [" a/b:c "], text.safe_name) == ["a_b_c"]
     assert one(spark, ["Foo foobar"], lambda c: text.replace_terms(c, {"foo": "x", "foobar": "y$"})) == ["x y$"]
     got = one(spark, ["<|zh|><|HAPPY|><|Laughter|>hi  there<|BGM|>"], lambda c: text.rich_transcript(c, ("BGM", "Laughter"), {"SAD": "sad", "HAPPY": "happy"}))
@@ -45,6 +51,7 @@ def test_small_text_functions(spark):
 
 def test_numbers(spark):
     assert one(spark, ["-12，+12,0,19,x"], numeric.shift_list) == [[-12, 12]]
+    assert one(spark, ["3,3,－2"], numeric.shift_list) == [[3, 3, -2]]
     given = ["[0,0,0,0,0,0,0,0.4]", "0,0,0,0,0,0,0", "[0.81,0,0,0,0,0,0,0]", "[NaN,0,0,0,0,0,0,0]", "x"]
     assert one(spark, given, numeric.emotion_vector) == [[0.0] * 7 + [0.4], None, None, None, None]
     toned = one(spark, ["[0,0,0.8,0,0,0,0,0]"], lambda c: numeric.tone_down(F.transform(numeric.emotion_vector(c), lambda x: x * 2)))
