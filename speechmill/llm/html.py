@@ -5,15 +5,20 @@ paragraph, ...). An element is rendered when it ends, from what its children hav
 recursion. Text that is not visible (scripts, styles, head, hidden attributes and styles) is left out; what only
 screen readers skip is not. Of drawings the text elements are kept, of formulas all but annotations. Blocks stand
 on lines of their own, paragraphs and headings between blank lines, list items behind bullets or numbers and indented,
-and a table's cells in columns as wide as their widest cell.
+and a table's cells in columns as wide as their widest cell; a cell that spans columns or rows covers them.
 
-Defined cases: null or empty pages render as an empty text; unclosed, stray and misnested tags never fail.
+Defined cases: null or empty pages render as an empty text; unclosed, stray and misnested tags never fail; an empty
+table of pages gives no rows, repeated rows one result each; a very long page takes time in proportion to its length,
+and to its depth where lines stand within many blocks that hold other lines too; carried columns keep their names, and
+the result's name must not be among them (``fresh`` gives such).
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,13 +50,13 @@ _SCOPES = frozenset("table td th caption button object template html".split())
 #: A quote opens a value after "=" only; elsewhere it is a character as others are. Nothing is tried twice.
 _ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+))?+)?+")
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)?+)*+)>?)", re.S)
-_HIDING = re.compile(r"hidden|style|type|start|value", re.I)
+_HIDING = re.compile(r"hidden|style|type|start|value|span", re.I)
 _UNSEEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class _Node:
-    __slots__ = ("tag", "seen", "parts", "cells", "rows", "count", "pre", "bare", "foreign")
+    __slots__ = ("tag", "seen", "parts", "cells", "rows", "count", "pre", "foreign", "span")
 
     def __init__(self, tag: str, seen: bool, pre: bool, foreign: str = ""):
         self.tag, self.seen, self.pre = tag, seen, pre
@@ -60,10 +65,14 @@ class _Node:
         self.cells: list | None = None
         self.rows: list = []
         self.count = 1
+        self.span = (1, 1)  # columns and rows of a cell
 
 
 def _lines(parts: list, pre: bool = False) -> list[str]:
-    """Lines of an element's content; '' stands for a blank line between spaced blocks."""
+    """Lines of an element's content; '' stands for a blank line between spaced blocks. No list of lines is changed later."""
+    solid = [p for p in parts[:4] if not isinstance(p, str) or p.strip(" \t\n\r\f")]
+    if len(parts) <= 4 and len(solid) == 1 and not isinstance(solid[0], str):
+        return solid[0][1]  # a block around a block: nothing to copy, however deep
     out: list[str] = []
     text: list[str] = []
     gap = False
@@ -98,14 +107,43 @@ def _lines(parts: list, pre: bool = False) -> list[str]:
     return out
 
 
-def _table(rows: list[list[str]]) -> list[str]:
-    widths = [max(len(r[i]) for r in rows if i < len(r)) for i in range(max(map(len, rows), default=0))]
-    return [" | ".join(x.ljust(w) for x, w in zip(r, widths, strict=False)).rstrip() for r in rows]
+def _table(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Aligned lines of rows of cells (text, columns, rows). Columns in which no cell begins take no room."""
+    placed: list[list[tuple[int, int, str]]] = []
+    held: dict[int, int] = {}  # column -> rows below that a cell above still covers
+    for row in rows:
+        busy, held = held, {c: n - 1 for c, n in held.items() if n > 1}
+        at, cells = 0, []
+        for text, wide, tall in row:
+            while at in busy:
+                at += 1
+            cells.append((at, at + wide, text))
+            if tall > 1:
+                held.update(dict.fromkeys(range(at, at + wide), tall - 1))
+            at += wide
+        placed.append(cells)
+    starts = sorted({first for cells in placed for first, _, _ in cells})
+    spans = [[(bisect_left(starts, first), bisect_left(starts, end), text) for first, end, text in cells] for cells in placed]
+    widths = [0] * len(starts)
+    every = sorted((x for cells in spans for x in cells), key=lambda x: x[1] - x[0])
+    for first, end, text in every:
+        room = sum(widths[first:end]) + 3 * (end - first - 1)
+        widths[end - 1] += max(0, len(text) - room)
+    out = []
+    for cells in spans:
+        shown, at = [], 0
+        for first, end, text in cells:
+            shown += [" " * w for w in widths[at:first]]
+            shown.append(text.ljust(sum(widths[first:end]) + 3 * (end - first - 1)))
+            at = end
+        out.append(" | ".join(shown).rstrip())
+    return out
 
 
 class Renderer:
     def __init__(self):
         self.open: list[_Node] = [_Node("#", True, False)]
+        self.names: Counter[str] = Counter()  # of open elements
 
     def text(self, raw: str) -> None:
         at = self.open[-1]
@@ -165,7 +203,11 @@ class Renderer:
                 if up.tag in ("ol", "ul"):
                     up.count = int(given["value"])
                     break
+        if tag in ("td", "th"):
+            wide, tall = (int(given.get(k, "1")) if re.fullmatch(r"\d{1,5}", given.get(k, "1")) else 1 for k in ("colspan", "rowspan"))
+            node.span = (min(max(wide, 1), 1000), tall or 65534)
         self.open.append(node)
+        self.names[tag] += 1
         return True
 
     def end(self, tag: str) -> None:
@@ -173,7 +215,7 @@ class Renderer:
             if tag not in ("head", "body", "html", "br"):
                 return
             self._close()
-        if tag in ("p", "br") and not any(n.tag == tag for n in self.open):
+        if tag in ("p", "br") and not self.names[tag]:
             self.start(tag, "")
             if tag == "br":
                 return
@@ -181,6 +223,8 @@ class Renderer:
 
     def _end_up_to(self, names, limits, always: bool = False) -> bool:
         """Ends the innermost open element of ``names`` and all inside it, if no element of ``limits`` stands between."""
+        if not any(self.names[n] for n in names):
+            return False
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in names:
                 while len(self.open) > i:
@@ -192,6 +236,7 @@ class Renderer:
 
     def _close(self) -> None:
         node, parent = self.open.pop(), self.open[-1]
+        self.names[node.tag] -= 1
         if not node.seen:
             return
         tag = node.tag
@@ -200,7 +245,7 @@ class Renderer:
             if row is not None:
                 if row.cells is None:
                     row.cells = []
-                row.cells.append(" ".join(x.strip() for x in _lines(node.parts, node.pre) if x.strip()))
+                row.cells.append((" ".join(x.strip() for x in _lines(node.parts, node.pre) if x.strip()), *node.span))
                 return
         elif tag in ("tr", "table") and (node.cells or tag == "table"):
             table = node if tag == "table" else next((n for n in reversed(self.open) if n.tag == "table"), None)
@@ -231,7 +276,7 @@ class Renderer:
             parent.parts.append((0, _lines(node.parts)))
             return
         if tag in BLOCK:
-            nested = tag in ("ul", "ol") and any(n.tag == "li" for n in self.open)
+            nested = tag in ("ul", "ol") and self.names["li"] > 0
             lines = _lines(node.parts, node.pre)
             parent.parts.append((int(tag in SPACED and not nested), lines))
         elif tag == "text" and node.foreign:

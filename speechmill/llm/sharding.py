@@ -5,7 +5,9 @@ Groups above ``BIG`` of a shard in any dimension (there can be at most 3 * shard
 driver first; one of more than half a shard is split into pieces, so that no copy group outgrows a shard. The
 others are dealt by hash into blocks, and each block is packed against its share of what the big ones left.
 
-Law: ``bytes``: shards are nearly equal in size. Defined cases: a null text has 0 bytes and no tokens and is not the
+Law: ``bytes``: shards are nearly equal in size: the fullest holds 0.4 percent more than the emptiest for 250 documents
+a shard, 4 percent for 25 (tokens 2 and 8 percent, rows 5 and 8). A very long text counts by its numbers only; other
+columns take no part. Defined cases: a null text has 0 bytes and no tokens and is not the
 same as another text, but equals an empty one; repeated rows are rows of their own; slots number a shard's rows
 without gaps from 0; an empty table has no shards.
 """
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import materialize, text_or_empty
 
 #: Weights of bytes, tokens and rows in the dot product; bytes, whose law holds, lead.
-WEIGHTS = np.array([1.0, 0.03, 0.03])
+WEIGHTS = np.array([1.0, 0.1, 0.1])
 SHARDS, BIG, SPLIT, ROW_BYTES, BLOCK_GROUPS = 40, 1 / 64, 1 / 2, 16, 20_000
 
 

@@ -3,8 +3,11 @@ import hashlib
 import itertools
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -147,10 +150,29 @@ def test_op4(spark, sf_dir, texts, odd, none):
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter((d, len(t.encode()) + 16, zlib.crc32(t.encode())) for d, t in texts.items())
     for shard in {r.shard for r in rows}:
         assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+    for measure in (lambda t: len(t.encode()) + 16, lambda t: len(t.split()), lambda t: 1):
+        load, sizes = Counter(), [measure(texts[r.doc_id]) for r in rows]
+        for r, size in zip(rows, sizes, strict=True):
+            load[r.shard] += size
+        assert max(load.values()) <= 1.05 * sum(sizes) / 40 + 2 * max(sizes)
     assert sharding.shard_documents(odd).count() == len(ODD)
     assert sharding.shard_documents(none).count() == 0
 
 
+def test_op4_packs_jointly():
+    """Each group goes where the dot product with what is left is highest, by trying all shards."""
+    draw = np.random.default_rng(1)
+    sizes, scale = draw.pareto(1.5, (300, 3)) + 0.1, np.array([50.0, 60.0, 70.0])
+    found, left = sharding.pack(sizes, np.tile(scale, (7, 1)), scale)
+    rest = np.ones((7, 3))
+    for i in np.argsort(-(sizes / scale).max(axis=1), kind="stable"):
+        demand = sizes[i] / scale
+        best = max(range(7), key=lambda k: (sum(w * r * d for w, r, d in zip(sharding.WEIGHTS, rest[k], demand, strict=True)), -k))
+        assert found[i] == best
+        rest[best] -= demand
+    assert np.allclose(rest * scale, left)
+
+
 def test_op4_hot_group(spark):
     docs = spark.createDataFrame([(i, "copy of a text" if i % 3 == 0 else f"text number {i}") for i in range(3000)], "doc_id long, text string")
     sizes = [r.b for r in sharding.shard_documents(docs, 10).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
@@ -179,6 +201,27 @@ def brute_components(docs, width, percent):
     return {d: root(d) for d in docs}
 
 
+def test_op3_fit_is_the_least_loss():
+    """The fitted weights have the least mean logistic loss over the drawn pairs: plain gradient steps find none lower."""
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(120, 4))
+    label = (x @ np.array([1.0, -2.0, 0.5, 0.0]) + draw.normal(size=120) > 0).astype(int)
+    model = ranking.fit(x, label, rivals=3)
+    z = ((x - x.mean(0)) / (x.std(0) + 1e-6)).clip(-8, 8)
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    again, n = np.random.default_rng(0), max(len(good), len(bad)) * 3
+    pairs = [(z[good[i % len(good)]], z[bad[j % len(bad)]]) for i, j in zip(again.permutation(n), again.permutation(n), strict=True)]
+    weight = np.zeros(4)
+    for _ in range(4000):
+        gradient = ranking.RIDGE * weight
+        for up, down in [(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))]:
+            gradient = gradient + ((1 / (1 + np.exp(-((up - down) @ weight))) - 1)[:, None] * (up - down)).mean(0)
+        weight -= 0.5 * gradient
+    assert np.allclose(weight, model.weight, atol=1e-3)
+    errors = lambda cut: np.mean(z[good] @ weight < cut) + np.mean(z[bad] @ weight >= cut)
+    assert errors(model.cut) == pytest.approx(min(errors(c) for c in [*(z @ weight - 1e-9), *(z @ weight + 1e-9)]), abs=0.02)
+
+
 def test_op5_large_groups(spark, odd, none):
     draw = random.Random(3)
     docs, at = {}, 0
@@ -380,6 +423,73 @@ def test_op10_quotes_in_tags(page, text):
     assert html.render(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<table><tr><td colspan=2>wide<td>c<tr><td>a<td>b<td>c</table>", "wide  | c\na | b | c"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+        ("<table><tr><td colspan=1000>a very long head<tr><td>b<td>c</table>", "a very long head\nb | c"),
+        ("<table><tr><td rowspan=0 colspan=x>a<td>b<tr><td>c</table>", "a | b\n  | c"),
+    ],
+)
+def test_op10_spans(page, text):
+    assert html.render(page) == text
+
+
+def test_op10_deep_nesting_is_linear():
+    for tag in ("div", "ul", "span", "blockquote"):
+        began = time.time()
+        assert html.render(f"<{tag}>" * 20_000 + "one<p>two") == "one\n\ntwo"
+        assert time.time() - began < 5, tag
+
+
+class _Words(HTMLParser):
+    """The visible words of a well-formed page, by a plain reading."""
+
+    void = set("area base br col embed hr img input link meta source track wbr".split())
+
+    def __init__(self):
+        super().__init__()
+        self.hidden, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        given = dict(attrs)
+        style = (given.get("style") or "").replace(" ", "").lower()
+        gone = tag in html.UNSEEN or "hidden" in given or "display:none" in style or "visibility:hidden" in style
+        if tag not in self.void and (self.hidden or gone):
+            self.hidden.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.hidden:
+            while self.hidden.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.words += re.findall(r"[^\W_]+", data)
+
+
+def test_op10_shows_the_words_that_a_plain_parser_shows(spark, sf_dir):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in queries.op10_html_text(spark, sf_dir).collect()}
+    agree = 0
+    for k, page in pages.items():
+        plain = _Words()
+        plain.feed(page)
+        plain.close()
+        mine = Counter(re.findall(r"[^\W_]+", re.sub(r"(?m)^\s*(?:- |\d+\. )+", "", got[k])))
+        want = Counter(plain.words)
+        agree += sum(((mine - want) + (want - mine)).values()) <= 0.02 * sum(want.values())
+    assert agree >= 0.9 * len(pages), agree / len(pages)
+
+
+def test_op10_rows(spark, odd, none):
+    pages = odd.withColumnRenamed("text", "html")
+    rows = html.extract_text(pages, ["doc_id", "score", "n_words"], "shown").collect()
+    assert Counter((r.doc_id, r.score, r.shown) for r in rows) == Counter((o[0], o[2], " ".join((o[1] or "").split())) for o in ODD)
+    assert html.extract_text(none.withColumnRenamed("text", "html"), ["doc_id"]).count() == 0
+
+
 def test_op10_whole_table(spark, sf_dir):
     done = queries.op10_html_text(spark, sf_dir)
     assert done.count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
