@@ -88,7 +88,7 @@ def verdict_core(text: Column) -> Column:
 
 
 def sorted_characters(core: Column) -> Column:
-    return F.array_sort(F.filter(F.split(core, ""), lambda c: c != ""))
+    return F.sort_array(F.array_remove(F.split(core, ""), ""))
 
 
 def with_degenerate_reason(rows: DataFrame, text: str, name: str, min_chars: int = 2, strict_repeat: bool = False) -> DataFrame:
