@@ -1,10 +1,10 @@
 import pytest
 
 from compare import same
-from speechmill.plans import corpus, media, relational
+from speechmill.plans import corpus, media, relational, signals
 
-SQL = {**corpus.oracle_sql(), **relational.oracle_sql(), **media.oracle_sql()}
-QUERIES = {**corpus.queries(), **relational.queries(), **media.queries()}
+SQL = {**corpus.oracle_sql(), **relational.oracle_sql(), **media.oracle_sql(), **signals.oracle_sql()}
+QUERIES = {**corpus.queries(), **relational.queries(), **media.queries(), **signals.queries()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
