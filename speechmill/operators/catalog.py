@@ -102,3 +102,35 @@ def version_fits(got: Column, want: str) -> Column:
     else:
         fits = have.startswith(want)
     return (have != "") & fits
+
+
+def path_conflicts(outputs: DataFrame, inputs: DataFrame, path: str) -> DataFrame:
+    """The outputs whose path, without doubled or final slashes and single dots, is also an input."""
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"/(\./)+", "/"), "/+", "/"), "(.)/$", "$1")
+    taken = inputs.select(plain(F.col(path)).alias("_p")).distinct()
+    return outputs.withColumn("_p", plain(F.col(path))).join(taken, "_p", "left_semi").drop("_p")
+
+
+def backfilled(rows: DataFrame, measured: DataFrame, key: str, field: str) -> DataFrame:
+    """Rows with the measured field where it was missing; a second run changes nothing. ``measured`` has a key once."""
+    found = measured.select(key, F.col(field).alias("_m"))
+    return rows.join(found, key, "left").withColumn(field, F.coalesce(field, "_m")).drop("_m")
+
+
+def latest_by_name(versions: DataFrame, name: Column, version: str) -> DataFrame:
+    """name, entry: the row of the highest version of each name; a name of no letter or digit is left out."""
+    rows = versions.withColumn("_name", name).filter("_name != ''")
+    return rows.groupBy(F.col("_name").alias("name")).agg(F.max(F.struct(version, *[c for c in versions.columns if c != version])).alias("entry"))
+
+
+def json_number(raw: Column, field: str, low: int, high: int, fallback: Column) -> Column:
+    """A whole number out of the first {...} of an answer, if it is there and within bounds, else the rule's."""
+    value = F.get_json_object(F.regexp_extract(raw, r"(?s)\{.*\}", 0), f"$.{field}").try_cast("int")
+    return F.when(value.between(low, high), value).otherwise(fallback)
+
+
+def table_lines(rows: DataFrame, columns: list[str], order: list[Column], most: int, only: Column | None = None) -> DataFrame:
+    """line: the first ``most`` rows in order as lines of a Markdown table, bars escaped, nulls as a dash."""
+    shown = rows if only is None else rows.filter(only)
+    cell = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("-"))
+    return shown.orderBy(*order).limit(most).select(F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |")).alias("line"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import gates, ranked, waves
+from ..operators import catalog, gates, packing, ranked, waves
 from .corpus import _REASONED, _norm
 from .media import _F, _frames, _t
 
@@ -355,6 +355,54 @@ def run_names(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.concat_ws("_", "event_type", F.date_format("ts", "yyyyMMdd_HHmmss")).alias("name"), F.unix_timestamp("ts").alias("started"))
 
 
+@_says("SELECT o.page_id FROM pages o WHERE o.url || '/' IN (SELECT url || '/' FROM pages WHERE length(html) > 2000)")
+def path_conflicts(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages")
+    outputs, inputs = pages.select("page_id", F.concat("url", F.lit("/./")).alias("path")), pages.filter(F.char_length("html") > 2000).select(F.col("url").alias("path"))
+    return catalog.path_conflicts(outputs, inputs, "path").select("page_id")
+
+
+@_says("SELECT d.doc_id, coalesce(CASE WHEN lang = 'en' THEN n_chars END, length(text))::BIGINT AS n FROM documents d")
+def backfilled_lengths(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.when(F.col("lang") == "en", F.col("n_chars")).alias("n"))
+    return catalog.backfilled(rows, docs.select("doc_id", F.char_length("text").cast("bigint").alias("n")), "doc_id", "n")
+
+
+@_says("SELECT regexp_replace(p_name, '[^a-z]+', '_', 'g') AS name, max(p_partkey) AS version, arg_max(p_brand, p_partkey) AS brand FROM part GROUP BY 1")
+def latest_presets(spark, sf_dir):
+    latest = catalog.latest_by_name(_t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name"), F.regexp_replace("p_name", "[^a-z]+", "_"), "p_partkey")
+    return latest.select("name", F.col("entry.p_partkey").alias("version"), F.col("entry.p_brand").alias("brand"))
+
+
+@_says("SELECT event_id, CASE WHEN k BETWEEN 20 AND 80 THEN k ELSE -1 END AS k FROM (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)")
+def answers_or_rules(spark, sf_dir):
+    raw = F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" done"))
+    return _t(spark, sf_dir, "events").select("event_id", catalog.json_number(raw, "k", 20, 80, F.lit(-1)).alias("k"))
+
+
+@_says("SELECT '| ' || doc_id || ' | ' || lang || ' | ' || coalesce(n_chars::VARCHAR, '-') || ' |' AS line FROM documents WHERE source IS NOT NULL ORDER BY n_chars DESC, doc_id LIMIT 50")
+def table_view(spark, sf_dir):
+    return catalog.table_lines(_t(spark, sf_dir, "documents"), ["doc_id", "lang", "n_chars"], [F.desc("n_chars"), F.col("doc_id")], 50, F.col("source").isNotNull())
+
+
+@_says("SELECT source AS name, count(*) AS n, sum(n_chars)::BIGINT AS chars, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY source")
+def dataset_list(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
+def length_buckets(spark, sf_dir):
+    turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").alias("n"))
+    return packing.length_buckets(turns, "conv_id", "turn", "n", 2)
+
+
+def octave_repair(spark, sf_dir):
+    return packing.octave_repair(_frames(spark, sf_dir))
+
+
+QUERIES.update(length_buckets=length_buckets, octave_repair=octave_repair)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

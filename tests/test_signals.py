@@ -91,3 +91,28 @@ def test_checkpoints_near_an_onset_that_is_never_reached(spark):
     rows = spark.createDataFrame([("a", s, o) for s, o in ((10, 99), (20, 99), (30, 99))] + [("b", s, 10) for s in (10, 20, 30)], "run string, step int, onset int")
     got = sorted((r.run, r.step) for r in gates.near_onset(rows, "run", "step", "onset", 2).collect())
     assert got == [("a", 20), ("a", 30), ("b", 10), ("b", 20)]
+
+
+def test_lengths_are_dealt_to_buckets(spark):
+    from speechmill.operators.packing import _buckets, length_buckets
+
+    assert _buckets([0, 10, 11, 14, 15, 40, 90], 4) == [[1, 2, 3, 4], [5, 6]]
+    assert _buckets([10, 11, 40], 2) == [[0, 1], [2]] and _buckets([10, 11, 40, 90], 3) == [[0, 1, 2], [3]]
+    rows = spark.createDataFrame([("a", k, n) for k, n in enumerate([90, 10, 0, 11, 40])] + [("b", 0, 0), ("b", 1, 7)], "item string, seq int, n int")
+    got = {}
+    for r in length_buckets(rows, "item", "seq", "n", 3).collect():
+        got.setdefault((r.item, r.bucket), set()).add(r.seq)
+    assert got == {("a", 0): {1, 3, 4}, ("a", 1): {0}, ("b", 0): {0, 1}}
+
+
+def test_octave_errors_are_undone_and_lasting_leaps_stay(spark):
+    from speechmill.operators.packing import octave_repair
+
+    error = [100.0, 101.0, 0.0, 202.0, 203.0, 101.5, 100.0, 100.0]
+    leap = [100.0] * 4 + [200.0] * 8
+    rows = [("e", k, x) for k, x in enumerate(error)] + [("l", k, x) for k, x in enumerate(leap)] + [("s", 0, 50.0), ("s", 1, None)]
+    got = {}
+    for r in octave_repair(spark.createDataFrame(rows, "item string, pos int, hz double"), reach=3).orderBy("item", "pos").collect():
+        got.setdefault(r.item, []).append(r.hz)
+    assert got["l"] == leap and got["s"] == [50.0, 0.0]
+    assert got["e"][2] == 0 and max(got["e"]) < 110 and min(x for x in got["e"] if x) > 95
