@@ -181,3 +181,25 @@ def import_shifted(new: DataFrame, known: DataFrame, uid: str, shifts: list[int]
     """New rows whose uid is not known, each once as it is (shift 0) and once for each shift."""
     fresh = new.join(known.select(uid).distinct(), uid, "left_anti")
     return fresh.withColumn("shift", F.explode(F.array(*map(F.lit, [0, *shifts]))))
+
+
+# What takes points from a reference recording, and the grades by the least score.
+IDEAL = {"min_sec": 3.0, "ideal_min_sec": 8.0, "max_sec": 15.0, "min_sr": 16000, "ideal_sr": 22050, "min_snr_db": 15.0, "ideal_snr_db": 25.0, "max_clip_ratio": 0.001, "max_silence_ratio": 0.30}
+GRADES = ((88, "优秀"), (72, "良好"), (55, "可用"), (38, "勉强"))
+LOWEST_GRADE = "不建议使用"
+
+
+def recording_score(seconds: Column, snr_db: Column, rate: Column, clipped: Column, level_db: Column, silent: Column, leading: Column, offset: Column) -> list[Column]:
+    """score (0 to 100) and grade of a recording: 100 less the points of each fault."""
+    faults = [
+        F.when(seconds < IDEAL["min_sec"], 35).when(seconds < IDEAL["ideal_min_sec"], 15).when(seconds > IDEAL["max_sec"], 5),
+        F.when(snr_db < IDEAL["min_snr_db"], 25).when(snr_db < IDEAL["ideal_snr_db"], 10),
+        F.when(rate < IDEAL["min_sr"], 25).when(rate < IDEAL["ideal_sr"], 6),
+        F.when(clipped > IDEAL["max_clip_ratio"], 20), F.when((level_db < -35) | (level_db > -6), 12), F.when(silent > IDEAL["max_silence_ratio"], 15),
+        F.when(leading > 1.0, 10), F.when(F.abs(offset) > 0.01, 4),
+    ]
+    score = F.greatest(F.lit(0), F.lit(100) - sum((F.coalesce(f, F.lit(0)) for f in faults), F.lit(0)))
+    grade = None
+    for least, name in GRADES:
+        grade = F.when(score >= least, name) if grade is None else grade.when(score >= least, name)
+    return [score.cast("double").alias("score"), grade.otherwise(LOWEST_GRADE).alias("grade")]

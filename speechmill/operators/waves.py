@@ -165,3 +165,51 @@ def tear_and_bursts(frames: DataFrame, active: Column, tear: Column, burst: Colu
     runs = marked.groupBy("item", "_run").agg(F.count_if("_a").alias("a"), F.count_if(F.col("_a") & F.col("_t")).alias("t"), F.count_if("_b").alias("b"))
     share = F.coalesce(F.try_divide(F.sum("t") * 100.0, F.sum("a")), F.lit(0.0))
     return runs.groupBy("item").agg(F.round(share, 2).alias("tear_pct"), F.count_if(F.col("b") >= least).alias("gap_bursts"))
+
+
+def frame_levels(wave: Column, width: int, hop: int) -> Column:
+    """Level in dB of each frame of ``width`` samples, ``hop`` apart, -200 at least; a shorter wave is filled with zeros."""
+    filled = F.concat(_doubles(wave), F.array_repeat(F.lit(0.0), F.greatest(F.lit(width) - F.size(wave), F.lit(0))))
+    starts = F.sequence(F.lit(0), F.floor((F.size(filled) - width) / hop).cast("int"))
+    rms = lambda k: F.sqrt(F.aggregate(F.slice(filled, k * hop + 1, width), F.lit(0.0), lambda s, x: s + x * x) / width)
+    return F.transform(starts, lambda k: 20 * F.log10(F.greatest(rms(k), F.lit(1e-10))))
+
+
+def inhales(frames: DataFrame, shortest: int = 8, longest: int = 30, ahead: int = 15, most: int = 6) -> DataFrame:
+    """item, first, length, score: quiet, rough runs before speech, the best of each item.
+
+    Frames (item, pos, rms, rough) are quiet under a quarter of the speech level, the median of those over the 60th
+    percentile; ``ahead`` frames after a run must reach half of it. Ties: the earlier run.
+    """
+    order = Window.partitionBy("item").orderBy("pos")
+    high = frames.groupBy("item").agg(F.percentile("rms", F.lit(0.6)).alias("_p"), F.percentile("rough", F.lit(0.5)).alias("_r"))
+    speech = frames.join(high, "item").filter(F.col("rms") > F.col("_p")).groupBy("item").agg(F.percentile("rms", F.lit(0.5)).alias("_s"), F.first("_r").alias("_r")).filter("_s > 0")
+    marked = frames.join(speech, "item").withColumns({"_q": (F.col("rms") < F.col("_s") * 0.25) & (F.col("rough") > F.col("_r")), "_a": F.max("rms").over(order.rowsBetween(1, ahead))})
+    marked = marked.withColumn("_run", F.sum((~F.col("_q")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("_q")
+    runs = marked.groupBy("item", "_run").agg(
+        F.min("pos").alias("first"), F.count(F.lit(1)).alias("length"), F.avg("rms").alias("m"), F.avg("rough").alias("r"), F.max_by("_a", "pos").alias("a"), F.first("_s").alias("s"), F.first("_r").alias("b"),
+    )
+    depth, air = 1 - F.col("m") / F.col("s"), F.col("r") / F.greatest("b", F.lit(1e-9))
+    runs = runs.filter(F.col("length").between(shortest, longest) & (F.col("a") > F.col("s") * 0.5)).withColumn("score", F.round(F.least(F.lit(1.0), 0.6 * depth + 0.4 * air), 3))
+    best = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "first"))
+    return runs.withColumn("_k", best).filter(F.col("_k") <= most).select("item", "first", "length", "score")
+
+
+def final_creak(frames: DataFrame, reach: int = 150, tail: int = 65, low: float = 0.62, least_ms: float = 30.0, frame_ms: float = 10.0, floor_db: float = -45.0, below_db: float = 24.0) -> DataFrame:
+    """item, score 0 to 1 of how far and how long the pitch drops in the last ``tail`` frames.
+
+    Of frames (item, pos, hz, db), the last ``reach`` of an item count; voiced ones above the gate are audible. Items of
+    fewer than ten frames, or of fewer than five audible ones in all or in the tail, score 0.
+    """
+    ends = frames.groupBy("item").agg(F.max("pos").alias("_end"))
+    near = frames.join(ends, "item").withColumn("_back", F.col("_end") - F.col("pos")).filter(F.col("_back") < reach)
+    gates = near.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(floor_db), F.percentile("db", F.lit(0.6)) - below_db).alias("_gate"))
+    heard = near.join(gates, "item").filter((F.col("hz") > 0) & (F.col("db") > F.col("_gate")))
+    medians = heard.groupBy("item").agg(F.percentile("hz", F.lit(0.5)).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    last = heard.filter(F.col("_back") < tail).join(medians, "item").groupBy("item").agg(
+        F.first("_m").alias("m"), F.first("_n").alias("k"), F.count(F.lit(1)).alias("t"), (F.min("hz") / F.first("_m")).alias("ratio"), (F.count_if(F.col("hz") < F.col("_m") * low) * frame_ms).alias("ms"),
+    )
+    within = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    score = within((F.lit(low) - F.col("ratio")) / 0.32) * (0.5 + 0.5 * within(F.col("ms") / 150.0))
+    known = (F.col("n") >= 10) & (F.col("k") >= 5) & (F.col("t") >= 5) & (F.col("ms") >= least_ms) & (F.col("ratio") < low)
+    return gates.join(last, "item", "left").select("item", F.when(known, F.round(score, 3)).otherwise(0.0).alias("score"))

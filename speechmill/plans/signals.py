@@ -391,6 +391,46 @@ def dataset_list(spark, sf_dir):
     return _t(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
+@_says("""
+    SELECT event_id, score::DOUBLE AS score, CASE WHEN score >= 88 THEN '优秀' WHEN score >= 72 THEN '良好' WHEN score >= 55 THEN '可用' WHEN score >= 38 THEN '勉强' ELSE '不建议使用' END AS grade FROM (
+      SELECT event_id, greatest(0, 100 - CASE WHEN value / 5 < 3 THEN 35 WHEN value / 5 < 8 THEN 15 WHEN value / 5 > 15 THEN 5 ELSE 0 END - CASE WHEN value / 2 < 15 THEN 25 WHEN value / 2 < 25 THEN 10 ELSE 0 END
+        - CASE WHEN value * 1000 < 16000 THEN 25 WHEN value * 1000 < 22050 THEN 6 ELSE 0 END - CASE WHEN value / 40000 > 0.001 THEN 20 ELSE 0 END - CASE WHEN -value / 2 < -35 OR -value / 2 > -6 THEN 12 ELSE 0 END
+        - CASE WHEN value / 200 > 0.30 THEN 15 ELSE 0 END - CASE WHEN value / 80 > 1.0 THEN 10 ELSE 0 END - CASE WHEN abs(value / 10000) > 0.01 THEN 4 ELSE 0 END) AS score FROM events WHERE value IS NOT NULL)""")
+def recording_scores(spark, sf_dir):
+    v = F.col("value")
+    return _t(spark, sf_dir, "events").filter("value is not null").select("event_id", *gates.recording_score(v / 5, v / 2, v * 1000, v / 40000, -v / 2, v / 200, v / 80, v / 10000))
+
+
+@_says(f"""
+    SELECT vec_id, {_digest_sql('d')} FROM (SELECT vec_id, list_transform(range(0, (len(w) - 10) // 4 + 1), lambda k: 20 * log10(greatest(sqrt(list_sum(list_transform(w[k * 4 + 1:k * 4 + 10], lambda x: x * x)) / 10), 1e-10))) AS d
+      FROM (SELECT vec_id, {_WAVE} AS w FROM embeddings))""")
+def frame_levels(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").select("vec_id", waves.frame_levels(F.col("embedding"), 10, 4).alias("d")).select("vec_id", *_digest(F.col("d")))
+
+
+@_says(f"""
+    WITH {_F}, g AS (SELECT item, pos, value AS rms, event_id % 7 + 1.0::DOUBLE AS rough FROM f), h AS (SELECT item, quantile_cont(rms, 0.6) AS p, quantile_cont(rough, 0.5) AS r FROM g GROUP BY item),
+    s AS (SELECT item, quantile_cont(rms, 0.5) AS s, any_value(r) AS r FROM g JOIN h USING (item) WHERE rms > p GROUP BY item),
+    m AS (SELECT g.*, s, r, rms < s * 0.25 AND rough > r AS q, max(rms) OVER (PARTITION BY item ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 15 FOLLOWING) AS a FROM g JOIN s USING (item)),
+    u AS (SELECT *, count(*) FILTER (WHERE NOT q) OVER (PARTITION BY item ORDER BY pos) AS run FROM m),
+    k AS (SELECT item, min(pos) AS first, count(*) AS length, round(least(1.0, 0.6 * (1 - avg(rms) / any_value(s)) + 0.4 * avg(rough) / greatest(any_value(r), 1e-9)), 3) AS score
+      FROM u WHERE q GROUP BY item, run HAVING count(*) BETWEEN 2 AND 6 AND arg_max(a, pos) > any_value(s) * 0.5)
+    SELECT item, first, length, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, first) AS n FROM k) WHERE n <= 3""")
+def inhales(spark, sf_dir):
+    f = _frames(spark, sf_dir).select("item", "pos", F.col("value").alias("rms"), (F.col("event_id") % 7 + 1.0).alias("rough"))
+    return waves.inhales(f, 2, 6, 15, 3)
+
+
+@_says(f"""
+    WITH {_F}, e AS (SELECT item, hz, value - 50 AS db, max(pos) OVER (PARTITION BY item) - pos AS back FROM f), n AS (SELECT * FROM e WHERE back < 150),
+    g AS (SELECT item, count(*) AS n, greatest(-45.0, quantile_cont(db, 0.6) - 24) AS gate FROM n GROUP BY item), h AS (SELECT n.* FROM n JOIN g USING (item) WHERE hz > 0 AND db > gate),
+    m AS (SELECT item, quantile_cont(hz, 0.5) AS m, count(*) AS k FROM h GROUP BY item),
+    t AS (SELECT item, any_value(k) AS k, count(*) AS t, min(hz) / any_value(m) AS ratio, count(*) FILTER (WHERE hz < m * 0.62) * 10.0 AS ms FROM h JOIN m USING (item) WHERE back < 65 GROUP BY item)
+    SELECT item, CASE WHEN n >= 10 AND k >= 5 AND t >= 5 AND ms >= 30 AND ratio < 0.62 THEN round(least(greatest((0.62 - ratio) / 0.32, 0), 1) * (0.5 + 0.5 * least(ms / 150.0, 1)), 3) ELSE 0.0 END::DOUBLE AS score FROM g LEFT JOIN t USING (item)""")
+def final_creaks(spark, sf_dir):
+    return waves.final_creak(_frames(spark, sf_dir).select("item", "pos", "hz", (F.col("value") - 50).alias("db")))
+
+
 def length_buckets(spark, sf_dir):
     turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").alias("n"))
     return packing.length_buckets(turns, "conv_id", "turn", "n", 2)
