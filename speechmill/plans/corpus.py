@@ -284,6 +284,13 @@ ORACLES = {
         WITH RECURSIVE p AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events),
         r(user_id, pos, value) AS (SELECT user_id, pos, CAST(50.0 AS DOUBLE) FROM p WHERE pos = 0 UNION ALL SELECT p.user_id, p.pos, least(greatest(p.value, r.value - 2.5), r.value + 2.5) FROM r JOIN p ON p.user_id = r.user_id AND p.pos = r.pos + 1)
         SELECT user_id, CAST(pos AS INT) AS pos, value FROM r""",
+    "early_stop_fold": """
+        WITH RECURSIVE v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS at_, value FROM events),
+        s AS (SELECT user_id, at_, value AS best, 0::BIGINT AS best_at, 0 AS bad, NULL::BIGINT AS stopped FROM v WHERE at_ = 0 UNION ALL
+          SELECT user_id, at_, best, best_at, bad, CASE WHEN bad >= 3 THEN at_ END FROM (SELECT v.user_id, v.at_, CASE WHEN v.value < s.best - 1e-4 THEN v.value ELSE s.best END AS best,
+            CASE WHEN v.value < s.best - 1e-4 THEN v.at_ ELSE s.best_at END AS best_at, CASE WHEN v.value < s.best - 1e-4 THEN 0 ELSE s.bad + 1 END AS bad
+            FROM s JOIN v ON v.user_id = s.user_id AND v.at_ = s.at_ + 1 WHERE s.stopped IS NULL))
+        SELECT user_id, arg_max(best, at_) AS best, arg_max(best_at, at_)::INT AS best_at, max(stopped)::INT AS stopped_at FROM s GROUP BY user_id""",
     "nearest_centroid": """
         WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY label, i), c AS (SELECT label, list(x ORDER BY i) AS c FROM m GROUP BY label),
         s AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], c), 9) AS sim FROM (SELECT vec_id, embedding FROM embeddings), c)
