@@ -105,32 +105,44 @@ def test_op2_probabilities_sum_to_one(spark):
     assert sum(mass.values()) + mass[6] * ratio / (1 - ratio) == pytest.approx(1, abs=2e-3)
 
 
-def test_op2_scores_do_not_depend_on_chunks(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_op2_scores_do_not_depend_on_chunks(spark, order):
     draw = random.Random(5)
     docs = {d: " ".join(f"w{int(draw.paretovariate(0.7))}" for _ in range(draw.randrange(80))) for d in range(300)}
     train = [words(t) + [b""] for d, t in docs.items() if zlib.crc32(str(d).encode()) % 10]
     count = Counter(w for ws in train for w in ws)
     pairs = Counter(p for ws in train for p in zip([None, *ws], ws, strict=False))
+    triples = Counter(p for ws in train for p in zip([None, *ws], ws, ws[1:], strict=False))
     follow = Counter(p[0] for p in pairs.elements())
     size = {v: int(math.log2(n)) for v, n in follow.items()}
     total, once = Counter(), Counter()
     for (v, _), n in pairs.items():
         total[size[v]] += n
         once[size[v]] += n == 1
+    states = {p: int(math.log2(n)) for p, n in pairs.items() if n >= 2 and order == 3}
+    total_two, once_two = Counter(), Counter()
+    for (u, v, _), n in triples.items():
+        if (u, v) in states:
+            total_two[states[u, v]] += n
+            once_two[states[u, v]] += n == 1
     n, kinds = sum(count.values()), Counter(count.values())
     d = min(max((kinds[1] + 1) / (kinds[1] + 2 * kinds[2] + 2), 0.05), 0.95)
 
     def score(ws):
         out = 0
-        for v, w in zip([None, *ws], ws, strict=False):
+        for u, v, w in zip([None, None, *ws], [None, *ws], ws, strict=False):
             root = (count[w] - d) / n if w in count else d * len(count) / n
             g = (once[size[v]] + 1) / (total[size[v]] + 2) if v in size else 1
-            out += math.log10((1 - g) * pairs[v, w] / max(follow[v], 1) + g * root)
+            p = (1 - g) * pairs[v, w] / max(follow[v], 1) + g * root
+            if v is not None and (u, v) in states:
+                h = (once_two[states[u, v]] + 1) / (total_two[states[u, v]] + 2)
+                p = (1 - h) * triples[u, v, w] / pairs[u, v] + h * p
+            out += math.log10(p)
         return out
 
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     for chunk_bytes in (500, 3000, 10**6):
-        got = {r.doc_id: r.score for r in ngram_lm.score_documents(df, chunk_bytes=chunk_bytes, bucket_bytes=10_000).collect()}
+        got = {r.doc_id: r.score for r in ngram_lm.score_documents(df, chunk_bytes=chunk_bytes, bucket_bytes=10_000, order=order).collect()}
         assert got == pytest.approx({i: score(words(t) + [b""]) for i, t in docs.items()})
 
 
