@@ -217,12 +217,13 @@ def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def _packed(keys: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """The low ``width`` bytes of sorted keys, all first bytes before all second ones, so that the high ones compress."""
+    return np.ascontiguousarray(np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _unpacked(data: bytes, width: int) -> np.ndarray:
     out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
     return out.view(np.uint64).ravel()
 
 
@@ -383,7 +384,7 @@ def score_documents(docs: DataFrame, held_out_mod: int = 10, chunk_bytes: int =
         return each.groupBy("chunk").agg(F.collect_list("reply").alias(replies)), sums
 
     first, sums = told(packed.mapInArrow(_ask(buckets), REQUESTS), "replies", "stats")
-    with_pairs = packed.join(first, "chunk")
+    with_pairs = packed.join(first, "chunk", "left")  # an inner join would filter the chunks anew and shuffle them twice
     second, more_sums = told(with_pairs.mapInArrow(_ask_triples(buckets, order), REQUESTS), "more_replies", "more_stats")
     known = with_pairs.join(second, "chunk", "left").join(F.broadcast(sums)).join(F.broadcast(more_sums))
     return known.mapInArrow(_score(buckets, order), SCORES)
