@@ -40,9 +40,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, text_or_empty, total_bytes, utf8_values
+from .common import LOWER, slices, text_or_empty, total_bytes, utf8_values
 
-CHUNK_BYTES, BUCKET_BYTES = 10_000_000, 10_000_000
+CHUNK_BYTES, BUCKET_BYTES = 7_000_000, 10_000_000
+ROWS_AT_ONCE = 500
 CLASSES = 32
 STATE_COUNT = 2
 END = b""
@@ -97,7 +98,7 @@ def _pack(chunk_bytes: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size = TaskContext.get().partitionId() << 32, 0
         ids, held, texts = [], [], []
-        for batch in batches:
+        for batch in slices(batches, ROWS_AT_ONCE):
             for row in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), utf8_values(batch.column("text")), strict=True):
                 for into, value in zip((ids, held, texts), row, strict=True):
                     into.append(value)
