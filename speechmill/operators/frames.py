@@ -143,3 +143,29 @@ def nearest_unused(wanted: DataFrame, there: DataFrame, within: float) -> DataFr
         return F.when(F.size(free) > 0, F.array_append(acc, F.struct(want["seq"].cast("bigint").alias("seq"), free[0]["start"].alias("start")))).otherwise(acc)
 
     return series.select("item", F.explode(F.aggregate("s", none, take)).alias("p")).select("item", "p.seq", "p.start")
+
+
+def level_health(frames: DataFrame, voiced_db: float = 35.0, hop_seconds: float = 0.01) -> DataFrame:
+    """Of rows (item, pos, db): silence_ratio, dynamic_range_db, snr_db and the silence at both ends in seconds.
+
+    A frame within ``voiced_db`` of its item's loudest is voiced; 60 dB where nothing else is there to compare with.
+    Rows without an item or a level don't count.
+    """
+    levels = frames.filter("item is not null and db is not null").select("item", "pos", "db")
+    whole = levels.groupBy("item").agg(F.max("db").alias("top"), F.min("db").alias("low"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    voiced = F.col("db") >= F.col("top") - voiced_db
+    told = levels.join(whole, "item").groupBy("item", "top", "low", "first", "last").agg(
+        F.avg(voiced.cast("double")).alias("share"),
+        F.avg(F.when(voiced, F.col("db"))).alias("speech"),
+        F.avg(F.when(~voiced, F.col("db"))).alias("noise"),
+        F.min(F.when(voiced, F.col("pos"))).alias("from"),
+        F.max(F.when(voiced, F.col("pos"))).alias("to"),
+    )
+    return told.select(
+        "item",
+        (1 - F.col("share")).alias("silence_ratio"),
+        (F.col("top") - F.col("low")).alias("dynamic_range_db"),
+        F.coalesce(F.col("speech") - F.col("noise"), F.lit(60.0)).alias("snr_db"),
+        ((F.col("from") - F.col("first")) * hop_seconds).alias("leading_silence"),
+        ((F.col("last") - F.col("to")) * hop_seconds).alias("trailing_silence"),
+    )

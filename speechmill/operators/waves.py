@@ -213,3 +213,16 @@ def final_creak(frames: DataFrame, reach: int = 150, tail: int = 65, low: float
     score = within((F.lit(low) - F.col("ratio")) / 0.32) * (0.5 + 0.5 * within(F.col("ms") / 150.0))
     known = (F.col("n") >= 10) & (F.col("k") >= 5) & (F.col("t") >= 5) & (F.col("ms") >= least_ms) & (F.col("ratio") < low)
     return gates.join(last, "item", "left").select("item", F.when(known, F.round(score, 3)).otherwise(0.0).alias("score"))
+
+
+def wave_health(wave: Column, full_scale: float = 0.999) -> list[Column]:
+    """peak_dbfs, rms_dbfs, clip_ratio and dc_offset of a wave; null for one without samples. Levels end at -200 dB."""
+    sized = F.when(F.size(wave) > 0, wave)
+    mean = lambda of: F.aggregate(sized, F.lit(0.0), lambda s, x: s + of(x.cast("double"))) / F.size(sized)
+    level = lambda x: F.when(x.isNotNull(), 20 * F.log10(F.greatest(x, F.lit(1e-10))))
+    return [
+        level(F.array_max(F.transform(sized, lambda x: F.abs(x.cast("double"))))).alias("peak_dbfs"),
+        level(F.sqrt(mean(lambda x: x * x))).alias("rms_dbfs"),
+        mean(lambda x: F.when(F.abs(x) >= full_scale, 1.0).otherwise(0.0)).alias("clip_ratio"),
+        mean(lambda x: x).alias("dc_offset"),
+    ]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import catalog, gates, packing, ranked, waves
+from ..operators import catalog, frames, gates, packing, ranked, waves
 from .corpus import _REASONED, _norm
 from .media import _F, _frames, _t
 
@@ -431,6 +431,27 @@ def final_creaks(spark, sf_dir):
     return waves.final_creak(_frames(spark, sf_dir).select("item", "pos", "hz", (F.col("value") - 50).alias("db")))
 
 
+@_says(f"""
+    WITH {_F}, e AS (SELECT item, pos, value - 50 AS db, max(value - 50) OVER w AS top, min(value - 50) OVER w AS low, min(pos) OVER w AS first, max(pos) OVER w AS last FROM f WINDOW w AS (PARTITION BY item))
+    SELECT item, round(1 - avg((db >= top - 35)::INT), 4) AS silence_ratio, round(max(top) - max(low), 4) AS dynamic_range_db,
+      round(coalesce(avg(db) FILTER (WHERE db >= top - 35) - avg(db) FILTER (WHERE db < top - 35), 60.0), 4) AS snr_db,
+      round((min(pos) FILTER (WHERE db >= top - 35) - max(first)) * 0.01::DOUBLE, 4) AS leading_silence, round((max(last) - max(pos) FILTER (WHERE db >= top - 35)) * 0.01::DOUBLE, 4) AS trailing_silence
+    FROM e GROUP BY item""")
+def level_health(spark, sf_dir):
+    levels = _frames(spark, sf_dir).select("item", "pos", (F.col("value") - 50).alias("db"))
+    return _rounded(frames.level_health(levels), 4, "silence_ratio", "dynamic_range_db", "snr_db", "leading_silence", "trailing_silence")
+
+
+@_says(f"""
+    WITH w AS (SELECT vec_id, {_WAVE} AS w FROM embeddings)
+    SELECT vec_id, round(20 * log10(greatest(list_max(list_transform(w, lambda x: abs(x))), 1e-10)), 4) AS peak_dbfs,
+      round(20 * log10(greatest(sqrt(list_avg(list_transform(w, lambda x: x * x))), 1e-10)), 4) AS rms_dbfs,
+      round(list_avg(list_transform(w, lambda x: CASE WHEN abs(x) >= 0.25 THEN 1.0 ELSE 0.0 END::DOUBLE)), 4) AS clip_ratio, CASE WHEN round(list_avg(w), 4) = 0 THEN 0.0::DOUBLE ELSE round(list_avg(w), 4) END AS dc_offset FROM w""")
+def wave_health(spark, sf_dir):
+    told = _t(spark, sf_dir, "embeddings").select("vec_id", *waves.wave_health(F.col("embedding"), 0.25))
+    return _rounded(told, 4, "peak_dbfs", "rms_dbfs", "clip_ratio", "dc_offset")
+
+
 def length_buckets(spark, sf_dir):
     turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").alias("n"))
     return packing.length_buckets(turns, "conv_id", "turn", "n", 2)

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from speechmill.operators import gates, waves
+from speechmill.operators import frames, gates, waves
 
 
 def one(spark, *columns, **values):
@@ -116,3 +116,15 @@ def test_octave_errors_are_undone_and_lasting_leaps_stay(spark):
         got.setdefault(r.item, []).append(r.hz)
     assert got["l"] == leap and got["s"] == [50.0, 0.0]
     assert got["e"][2] == 0 and max(got["e"]) < 110 and min(x for x in got["e"] if x) > 95
+
+
+def test_health_of_levels_and_waves(spark):
+    rows = [("a", 0, -60.0), ("a", 1, -10.0), ("a", 2, -20.0), ("a", 3, -50.0), ("b", 0, -30.0), ("b", 1, None), (None, 0, 1.0)]
+    got = {r.item: r for r in frames.level_health(spark.createDataFrame(rows, "item string, pos int, db double")).collect()}
+    assert set(got) == {"a", "b"} and got["b"].snr_db == 60 and got["b"].silence_ratio == 0
+    a = got["a"]
+    assert (a.silence_ratio, a.dynamic_range_db, a.snr_db) == (0.5, 50, 40) and (a.leading_silence, a.trailing_silence) == pytest.approx((0.01, 0.01))
+    df = spark.createDataFrame([(1, [1.0, -0.5, 0.0, 0.0]), (2, []), (3, None), (4, [0.0])], "id int, w array<double>")
+    told = {r.id: r for r in df.select("id", *waves.wave_health(F.col("w"))).collect()}
+    assert (told[1].peak_dbfs, told[1].clip_ratio, told[1].dc_offset) == (0, 0.25, 0.125) and told[4].rms_dbfs == pytest.approx(-200)
+    assert told[2].peak_dbfs is None and told[3].rms_dbfs is None and told[3].dc_offset is None
