@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,11 +51,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables of one run in the shared folder: written whole, read back without lineage, dropped when superseded."""
+    """Tables of one run in the shared folder: written whole, read back without lineage, dropped when superseded.
+
+    What a result still reads stays until the driver's JVM ends, which deletes the run's folder.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(at)
+        store.deleteOnExit(at)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
@@ -101,3 +109,14 @@ def total_bytes(docs: DataFrame) -> tuple[int, int]:
     """Rows and UTF-8 bytes of all texts."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text_or_empty())).alias("b")).first()
     return row.n, row.b or 0
+
+
+def finite_vectors(vectors: DataFrame, name: str = "embedding") -> DataFrame:
+    """The rows whose vector is there and holds neither null nor a number that isn't finite."""
+    good = F.forall(name, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vectors.filter(F.col(name).isNotNull() & good)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list column of equal lengths and without nulls as the rows of a float64 array."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)

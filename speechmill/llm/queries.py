@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fingerprint, html, linedup, minhash, ngram_lm, ranking, rollup, sharding
+from . import bpe, codes, decontam, divergence, fingerprint, html, linedup, minhash, neighbours, ngram_lm, ranking, rollup, sharding
 from .common import shared_dir, table
 
 #: op7's file of ranks; None: the installed one.
@@ -92,6 +92,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,7 +111,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_fingerprint, op2_ngram_lm, op3_quality_ranking, op4_vector_sharding, op5_minhash_dedup, op6_token_rollup, op7_byte_bpe, op8_decontamination, op9_line_dedup, op10_html_text, pipeline]
+    named = [op1_fingerprint, op2_ngram_lm, op3_quality_ranking, op4_vector_sharding, op5_minhash_dedup, op6_token_rollup, op7_byte_bpe, op8_decontamination, op9_line_dedup, op10_html_text, op11_vector_codes, op12_nearest_neighbours, op13_source_divergence, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -158,5 +170,60 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN runs USING (doc_id) LEFT J
 """
 
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _op11_sql(rounds: int = 4) -> str:
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {_FINITE}),
+part AS MATERIALIZED (
+  SELECT r, p, x, list_inner_product(x, x) AS xx FROM (SELECT r, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM kept, range(4) AS t(p))),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS j, x AS c FROM part WHERE r <= 256)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+near{n} AS MATERIALIZED (
+  SELECT r, p, min({{'d': xx - 2 * list_inner_product(x, c) + list_inner_product(c, c), 'j': j}}) AS m FROM part JOIN book{n} USING (p) GROUP BY r, p)""")
+        if n < rounds:
+            steps.append(f"""
+mean{n} AS (
+  SELECT p, j, list(y ORDER BY k) AS c FROM (
+    SELECT p, m.j AS j, k, floor(sum(x[k]) / count(*)) AS y FROM near{n} JOIN part USING (r, p), unnest(range(1, len(x) + 1)) AS t(k) GROUP BY p, m.j, k) GROUP BY p, j),
+book{n + 1} AS MATERIALIZED (SELECT p, j, coalesce(mean{n}.c, book{n}.c) AS c FROM book{n} LEFT JOIN mean{n} USING (p, j))""")
+    return ",".join(steps) + f""",
+sha AS (SELECT sha256(coalesce(string_agg(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, j), '')) AS h FROM book{rounds}),
+done AS (SELECT r, string_agg(printf('%02x', m.j), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM near{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM kept JOIN done USING (r), sha"""
+
+
+_OP12_SQL = f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, row_number() OVER () AS r FROM embeddings WHERE {_FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS query_id, a.r AS q, b.vec_id, b.r, list_inner_product(a.x, b.x) AS score FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.r <> b.r)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, r) AS INTEGER) AS rank, vec_id, score FROM p
+QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, r) <= 20
+"""
+
+_OP13_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+w AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(t) AS term FROM d) GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM w GROUP BY lang, term HAVING count(*) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, k.n AS all_n, coalesce(x.n, 0) AS n FROM g JOIN k USING (lang)
+  LEFT JOIN (SELECT lang, source, term, CAST(sum(n) AS HUGEINT) AS n FROM w GROUP BY lang, source, term) x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term),
+p AS MATERIALIZED (
+  SELECT lang, source, term, n, 1 + 1000000000 * (n + 5) // (sum(n) OVER s + 5 * count(*) OVER s) AS p, 1 + 1000000000 * (all_n + 5) // (sum(all_n) OVER s + 5 * count(*) OVER s) AS q
+  FROM c WINDOW s AS (PARTITION BY lang, source)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+parts AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER o AS INTEGER) AS rank FROM parts
+WINDOW o AS (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))
+QUALIFY part = 'pair' OR row_number() OVER o <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_dedup": _OP5_SQL, "op6_token_rollup": _OP6_SQL, "op8_decontamination": _OP8_SQL, "op9_line_dedup": _OP9_SQL}
+    return {"op5_minhash_dedup": _OP5_SQL, "op6_token_rollup": _OP6_SQL, "op8_decontamination": _OP8_SQL, "op9_line_dedup": _OP9_SQL, "op11_vector_codes": _op11_sql(), "op12_nearest_neighbours": _OP12_SQL, "op13_source_divergence": _OP13_SQL}
