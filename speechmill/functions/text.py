@@ -21,13 +21,16 @@ STOCK_PHRASES = (
 # A sentence with its closing marks, and what makes it one.
 SENTENCE = r"[^。！？!?…；;\n]*[。！？!?…]+|[^。！？!?…；;\n]*[；;\n]+|[^。！？!?…；;\n]+"
 WORDED = r"[\p{L}\p{N}_]"
-#: White space at both ends, in Unicode's sense, not only spaces.
-OUTER_SPACE = r"^[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$"
+#: White space in Unicode's sense, not only spaces.
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Marks that may repeat, that end a text, that are weaker, that a full stop may follow, that must not begin or end one.
+RUN_MARKS, END_MARKS, WEAK_MARKS, TONE_MARKS, DOTS = "，。！？；、,.!?;:：", "。．.！!?？；;", "，,、", "!?？；;", "。．"
+LAST_MARKS, LAST_MARKS_LATIN, OPEN_MARKS = "。！？?!…", "。！？?!….", "，,、；;：:"
 
 
 def strip(text: Column) -> Column:
-    """Without white space of any kind at both ends; null as empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), OUTER_SPACE, "")
+    """Without white space of any kind at both ends; null as empty. One pass over each end."""
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
 
 
 def normalize_text(text: Column) -> Column:
@@ -46,18 +49,22 @@ def sanitize_punctuation(text: Column, latin_terminal: bool = False) -> Column:
 
     ``latin_terminal`` lets an ASCII full stop end a text; by default it gets an ideographic one behind it.
     """
-    t = F.trim(F.coalesce(text, F.lit("")))
+    # Quantifiers are possessive and a match begins at the first of a run (or where the last match ended), so that no
+    # run of white space or marks is tried from each of its characters.
+    space = r"(?:\G|(?<!\s))\s*+"
+    end = rf"(?:\G|(?<!\s)(?=\s)|(?<![\s{END_MARKS}])(?=[{END_MARKS}]))\s*+([{END_MARKS}]++)"
+    t = strip(text)
     for pattern, by in (
-        (r"([，。！？；、,.!?;:：])\1+", "$1"),
-        (r"\s*([。．.！!?？；;]+)[，,、]\s*", "$1"),
-        (r"\s*[，,、]\s*([。．.！!?？；;])", "$1"),
-        (r"([!?？；;])[。．]", "$1"),
-        (r"^[\s，。！？；、,.!?;:：]+", ""),
-        (r"\s+$", ""),
+        (rf"([{RUN_MARKS}])\1++", "$1"),
+        (rf"{end}[{WEAK_MARKS}]\s*+", "$1"),
+        (rf"{space}[{WEAK_MARKS}]\s*+([{END_MARKS}])", "$1"),
+        (rf"([{TONE_MARKS}])[{DOTS}]", "$1"),
+        (rf"^[\s{RUN_MARKS}]++", ""),
     ):
         t = F.regexp_replace(t, pattern, by)
-    ends = "[。！？?!….]$" if latin_terminal else "[。！？?!…]$"
-    return F.when(t == "", "").when(t.rlike("[，,、；;：:]$"), F.concat(F.substring(t, F.lit(1), F.char_length(t) - 1), F.lit("。"))).when(t.rlike(ends), t).otherwise(F.concat(t, F.lit("。")))
+    t = F.rtrim(t, F.lit(SPACES))
+    ends = f"[{LAST_MARKS_LATIN if latin_terminal else LAST_MARKS}]$"
+    return F.when(t == "", "").when(t.rlike(f"[{OPEN_MARKS}]$"), F.concat(F.substring(t, F.lit(1), F.char_length(t) - 1), F.lit("。"))).when(t.rlike(ends), t).otherwise(F.concat(t, F.lit("。")))
 
 
 def sentences(text: Column) -> Column:
@@ -115,11 +122,14 @@ def with_degenerate_reason(rows: DataFrame, text: str, name: str, min_chars: int
 
 
 def rich_transcript(raw: Column, events: tuple[str, ...], emotions: dict[str, str]) -> Column:
-    """struct(text, emotion, events) of a transcript with <|tags|>; the first emotion in the mapping's order counts."""
+    """struct(text, emotion, events) of a transcript with <|tags|>; the first emotion in the mapping's order counts.
+
+    The text is sanitised as texts to train on are.
+    """
     names = "|".join(events)
     found = F.array_sort(F.array_distinct(F.regexp_extract_all(raw, F.lit(rf"<\|({names})\|>"), F.lit(1))))
     mood = F.coalesce(*[F.when(raw.contains(f"<|{tag}|>"), F.lit(key)) for tag, key in emotions.items()], F.lit(""))
-    text = F.trim(F.regexp_replace(F.regexp_replace(raw, r"<\|[^|]*\|>", ""), r"\s+", " "))
+    text = sanitize_punctuation(F.regexp_replace(F.regexp_replace(raw, r"<\|[^|]*\|>", ""), r"\s+", " "))
     return F.struct(text.alias("text"), mood.alias("emotion"), found.alias("events"))
 
 

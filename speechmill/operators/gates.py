@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 # Seconds within which an item can be trained on; the fewest samples; characters of a kept laugh.
 TRAIN_SECONDS, LEAST_SAMPLES, LAUGH_CHARS = (1.0, 20.0), 20, (2, 30)
 # Intensity, pause in ms and stressed words of a script line.
@@ -30,7 +32,7 @@ def clamp(value: Column, low: float, high: float) -> Column:
 def transcribe_verdict(text: Column, seconds: Column) -> Column:
     """kept_existing if there is text, trainable if the length is unknown or fits, else untrainable."""
     d = F.coalesce(seconds, F.lit(0.0))
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) != "", "kept_existing").when((d <= 0) | d.between(*TRAIN_SECONDS), "trainable").otherwise("untrainable")
+    return F.when(strip(text) != "", "kept_existing").when((d <= 0) | d.between(*TRAIN_SECONDS), "trainable").otherwise("untrainable")
 
 
 def keeps_laugh(reason: Column, laughs: Column, normal: Column) -> Column:
@@ -53,7 +55,7 @@ def clamped_line(emotion: Column, intensity: Column, pause: Column, stressed: Co
 
     Null or 0 as intensity means 0.5; stressed words must occur in the text.
     """
-    line = F.trim(F.coalesce(text, F.lit("")))
+    line = strip(text)
     said = F.filter(F.coalesce(stressed, F.array().cast("array<string>")), lambda w: (w != "") & line.contains(w))
     return [
         F.when(emotion.isin(*emotions), emotion).otherwise("calm").alias("emotion"),
@@ -65,7 +67,7 @@ def clamped_line(emotion: Column, intensity: Column, pause: Column, stressed: Co
 def label_key(label: Column, names: dict[str, str] | None = None) -> Column:
     """The key of a label: of the same name, or of the first name that it begins with, or ''."""
     names = MODEL_LABELS if names is None else names
-    clean = F.trim(F.coalesce(label, F.lit("")))
+    clean = strip(label)
     out = None
     for name, key in names.items():
         out = F.when(clean == name, key) if out is None else out.when(clean == name, key)

@@ -15,13 +15,15 @@ MIN_SECONDS, TRAIN_SECONDS, HARD_SECONDS, MIN_SNR = 1.0, 20.0, 72.6, 15.0
 MOST_NAMES = 10_000
 
 
-def update_fields(records: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+def update_fields(records: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """Non-null fields of ``changes`` replace those of known records; nothing is inserted, unknown fields are ignored.
 
-    Of several changes to one record the least row counts, by its fields in order.
+    Of several changes of one field the last by ``order`` counts, or without one the least value; a change that leaves a
+    field null leaves the others' value of it alone.
     """
-    fields = [c for c in changes.columns if c in records.columns and c != key]
-    new = changes.groupBy(key).agg(F.min(F.struct(*fields)).alias("_c")).select(key, *[F.col(f"_c.{c}").alias(f"_new_{c}") for c in fields])
+    fields = [c for c in changes.columns if c in records.columns and c not in (key, order)]
+    pick = lambda c: F.min(c) if order is None else F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order, c)))
+    new = changes.groupBy(key).agg(*[pick(c).alias(f"_new_{c}") for c in fields])
     joined = records.join(new, key, "left")
     return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in records.columns])
 
@@ -49,15 +51,19 @@ def next_ids(incoming: DataFrame, existing: DataFrame, column: str, order: list[
     return dealt.join(F.broadcast(offsets), "_part").withColumn(column, F.format_string(f"{prefix}%05d", number)).drop("_part", "_offset")
 
 
-def status(text: Column, seconds: Column, snr: Column, has_features: Column, need_features: bool = False) -> tuple[Column, Column]:
-    """The first problem that counts, or ready; and all problems."""
+def status(text: Column, seconds: Column, snr: Column, has_features: Column, need_features: bool = False, has_audio: Column | None = None) -> tuple[Column, Column]:
+    """The first problem that counts, or ready; and all problems. Without audio (file or length) that is the only one."""
     empty = strip(text) == ""
     missing = ~has_features if need_features else F.lit(False)
     tests = [("no_text", empty), ("over_hard_limit", seconds > HARD_SECONDS), ("too_long", seconds.between(TRAIN_SECONDS, HARD_SECONDS) & (seconds > TRAIN_SECONDS)), ("too_short", seconds < MIN_SECONDS), ("low_snr", snr < MIN_SNR), ("no_features", missing)]
     verdict = F.when(tests[0][1], tests[0][0])
     for name, test in tests[1:]:
         verdict = verdict.when(test, name)
-    return verdict.otherwise("ready"), F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests]))
+    verdict, problems = verdict.otherwise("ready"), F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests]))
+    if has_audio is None:
+        return verdict, problems
+    gone = ~F.coalesce(has_audio, F.lit(False)) | F.coalesce(seconds < 0, F.lit(True))
+    return F.when(gone, "missing_audio").otherwise(verdict), F.when(gone, F.array(F.lit("missing_audio"))).otherwise(problems)
 
 
 def keep_repeats(records: DataFrame, key: Column, order: list[str], most: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def import_verdicts(pairs: DataFrame, existing: DataFrame, key: list[str], margin: str, least: float, order: list[str]) -> DataFrame:
     """Adds ``verdict`` to sidecar pairs: missing (a part of the key is null), margin (too small), duplicate, or imported."""
@@ -27,7 +29,7 @@ def append_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 
 def shortest(rows: DataFrame, text: str, seconds: str, tie: str, n: int) -> DataFrame:
     """The ``n`` rows with the shortest trimmed text, then the least duration."""
-    return rows.orderBy(F.char_length(F.trim(F.coalesce(text, F.lit("")))), F.asc_nulls_last(seconds), tie).limit(n)
+    return rows.orderBy(F.char_length(strip(text)), F.asc_nulls_last(seconds), tie).limit(n)
 
 
 def usable(rows: DataFrame, codes: str, chars: str, most_codes: int, most_chars: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences
+from ..functions.text import SPACES, sentences
 
 # Emotion keys in order of precedence, words that speak for them, stressed words.
 EMOTIONS = ("happy", "angry", "sad", "afraid", "disgusted", "melancholic", "surprised", "calm")
@@ -77,7 +77,7 @@ def pause_after(line: Column, emotion: Column, jitter: Column, scale: float = 1.
 
 def least_pause(line: Column, scale: float = 1.0) -> Column:
     """The least pause in ms between blocks: 0 without a final mark, else above what a comma inside a block may have."""
-    t = F.regexp_replace(F.coalesce(line, F.lit("")), r"\s+$", "")
+    t = F.rtrim(F.coalesce(line, F.lit("")), F.lit(SPACES))
     lo, _ = _band(t)
     comma = int(min(2000, COMMA_BAND[1] * scale)) + 50
     return F.when(F.substring(t, -1, 1).isin(*FINAL_MARKS), F.greatest(F.greatest(F.lit(80), F.floor(lo * scale).cast("int")), F.lit(comma))).otherwise(0)

@@ -7,12 +7,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_adjacent(rows: DataFrame, group: str, start: str, end: str, label: str, gap: float) -> DataFrame:
-    """Neighbouring intervals of one label, less than ``gap`` apart, as one."""
+def merge_adjacent(rows: DataFrame, group: str, start: str, end: str, label: str, gap: float, touching: bool = False) -> DataFrame:
+    """Neighbouring intervals of one label, less than ``gap`` apart, as one: group, label, start, end, n.
+
+    An interval joins the run before it if it begins before the furthest end of that run plus ``gap``, so overlaps and
+    intervals inside others join too. With ``touching`` it joins only if its start is within ``gap`` of the end just
+    before it, on either side, as words of a transcript do.
+    """
     order = Window.partitionBy(group).orderBy(start, end, label)
-    new = (F.lag(label).over(order) != F.col(label)) | (F.col(start) - F.lag(end).over(order) >= gap)
-    marked = rows.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(group, "_run", label).agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_run")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_new", F.coalesce(F.lag(label).over(order) != F.col(label), F.lit(True)).cast("int")).withColumn("_stretch", F.sum("_new").over(so_far))
+    inside = Window.partitionBy(group, "_stretch").orderBy(start, end)
+    if touching:
+        apart = F.abs(F.col(start) - F.lag(end).over(inside)) >= gap
+    else:
+        apart = F.col(start) - F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)) >= gap
+    rows = rows.withColumn("_cut", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("_run", F.sum("_cut").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(group, "_stretch", "_run", label).agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_stretch", "_run")
 
 
 def quiet_runs(rows: DataFrame, group: str, index: str, value: str, below: float, least: int) -> DataFrame:
@@ -78,9 +89,10 @@ def loudness_figures(rows: DataFrame, group: str, level: str, target: float = -2
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, value: str) -> DataFrame:
-    """Each left row with the last ``value`` of the right side at or before it: one sort of both, no range join."""
-    a = left.select("*", F.col(left_at).alias("_at"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_side"))
-    b = right.select(*keys, F.col(right_at).alias("_at"), F.col(value).alias("_v"), F.lit(0).alias("_side"))
+    """Each left row with ``value`` of the last right row at or before it, null if that row's is: one sort of both, no range join."""
+    held = F.struct(F.col(value).alias("v"))  # a struct is there even if its value is null, so a matched null isn't passed over
+    b = right.select(*keys, F.col(right_at).alias("_at"), held.alias("_v"), F.lit(0).alias("_side"))
+    a = left.select("*", F.col(left_at).alias("_at"), F.lit(None).cast(b.schema["_v"].dataType).alias("_v"), F.lit(1).alias("_side"))
     order = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last("_v", ignorenulls=True).over(order))
-    return both.filter("_side = 1").drop("_at", "_v", "_side")
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_v", F.last("_v", ignorenulls=True).over(order))
+    return both.filter("_side = 1").withColumn(value, F.col("_v.v")).drop("_at", "_v", "_side")

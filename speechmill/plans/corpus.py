@@ -23,7 +23,10 @@ def _norm(column: str) -> str:
     return f"lower(regexp_replace(translate(coalesce({column}, ''), '{text.FULL_WIDTH}', '{text.HALF_WIDTH}'), {_lit(text.COMPARE_MARKS)}, '', 'g'))"
 
 
-_STRIP = f"regexp_replace(coalesce(text, ''), {_lit(text.OUTER_SPACE)}, '', 'g')"
+#: What SQL strips, as a pattern of its own.
+_SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+OUTER_SPACE = f"^{_SPACE}|{_SPACE}$"
+_STRIP = f"regexp_replace(coalesce(text, ''), {_lit(OUTER_SPACE)}, '', 'g')"
 _CORE = f"regexp_replace({_STRIP}, {_lit(text.VERDICT_MARKS)}, '', 'g')"
 _STOCK = " OR ".join(f"contains(lower(text), '{p}')" for p in text.STOCK_PHRASES)
 _REASON = f"""CASE WHEN {_STRIP} = '' THEN 'empty' WHEN len(core) < 2 THEN 'too_short' WHEN len(cs) = 1 THEN 'single_character'
@@ -237,7 +240,7 @@ ORACLES = {
           ({_STRIP} = '')::INT + (s > 20)::INT + (s < 1)::INT + coalesce(q = 0, false)::INT + (q IS NULL)::INT AS k FROM d)
         SELECT status, count(*) AS n, CAST(sum(k) AS BIGINT) AS problems, round(sum(s) / 60, 3) AS minutes FROM e GROUP BY status""",
     "sentence_explode": f"""
-        WITH l AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '{text.SENTENCE}'), lambda x: regexp_replace(x, '{text.OUTER_SPACE}', '', 'g')), lambda x: regexp_matches(x, '{text.WORDED}')) AS s FROM documents)
+        WITH l AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '{text.SENTENCE}'), lambda x: regexp_replace(x, '{OUTER_SPACE}', '', 'g')), lambda x: regexp_matches(x, '{text.WORDED}')) AS s FROM documents)
         SELECT doc_id, len(s) AS n, CAST(list_max(list_transform(s, lambda x: length(x))) AS INT) AS longest, CAST(list_sum(list_transform(s, lambda x: length(x))) AS BIGINT) AS total FROM l WHERE len(s) > 0""",
     "text_normalize_compare": f"SELECT doc_id, md5({_norm('text')}) AS digest FROM documents",
     "repeat_cap": "SELECT doc_id, row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) > 1 AS over FROM documents",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import catalog, frames, sampling, scripts
+from .corpus import OUTER_SPACE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,7 +148,7 @@ def nearest_unused(spark, sf_dir):
 # Scripts
 
 _SENT = f"""l0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{text.SENTENCE}') AS s FROM documents),
-  l1 AS (SELECT doc_id, list_filter(list_transform(s, lambda x: regexp_replace(x, '{text.OUTER_SPACE}', '', 'g')), lambda x: regexp_matches(x, '{text.WORDED}')) AS s FROM l0),
+  l1 AS (SELECT doc_id, list_filter(list_transform(s, lambda x: regexp_replace(x, '{OUTER_SPACE}', '', 'g')), lambda x: regexp_matches(x, '{text.WORDED}')) AS s FROM l0),
   l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) - 1 AS pos FROM l1)"""
 _HITS = {e: " + ".join(f"contains(line, '{w}')::INT" for w in ws) for e, ws in scripts.EMOTION_WORDS.items()}
 _EMO = f"""h AS (SELECT *, {", ".join(f"{v} AS h_{e}" for e, v in _HITS.items())} FROM l), b AS (SELECT *, greatest({", ".join(f"h_{e}" for e in _HITS)}) AS best, regexp_matches(line, '[！!]') AS sh, regexp_matches(line, '[？?]') AS qu, contains(line, '…') AS tr FROM h),

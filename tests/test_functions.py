@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,7 +50,7 @@ def test_small_text_functions(spark):
     assert one(spark, [" a/b:c "], text.safe_name) == ["a_b_c"]
     assert one(spark, ["Foo foobar"], lambda c: text.replace_terms(c, {"foo": "x", "foobar": "y$"})) == ["x y$"]
     got = one(spark, ["<|zh|><|HAPPY|><|Laughter|>hi  there<|BGM|>"], lambda c: text.rich_transcript(c, ("BGM", "Laughter"), {"SAD": "sad", "HAPPY": "happy"}))
-    assert got[0].asDict() == {"text": "hi there", "emotion": "happy", "events": ["BGM", "Laughter"]}
+    assert got[0].asDict() == {"text": "hi there。", "emotion": "happy", "events": ["BGM", "Laughter"]}
 
 
 def test_numbers(spark):
@@ -58,6 +62,68 @@ def test_numbers(spark):
     assert toned[0] == pytest.approx([0, 0, 0.8, 0, 0, 0, 0, 0])
 
 
+def naive_sanitize(t):
+    """The rules as plain patterns, which take a long run's square in time."""
+    t = t.strip()
+    for pattern, by in (
+        (r"([，。！？；、,.!?;:：])\1+", r"\1"), (r"\s*([。．.！!?？；;]+)[，,、]\s*", r"\1"), (r"\s*[，,、]\s*([。．.！!?？；;])", r"\1"),
+        (r"([!?？；;])[。．]", r"\1"), (r"^[\s，。！？；、,.!?;:：]+", ""),
+    ):
+        t = re.sub(pattern, by, t)
+    t = t.strip()
+    if not t:
+        return ""
+    return t[:-1] + "。" if t[-1] in "，,、；;：:" else t if t[-1] in "。！？?!…" else t + "。"
+
+
+def test_sanitize_is_the_plain_rule(spark):
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("a 。，.,!；、？\n啊") for _ in range(draw.randint(0, 14))) for _ in range(4000)]
+    assert one(spark, texts, text.sanitize_punctuation) == [naive_sanitize(t) for t in texts]
+
+
+@pytest.mark.parametrize("middle", [" " * 100_000, "。.!" * 30_000, " ，" * 30_000, ",。 " * 30_000, "\u3000" * 50_000])
+def test_long_runs_take_linear_time(spark, middle):
+    given, began = ["a" + middle + "b"], time.time()
+    assert one(spark, given, text.strip) == given
+    one(spark, given, text.sanitize_punctuation)
+    one(spark, given, lambda c: F.size(text.sentences(c)))
+    assert time.time() - began < 6
+
+
+def test_strip_knows_all_white_space(spark):
+    every = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    assert one(spark, ["".join(every) + "a b" + "".join(every)], text.strip) == ["a b"]
+    assert set(text.SPACES) == set(every)
+
+
+def test_adjacency_of_nested_intervals(spark):
+    rows = spark.createDataFrame([(1, 0.0, 10.0, "A"), (1, 1.0, 2.0, "A"), (1, 9.0, 11.0, "A"), (1, 11.01, 12.0, "A")], "g int, s double, e double, l string")
+    assert [(r.s, r.e, r.n) for r in series.merge_adjacent(rows, "g", "s", "e", "l", 0.02).collect()] == [(0.0, 12.0, 4)]
+    got = series.merge_adjacent(rows, "g", "s", "e", "l", 0.02, touching=True).orderBy("s").collect()
+    assert [(r.s, r.e) for r in got] == [(0.0, 10.0), (1.0, 2.0), (9.0, 12.0)]
+
+
+def test_as_of_keeps_a_matched_null(spark):
+    right = spark.createDataFrame([(1, 2, 7.0), (1, 3, None)], "k int, at int, v double")
+    got = series.as_of(spark.createDataFrame([(1, 1), (1, 2), (1, 5)], "k int, t int"), right, ["k"], "t", "at", "v").orderBy("t").collect()
+    assert [r.v for r in got] == [None, 7.0, None]
+
+
+def test_updates_do_not_hide_each_other(spark):
+    base = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "id int, x string, y string")
+    changes = spark.createDataFrame([(1, None, "B", 1), (1, "A", None, 2), (1, "Z", None, 3), (9, "q", "q", 4)], "id int, x string, y string, at int")
+    assert sorted(map(tuple, records.update_fields(base, changes.drop("at"), "id").collect())) == [(1, "A", "B"), (2, "c", "d")]
+    assert sorted(map(tuple, records.update_fields(base, changes, "id", "at").collect())) == [(1, "Z", "B"), (2, "c", "d")]
+
+
+def test_missing_audio_comes_first(spark):
+    rows = spark.createDataFrame([("", 5.0, True), ("x", -1.0, True), ("x", 5.0, None), ("x", 5.0, True)], "t string, s double, a boolean")
+    verdict, problems = records.status(F.col("t"), F.col("s"), F.lit(30.0), F.lit(True), has_audio=F.col("a"))
+    got = rows.select(verdict.alias("v"), problems.alias("p")).collect()
+    assert [tuple(r) for r in got] == [("no_text", ["no_text"]), ("missing_audio", ["missing_audio"]), ("missing_audio", ["missing_audio"]), ("ready", [])]
+
+
 def test_islands(spark):
     rows = spark.createDataFrame([(1, 0.0, 1.0, "A"), (1, 1.01, 2.0, "A"), (1, 2.5, 3.0, "A"), (1, 3.0, 4.0, "B")], "g int, s double, e double, l string")
     got = series.merge_adjacent(rows, "g", "s", "e", "l", 0.02).orderBy("s").collect()
