@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def pitch_stats(frames: DataFrame) -> DataFrame:
     """item, n, voiced_ratio, median and std_st (semitones) of the voiced frames; items without any are left out."""
@@ -114,18 +116,8 @@ def frames_of_intervals(intervals: DataFrame) -> DataFrame:
 
 
 def pick_apart(pieces: DataFrame, most: int, tolerance: float = 0.05) -> DataFrame:
-    """Rows (item, start, end) taken in order of start where they begin at the last taken end or later.
-
-    A series is folded in one row of its item, as taking one piece depends on all before it; at most ``most`` are kept.
-    """
-    series = pieces.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))
-    none = F.array().cast("array<struct<start:double,end:double>>")
-
-    def take(acc: Column, p: Column) -> Column:
-        fits = (F.size(acc) < most) & (p["start"] >= F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1.0)) - tolerance)
-        return F.when(fits, F.array_append(acc, p)).otherwise(acc)
-
-    return series.select("item", F.explode(F.aggregate("s", none, take)).alias("p")).select("item", "p.start", "p.end")
+    """Rows (item, start, end) taken in order of start where they begin at the last taken end or later, ``most`` at most."""
+    return scans.picked_apart(pieces.select("item", "start", "end"), "item", "start", "end", tolerance, most).select("item", "start", "end")
 
 
 def nearest_unused(wanted: DataFrame, there: DataFrame, within: float) -> DataFrame:

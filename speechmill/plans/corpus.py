@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
-from ..operators import ranked, records, series
+from ..operators import scans, ranked, records, series
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -159,13 +159,13 @@ def quiet_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def step_limited_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = series.in_order(_t(spark, sf_dir, "events"), "user_id", ["event_id"], "value").withColumn("smooth", series.step_limited(F.col("values"), 2.5, F.lit(50.0)))
-    return done.select("user_id", F.posexplode("smooth").alias("pos", "value"))
+    ev = _t(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return scans.step_limited(ev, "user_id", ["event_id"], "value", 2.5, 50.0).select("user_id", "pos", F.col("smooth").alias("value"))
 
 
 def early_stop_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = series.in_order(_t(spark, sf_dir, "events"), "user_id", ["event_id"], "value")
-    return done.select("user_id", series.early_stop(F.col("values"), 3, 1e-4).alias("s")).select("user_id", "s.*")
+    ev = _t(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return scans.early_stops(ev, "user_id", ["event_id"], "value", 3, 1e-4).withColumns({"best_at": F.col("best_at").cast("int"), "stopped_at": F.col("stopped_at").cast("int")})
 
 
 def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

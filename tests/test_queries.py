@@ -1,10 +1,10 @@
 import pytest
 
 from compare import same
-from speechmill.plans import corpus, media, relational, signals
+from speechmill.plans import corpus, media, relational, sequences, signals
 
-SQL = {**corpus.oracle_sql(), **relational.oracle_sql(), **media.oracle_sql(), **signals.oracle_sql()}
-QUERIES = {**corpus.queries(), **relational.queries(), **media.queries(), **signals.queries()}
+SQL = {**corpus.oracle_sql(), **relational.oracle_sql(), **media.oracle_sql(), **signals.oracle_sql(), **sequences.oracle_sql()}
+QUERIES = {**corpus.queries(), **relational.queries(), **media.queries(), **signals.queries(), **sequences.queries()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
