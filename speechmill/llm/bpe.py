@@ -6,7 +6,9 @@ before; where none may, the last token is taken back and its place never tried a
 side if merging their joint bytes gives these two again, which is memoised; a row of such pairs is what the merges
 give, so each place is tried once and the time is linear in the piece.
 
-Defined cases: a null text counts as empty and has no tokens; special tokens' strings are ordinary text.
+Defined cases: a null text counts as empty and has no tokens; special tokens' strings are ordinary text; repeated rows
+have one result each; a very long text takes time in proportion to its length, and its ids are one row; an empty table
+gives no rows; carried columns must not have the results' names (``fresh`` gives such).
 """
 
 from __future__ import annotations

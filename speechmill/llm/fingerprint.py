@@ -7,7 +7,9 @@ than ``floor`` hashes below the threshold keeps its ``floor`` lowest hashes inst
 
 Defined cases: a null text counts as empty; a text without words has an empty sketch, which is like another
 empty sketch to 1 and like any other to 0; fewer words than a shingle make one shingle of all of them; equal
-texts have equal sketches; columns other than doc_id and text are ignored.
+texts have equal sketches; repeated rows have one result each, and rows of one doc_id follow each other by text; a very
+long text is one row, whose hashes are an array in its task; an empty table gives no rows; columns other than doc_id
+and text are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,8 +16,8 @@ Sums are combined before each shuffle, and joins split hot lines; no task gather
 one row, or one for each run length below ``min_words``, for each shuffle partition. Defined cases: lines without
 words are not counted and, where a document loses lines, dropped; a null text is left alone and an empty one has no
 lines; rows with equal doc_id and text are one document, so both stay or lose the same lines; texts under one doc_id
-are told apart by hash; null doc_ids come first; an empty table gives no rows; a very long text is one row, and its
-lines are ranked like any others; columns of any name pass through.
+are told apart by hash; null doc_ids come first; an empty table gives no rows; a very long text is one row, its
+lines are ranked like any others, and the window over them is one task; columns of any name pass through.
 """
 
 from __future__ import annotations

@@ -366,12 +366,16 @@ def _score(buckets: int, order: int):
     return score
 
 
-def score_documents(docs: DataFrame, held_out_mod: int = 10, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, order: int = 3) -> DataFrame:
+def score_documents(docs: DataFrame, held_out_mod: int = 10, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, order: int = 3, scanned: bool = False) -> DataFrame:
     """Scores of all documents under a model of those whose crc32(doc_id) mod ``held_out_mod`` is not 0.
 
-    ``order`` 2 leaves out the states of two words.
+    ``order`` 2 leaves out the states of two words. A chunk is what one input partition holds in its order, and answers
+    fit that order; so rows are sorted in their partitions, unless ``docs`` is a plain scan of files (``scanned``), which
+    a task that runs again reads in the same order.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    if not scanned:
+        docs = docs.sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out_mod == 0, F.lit(False))
     rows, size = total_bytes(docs)
     tasks, buckets = 1 + (size + rows) // chunk_bytes, 1 + (size + rows) // bucket_bytes

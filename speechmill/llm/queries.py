@@ -20,7 +20,7 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score_documents(table(spark, sf_dir, "documents"))
+    return ngram_lm.score_documents(table(spark, sf_dir, "documents"), scanned=True)
 
 
 def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,10 @@ all documents. The linear score is cut at the quantile of the sample's scores th
 mapped to 0..1 so that the cut is at 0.5.
 
 Defined cases: a null text counts as empty and is scored like any other; a doc_id with both labels is left out of
-the fit; a sample without both labels gives every document 0.5; doc_id, labels, lang and source are never features.
+the fit, one with several texts is fitted by one of them, and each of its rows is scored; equal texts have equal
+scores, and a score at the cut is 0.5, so it passes; a very long text is read whole in its row's task; a sample without
+both labels gives every document 0.5, an empty table no rows; carried columns may have any name but the score's
+(``fresh`` gives such); doc_id, labels, lang and source are never features.
 """
 
 from __future__ import annotations
@@ -113,8 +116,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, mod: int
     half = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows // 2) for q in (0, 1)]
     sample = F.broadcast(half[0].unionByName(half[1]))  # at most sample_rows pairs of numbers
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).join(sample, "doc_id")
-    # a copied doc_id could bring back more rows than the sample has, so the same bound holds again
-    rows = texts.select("doc_id", "quality", "text").mapInArrow(_featured, "doc_id long, quality int, x array<double>").limit(2 * sample_rows).toPandas()
+    # A copied doc_id would bring back more rows than the sample has: the least of its rows' features stands for it.
+    featured = texts.select("doc_id", "quality", "text").mapInArrow(_featured, "doc_id long, quality int, x array<double>")
+    rows = featured.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas()  # at most sample_rows rows
     rows = rows.sort_values("doc_id", kind="stable")
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x, rows["quality"].to_numpy())

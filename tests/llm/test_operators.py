@@ -520,3 +520,18 @@ def test_pipeline(spark, sf_dir):
     assert set(brute_components({r.doc_id: r.text for r in docs.collect()}, 5, 80).items()) == {(r.doc_id, r.doc_id) for r in docs.collect()}
     done = corpus_pipeline.run(spark, sf_dir)
     assert done.count() == before and done.filter("not exact").count() == 0
+
+
+def test_op3_copied_ids_do_not_change_the_model(spark, sf_dir):
+    """Rows of one doc_id in any order, and more of them than the sample: one model."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    copies = docs.unionByName(docs.withColumn("text", F.reverse("text"))).unionByName(docs)
+    models = [ranking.train(copies.repartition(n), labels) for n in (1, 7)]
+    assert (models[0].weight == models[1].weight).all() and models[0].cut == models[1].cut
+
+
+def test_op2_chunks_of_shuffled_input(spark, sf_dir):
+    """Answers fit a chunk's order, so rows in another order of arrival are scored the same."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    scores = [{r.doc_id: round(r.score, 6) for r in ngram_lm.score_documents(d, chunk_bytes=200_000).collect()} for d in (docs, docs.orderBy(F.desc("doc_id")).repartition(3))]
+    assert scores[0] == scores[1]
