@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages, each over all that the one before kept, each written and read again."""
+"""The corpus pipeline: five stages, each over all that the one before kept, each written and read again.
+
+Defined cases of every stage: a null text counts as empty (line dedup leaves it null) and stays where nothing is found
+in it; repeated rows are documents of their own until near-dedup keeps one; a null doc_id is an id that no label has; a
+very long text is one row of one task; other columns pass through whatever their names; an empty table gives no rows.
+Ties: a score at the cut stays; of equal lines and of near copies those of the smallest doc_id (then text) stay.
+"""
 
 from __future__ import annotations
 
