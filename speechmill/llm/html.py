@@ -1,16 +1,19 @@
 """HTML extraction by layout-aware rendering.
 
 A builder follows the tags with the implied ends that HTML has (a new <li> ends the one before, a block ends a
-paragraph, ...). An element is rendered when it ends, from what its children have rendered, so deep nesting needs no
-recursion. Text that is not visible (scripts, styles, head, hidden attributes and styles) is left out; what only
-screen readers skip is not. Of drawings the text elements are kept, of formulas all but annotations. Blocks stand
-on lines of their own, paragraphs and headings between blank lines, list items behind bullets or numbers and indented,
-and a table's cells in columns as wide as their widest cell; a cell that spans columns or rows covers them.
+paragraph, ...). An element is rendered when it ends, from what its children have rendered, so nesting needs no
+recursion; elements nested deeper than ``DEEPEST`` stand beside each other, as in browsers. Text that is not visible
+(scripts, styles, head, hidden attributes and styles) is left out; what only screen readers skip is not, nor what is
+made visible again within an invisible element. Of drawings the text elements are kept, of formulas all but
+annotations. Blocks stand on lines of their own, paragraphs and headings between blank lines, list items behind bullets
+or numbers and indented, up to ``INDENT`` characters. A table's cells stand in columns as wide as their widest cell, and
+a cell that spans columns or rows covers them; where that would take more than ``PADDING`` times what the cells hold,
+cells are parted by bars only.
 
 Defined cases: null or empty pages render as an empty text; unclosed, stray and misnested tags never fail; an empty
-table of pages gives no rows, repeated rows one result each; a very long page takes time in proportion to its length,
-and to its depth where lines stand within many blocks that hold other lines too; carried columns keep their names, and
-the result's name must not be among them (``fresh`` gives such).
+table of pages gives no rows, repeated rows one result each; a very long page takes time in proportion to its length and
+depth (at most ``DEEPEST``), for tables to rows times the cells that reach over rows, and its text is at most a
+few times the page; carried columns keep their names, and the result's name must not be among them (``fresh`` gives such).
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import html
 import re
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +31,9 @@ from pyspark.sql import types as T
 
 from .common import fresh, slices
 
+#: Elements nested in each other at most, characters of indent at most, and what padding may add to a table.
+DEEPEST, INDENT, PADDING = 512, 24, 4
+
 #: Element names by what HTML says of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
@@ -51,15 +58,17 @@ _SCOPES = frozenset("table td th caption button object template html".split())
 _ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+))?+)?+")
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)?+)*+)>?)", re.S)
 _HIDING = re.compile(r"hidden|style|type|start|value|span", re.I)
-_UNSEEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_UNSHOWN = re.compile(r"display\s*+:\s*+none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*+:\s*+(hidden|collapse|visible)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class _Node:
-    __slots__ = ("tag", "seen", "parts", "cells", "rows", "count", "pre", "foreign", "span")
+    __slots__ = ("tag", "shown", "visible", "parts", "cells", "rows", "count", "pre", "foreign", "span")
 
-    def __init__(self, tag: str, seen: bool, pre: bool, foreign: str = ""):
-        self.tag, self.seen, self.pre = tag, seen, pre
+    def __init__(self, tag: str, shown: bool, pre: bool, foreign: str = "", visible: bool = True):
+        self.tag, self.shown, self.pre = tag, shown, pre
+        self.visible = visible  # what is not shown hides all inside it; what is shown but invisible does not
         self.foreign = foreign  # "svg", "text" within a text element of it, "math", or "" for HTML
         self.parts: list = []  # str: inline text; (0, lines): a block; (1, lines): one between blank lines
         self.cells: list | None = None
@@ -107,34 +116,64 @@ def _lines(parts: list, pre: bool = False) -> list[str]:
     return out
 
 
-def _table(rows: list[list[tuple[str, int, int]]]) -> list[str]:
-    """Aligned lines of rows of cells (text, columns, rows). Columns in which no cell begins take no room."""
-    placed: list[list[tuple[int, int, str]]] = []
-    held: dict[int, int] = {}  # column -> rows below that a cell above still covers
-    for row in rows:
-        busy, held = held, {c: n - 1 for c, n in held.items() if n > 1}
-        at, cells = 0, []
+def _indented(mark: str, lines: list[str]) -> list[str]:
+    """Lines behind a mark; what is indented by ``INDENT`` already moves no further."""
+    deep = " " * INDENT
+    return [x if x.startswith(deep) else (mark if i == 0 else " " * len(mark)) + x for i, x in enumerate(lines)]
+
+
+def _placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, str]]]:
+    """Cells (first column, end, text) of each row; cells that reach over rows hold ranges of columns until a row."""
+    placed = []
+    held: list[tuple[int, int, int]] = []  # first column, end, row until which it is held; by column
+    for number, row in enumerate(rows):
+        held = [h for h in held if h[2] > number]
+        at, k, cells, new = 0, 0, [], []
         for text, wide, tall in row:
-            while at in busy:
-                at += 1
+            while k < len(held) and held[k][0] <= at:
+                at = max(at, held[k][1])
+                k += 1
             cells.append((at, at + wide, text))
             if tall > 1:
-                held.update(dict.fromkeys(range(at, at + wide), tall - 1))
+                new.append((at, at + wide, min(number + tall, len(rows))))
             at += wide
+        if new:
+            merged: list[tuple[int, int, int]] = []
+            for h in sorted(held + new):
+                if merged and merged[-1][1] == h[0] and merged[-1][2] == h[2]:
+                    merged[-1] = (merged[-1][0], h[1], h[2])
+                else:
+                    merged.append(h)
+            held = merged
         placed.append(cells)
+    return placed
+
+
+def _table(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Aligned lines of rows of cells (text, columns, rows). Columns in which no cell begins take no room."""
+    placed = _placed(rows)
     starts = sorted({first for cells in placed for first, _, _ in cells})
     spans = [[(bisect_left(starts, first), bisect_left(starts, end), text) for first, end, text in cells] for cells in placed]
     widths = [0] * len(starts)
     every = sorted((x for cells in spans for x in cells), key=lambda x: x[1] - x[0])
-    for first, end, text in every:
-        room = sum(widths[first:end]) + 3 * (end - first - 1)
-        widths[end - 1] += max(0, len(text) - room)
+    narrow = [x for x in every if x[1] - x[0] == 1]
+    for first, _, text in narrow:
+        widths[first] = max(widths[first], len(text))
+    sums = [0, *accumulate(w + 3 for w in widths)]
+    for first, end, text in every[len(narrow) :]:
+        more = len(text) - (sums[end] - sums[first] - 3)
+        if more > 0:
+            widths[end - 1] += more
+            sums[end:] = [x + more for x in sums[end:]]
+    size = sum(sums[cells[-1][0]] + len(cells[-1][2]) for cells in spans if cells)
+    if size > PADDING * sum(len(text) + 8 for cells in spans for _, _, text in cells):
+        return [" | ".join(text for _, _, text in cells) for cells in spans]
     out = []
     for cells in spans:
         shown, at = [], 0
-        for first, end, text in cells:
+        for n, (first, end, text) in enumerate(cells):
             shown += [" " * w for w in widths[at:first]]
-            shown.append(text.ljust(sum(widths[first:end]) + 3 * (end - first - 1)))
+            shown.append(text if n == len(cells) - 1 else text.ljust(sums[end] - sums[first] - 3))
             at = end
         out.append(" | ".join(shown).rstrip())
     return out
@@ -147,16 +186,18 @@ class Renderer:
 
     def text(self, raw: str) -> None:
         at = self.open[-1]
-        if at.seen or at.tag == "head":
+        if at.shown and at.visible or at.tag == "head":
             raw = html.unescape(raw) if "&" in raw else raw
             if at.tag == "head" and raw.strip(" \t\n\r\f\0"):
                 self._close()
                 at = self.open[-1]
-        if at.seen and at.foreign != "svg":
+        if at.shown and at.visible and at.foreign != "svg":
             at.parts.append(raw.replace("\0", "") if at.pre else _SPACE.sub(" ", raw.replace("\0", "")))
 
     def start(self, tag: str, attributes: str) -> bool:
         """Whether an element is open now for what follows."""
+        while len(self.open) > DEEPEST:
+            self._close()
         if self.open[-1].tag == "head" and tag not in HEAD:
             self._close()
         if tag in _BREAKS_OUT:
@@ -186,7 +227,11 @@ class Renderer:
             for m in _ATTRIBUTE.finditer(attributes):
                 given.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
         parent = self.open[-1]
-        seen = parent.seen and tag not in UNSEEN and not (parent.foreign and tag in _FOREIGN_UNSEEN or "hidden" in given or _UNSEEN_STYLE.search(given.get("style", "")) or tag == "dialog" and "open" not in attributes)
+        style = given.get("style", "")
+        shown = parent.shown and tag not in UNSEEN and not (parent.foreign and tag in _FOREIGN_UNSEEN or "hidden" in given or _UNSHOWN.search(style) or tag == "dialog" and "open" not in attributes)
+        said = _VISIBILITY.findall(style)
+        visible = said[-1].lower() == "visible" if said else parent.visible
+        seen = shown and visible
         if tag in VOID:
             if seen and tag == "br":
                 parent.parts.append("\n" if parent.pre else "\0")
@@ -195,7 +240,7 @@ class Renderer:
             elif seen and tag == "input" and given.get("type", "").lower() in ("submit", "button", "reset") and given.get("value"):
                 parent.parts.append(f" {html.unescape(given['value'])} ")
             return False
-        node = _Node(tag, seen, parent.pre or tag in ("pre", "textarea", "xmp"), foreign)
+        node = _Node(tag, shown, parent.pre or tag in ("pre", "textarea", "xmp"), foreign, visible)
         if tag == "ol":
             node.count = int(given["start"]) if re.fullmatch(r"-?\d{1,9}", given.get("start", "")) else 1
         if tag == "li" and re.fullmatch(r"-?\d{1,9}", given.get("value", "")):
@@ -237,7 +282,7 @@ class Renderer:
     def _close(self) -> None:
         node, parent = self.open.pop(), self.open[-1]
         self.names[node.tag] -= 1
-        if not node.seen:
+        if not node.shown:
             return
         tag = node.tag
         if tag in ("td", "th"):
@@ -245,7 +290,7 @@ class Renderer:
             if row is not None:
                 if row.cells is None:
                     row.cells = []
-                row.cells.append((" ".join(x.strip() for x in _lines(node.parts, node.pre) if x.strip()), *node.span))
+                row.cells.append((" ".join(_SPACE.sub(" ", x).strip() for x in _lines(node.parts, node.pre) if x.strip()), *node.span))
                 return
         elif tag in ("tr", "table") and (node.cells or tag == "table"):
             table = node if tag == "table" else next((n for n in reversed(self.open) if n.tag == "table"), None)
@@ -267,10 +312,10 @@ class Renderer:
                 mark, box.count = f"{box.count}. ", box.count + 1
             lines = [x for x in _lines(node.parts, node.pre) if x.strip()]
             if lines:
-                parent.parts.append((0, [mark + lines[0], *(" " * len(mark) + x for x in lines[1:])]))
+                parent.parts.append((0, _indented(mark, lines)))
             return
         elif tag == "dd":
-            parent.parts.append((0, ["  " + x for x in _lines(node.parts, node.pre) if x.strip()]))
+            parent.parts.append((0, _indented("  ", [x for x in _lines(node.parts, node.pre) if x.strip()])))
             return
         elif tag in ("tbody", "thead", "tfoot"):
             parent.parts.append((0, _lines(node.parts)))
@@ -308,7 +353,10 @@ def render(page: str | None) -> str:
         if m[1]:
             made.end(tag)
             continue
-        if made.start(tag, m[3]) and tag in RAW:
+        opened = made.start(tag, m[3])
+        if opened and tag in ("pre", "textarea", "listing"):  # a newline right behind the tag is not part of the text
+            at += 2 if page.startswith("\r\n", at) else page.startswith("\n", at)
+        if opened and tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             made.text(page[at : close.start() if close else len(page)])
             at = close.start() if close else len(page)

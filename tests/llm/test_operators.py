@@ -455,6 +455,41 @@ def test_op10_deep_nesting_is_linear():
         assert time.time() - began < 5, tag
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<table>" + "<tr><td>x<td>y" * 2000 + "<tr><td>" + "w" * 40_000 + "<td>z</table>",
+        "<table>" + "<tr><td colspan=1000 rowspan=0>a" * 800 + "</table>",
+        "<table>" + "".join(f"<tr><td rowspan={n}>a<td>b" for n in range(2000, 2, -2)) + "</table>",
+        "<ul><li>x" * 3000,
+        "<ol><li>" * 400 + "a<br>" * 4000,
+        "<span>" * 20_000 + "one <b>two</b> " * 2000,
+        "<div><button>" * 4000 + "<p>a" * 4000,
+        "<table><tr><td>a<td>bb" * 2000,
+    ],
+)
+def test_op10_small_pages_stay_small(page):
+    began = time.time()
+    text = html.render(page)
+    assert time.time() - began < 3 and len(text) < 5 * len(page) + 1000
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>", "yes"),
+        ("<div style='display:none'>no <b style='visibility: visible'>no</b></div>y", "y"),
+        ("<div style='visibility:hidden'><p>no<div style='VISIBILITY : Visible'><p>one<p>two</div></div>", "one\n\ntwo"),
+        ("a<pre>\nb\n\nc</pre>", "a\n\nb\n\nc"),
+        ("<textarea>\r\nb</textarea>", "b"),
+        ("<table>" + "<tr><td>a<td>b" * 20 + "<tr><td>" + "c" * 400 + "<td>d</table>", "a | b\n" * 20 + "c" * 400 + " | d"),
+        ("<table><tr><td><table><tr><td>aaa<td>b<tr><td>c<td>d</table><td>e</table>", "aaa | b c | d | e"),
+    ],
+)
+def test_op10_visibility_newlines_and_padding(page, text):
+    assert html.render(page) == text
+
+
 class _Words(HTMLParser):
     """The visible words of a well-formed page, by a plain reading."""
 
