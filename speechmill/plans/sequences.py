@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import scans
+from ..streaming import sessions
 from .corpus import _t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +56,34 @@ def buffer_levels(spark, sf_dir):
     return scans.buffered(moves, "session", ["event_id"], "put", "get").select("session", "pos", "level", "filled", "underrun")
 
 
+@_says("""
+    WITH p AS (SELECT label AS session, row_number() OVER s - 1 AS seq, count(*) OVER (PARTITION BY label) - 1 AS last, CAST(embedding AS DOUBLE[]) AS x, lag(CAST(embedding AS DOUBLE[])) OVER s AS b FROM embeddings WINDOW s AS (PARTITION BY label ORDER BY vec_id)),
+    w AS (SELECT list_transform(range(32), lambda k: 0.5 - 0.5 * cos(2 * pi() * k / 31)) AS h),
+    m AS (SELECT session, seq, last, CASE WHEN seq = 0 THEN x[:16] ELSE list_transform(range(1, 17), lambda k: b[48 + k] * h[16 + k] + x[k] * h[k]) END || x[17:48] || CASE WHEN seq = last THEN x[49:] ELSE [] END AS y FROM p, w),
+    f AS (SELECT session, seq, seq = last AS done, CASE WHEN seq = last THEN y[:56] || list_transform(range(8), lambda k: y[57 + k] * (1 - k / 7.0)) ELSE y END AS y FROM m)
+    SELECT CAST(session AS VARCHAR) AS session, CAST(seq * 48 AS BIGINT) AS start, len(y)::INT AS n, round(list_sum(list_transform(y, lambda v, k: v * k)), 5) AS digest, done FROM f""")
+def overlap_added(spark, sf_dir):
+    """Vectors of a label as pieces of a session that overlap by 16 samples."""
+    order = Window.partitionBy("label").orderBy("vec_id")
+    pieces = _t(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("session"), (F.row_number().over(order) - 1).cast("bigint").alias("seq"), F.col("embedding").cast("array<double>").alias("samples"), F.lead("vec_id").over(order).isNull().alias("last"))
+    done = sessions.overlap_added(pieces, 16, 8)
+    weighed = F.aggregate(F.transform("samples", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return done.select("session", "start", F.size("samples").alias("n"), F.round(weighed, 5).alias("digest"), "done")
+
+
+@_says("""
+    WITH p AS (SELECT label AS session, list_reduce(list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id), lambda a, b: a || b) AS x FROM embeddings GROUP BY label),
+    b AS (SELECT session, x, unnest(range(0, len(x), 100)) AS start FROM p)
+    SELECT CAST(session AS VARCHAR) AS session, start, least(start, 30) AS lead, len(x[greatest(start - 30, 0) + 1:least(start + 120, len(x))])::INT AS n,
+      round(list_sum(x[greatest(start - 30, 0) + 1:least(start + 120, len(x))]), 5) AS total FROM b""")
+def chunked_sessions(spark, sf_dir):
+    """Vectors of a label as a session's samples, in blocks of 100 with 30 before and 20 behind."""
+    order = Window.partitionBy("label").orderBy("vec_id")
+    pieces = _t(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("session"), (F.row_number().over(order) - 1).cast("bigint").alias("seq"), F.col("embedding").cast("array<double>").alias("samples"), F.lead("vec_id").over(order).isNull().alias("last"))
+    blocks = sessions.chunked(pieces, 100, 30, 20)
+    return blocks.select("session", "start", "lead", F.size("samples").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

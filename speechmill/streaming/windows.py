@@ -1,13 +1,13 @@
-"""Streams: event-time windows with watermarks, running status, and a chunker with state.
+"""Streams: event-time windows with watermarks, running status, and the cutting of samples into blocks.
 
-Event-time windows have no counterpart among the corpus tools, whose time is the sample index; the chunker has.
+Event-time windows have no counterpart among the corpus tools, whose time is the sample index; the chunker has, and
+``sessions`` runs it as a stream.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,20 +67,3 @@ class Chunker:
 
     def state(self) -> tuple[int, list[float]]:
         return self.offset, self.samples
-
-
-def chunked(samples: DataFrame, block: int, left: int, right: int) -> DataFrame:
-    """A stream of (session, seq, samples, last) as blocks (session, start, samples, lead), state kept by session."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        chunker = Chunker(block, left, right, tuple(state.get) if state.exists else (0, []))
-        rows = pd.concat(list(frames)).sort_values("seq")
-        out = []
-        for values, last in zip(rows["samples"], rows["last"], strict=True):
-            out += chunker.feed([float(x) for x in values])
-            if last:
-                out += chunker.finish()
-        state.update(chunker.state())
-        yield pd.DataFrame([(key[0], o, list(s), n) for o, s, n in out], columns=["session", "start", "samples", "lead"])
-
-    return samples.groupBy("session").applyInPandasWithState(step, "session string, start long, samples array<double>, lead long", "offset long, samples array<double>", "append", "NoTimeout")
