@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import scans
+from ..operators import glossary, scans, segments, spectra
 from ..streaming import sessions
 from .corpus import _t
 
@@ -84,6 +84,83 @@ def chunked_sessions(spark, sf_dir):
     return blocks.select("session", "start", "lead", F.size("samples").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
+_WORDS = "regexp_extract_all(lower(text), '[a-zà-öø-ÿ]+')"
+_SOUND = "translate({}, 'àâäçèéêëîïôöùûüñáíóú', 'aaaceeeeiioouuunaiou')"
+
+
+@_says(f"""
+    WITH s0 AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1)::INT - 1 AS seg FROM conversations),
+    s AS (SELECT conv_id, turn, seg, {_WORDS} AS u FROM s0),
+    n AS (SELECT name, reading, min(place) AS place FROM (SELECT conv_id AS place, array_to_string(u, ' ') AS name, {_SOUND.format("array_to_string(u, '')")} AS reading
+      FROM (SELECT conv_id, [u[1], left(u[2], len(u[2]) - 1)] AS u FROM (SELECT conv_id, {_WORDS} AS u FROM conversations WHERE turn = 0) WHERE len(u) >= 2)) GROUP BY ALL),
+    w AS (SELECT conv_id, turn, seg, pos, k AS width, array_to_string(u[pos + 1:pos + k], ' ') AS said, {_SOUND.format("array_to_string(u[pos + 1:pos + k], '')")} AS heard
+      FROM s, unnest([2, 3]) AS t(k), unnest(range(0, len(u) - k + 1)) AS r(pos)),
+    h AS (SELECT DISTINCT heard, reading FROM (SELECT DISTINCT heard FROM w) a JOIN (SELECT DISTINCT reading FROM n) b ON heard = reading OR (length(reading) >= 6 AND abs(length(heard) - length(reading)) <= 1 AND levenshtein(heard, reading) <= 1)),
+    m AS (SELECT w.*, n.name, row_number() OVER (PARTITION BY conv_id, turn, seg ORDER BY place, width, pos) AS r FROM w JOIN h USING (heard) JOIN n USING (reading) WHERE said <> name)
+    SELECT conv_id, turn, seg, pos::INT AS pos, width, said, name FROM m WHERE r = 1""")
+def fuzzy_glossary(spark, sf_dir):
+    """Lines of turns with a phrase that sounds like the first two words of a conversation, less its last letter."""
+    turns = _t(spark, sf_dir, "conversations")
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-zà-öø-ÿ]+)"), F.lit(1))
+    sound = lambda u: F.transform(u, lambda x: F.translate(x, "àâäçèéêëîïôöùûüñáíóú", "aaaceeeeiioouuunaiou"))
+    lines = turns.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("seg", "line")).select("conv_id", "turn", "seg", words(F.col("line")).alias("u")).withColumn("r", sound(F.col("u")))
+    first = turns.filter("turn = 0").select("conv_id", words(F.col("text")).alias("u")).filter("size(u) >= 2")
+    first = first.select("conv_id", F.array(F.col("u")[0], F.expr("left(u[1], length(u[1]) - 1)")).alias("u"))
+    names = glossary.glossary(first, F.col("u"), sound(F.col("u")), "conv_id")
+    return glossary.matches(lines, ["conv_id", "turn", "seg"], "u", "r", names)
+
+
+def _powers(wave: str) -> str:
+    """SQL: powers e of bins b of the frames n (16 samples, a new one each 4) of waves x, by a direct Fourier sum."""
+    return f"""
+    w0 AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    w1 AS (SELECT *, list_transform(range(16), lambda k: sqrt(list_avg(list_transform(x[k * 4 + 1:k * 4 + 4], lambda v: v * v)) + 1e-12)) AS level FROM w0),
+    w AS (SELECT vec_id, {wave} AS x FROM w1),
+    f AS (SELECT vec_id, n, list_transform(range(16), lambda k: coalesce(x[n * 4 + k + 1], 0) * (0.5 - 0.5 * cos(2 * pi() * k / 15))) AS y FROM w, unnest(range(greatest(1, (len(x) - 13) // 4))) AS t(n)),
+    p AS (SELECT vec_id, n, b, list_sum(list_transform(range(16), lambda k: y[k + 1] * cos(2 * pi() * b * k / 16))) ** 2 + list_sum(list_transform(range(16), lambda k: y[k + 1] * sin(2 * pi() * b * k / 16))) ** 2 AS e FROM f, range(9) AS t(b))"""
+
+
+_LOUD = "flatten(list_transform(list_filter(range(16), lambda k: level[k + 1] > 0.35 * list_aggregate(level, 'quantile_cont', 0.7)), lambda k: x[k * 4 + 1:k * 4 + 4]))"
+_BANDS = ((0, 10), (10, 25), (25, 40), (40, 200))
+
+
+@_says(f"""
+    WITH {_powers(_LOUD)}
+    SELECT vec_id, {", ".join(f"round(100 * sum(e) FILTER (WHERE b * 10 >= {lo} AND b * 10 < {hi}) / sum(e), 5) AS band{k}" for k, (lo, hi) in enumerate(_BANDS))}, round(sum(b * 10 * e) / sum(e), 4) AS centroid FROM p GROUP BY vec_id""")
+def band_profiles(spark, sf_dir):
+    """Vectors as waves of 64 samples at 160 Hz, of which the loud frames of 25 ms count."""
+    done = spectra.band_profiles(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding", 160.0, 16, 4, _BANDS)
+    return done.select("vec_id", *[F.round(F.col("bands")[k], 5).alias(f"band{k}") for k in range(len(_BANDS))], F.round("centroid", 4).alias("centroid"))
+
+
+@_says(f"""
+    WITH {_powers("x")}
+    SELECT vec_id, n AS pos, {", ".join(f"round(20 * log10(greatest(avg(sqrt(e)) FILTER (WHERE b * 10 >= {lo} AND b * 10 < {hi}), 1e-10)), 4) AS band{k}" for k, (lo, hi) in enumerate(_BANDS))} FROM p GROUP BY vec_id, n""")
+def band_levels(spark, sf_dir):
+    done = spectra.band_levels(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding", 160.0, 16, 4, _BANDS)
+    return done.select("vec_id", "pos", *[F.round(F.col("levels")[k], 4).alias(f"band{k}") for k in range(len(_BANDS))])
+
+
+@_says("""
+    WITH f AS (SELECT user_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n,
+      -value::DOUBLE / 2 AS db, 10.0 * pow(10, -value::DOUBLE / 40) AS energy, (event_id % 97 = 0)::INT AS clipped, 10 AS samples FROM events),
+    k AS (SELECT item, max(db) AS peak, max(n) AS n FROM f GROUP BY item),
+    w AS (SELECT item, peak, n, s AS first, least(s + 12, n) AS stop FROM k, unnest(range(0, greatest(0, (n - 12) // 4) * 4 + 1, 4)) AS t(s) WHERE least(12, n) >= 6),
+    g AS (SELECT w.item, w.first, w.stop, w.peak, count(*) AS c, count(*) FILTER (WHERE db >= peak - 35) AS v, avg(db) FILTER (WHERE db >= peak - 35) AS vdb, avg(db) FILTER (WHERE db < peak - 35) AS qdb,
+      sum(energy) FILTER (WHERE pos < stop) / sum(samples) FILTER (WHERE pos < stop) AS e, sum(clipped) FILTER (WHERE pos < stop) / sum(samples) FILTER (WHERE pos < stop) AS clip,
+      sum(energy) FILTER (WHERE pos < first + 2) / sum(samples) FILTER (WHERE pos < first + 2) AS he, sum(energy) FILTER (WHERE pos >= stop - 2 AND pos < stop) / sum(samples) FILTER (WHERE pos >= stop - 2 AND pos < stop) AS te
+      FROM w JOIN f ON f.item = w.item AND f.pos >= w.first AND f.pos <= w.stop GROUP BY ALL),
+    t AS (SELECT *, v / c AS ratio, CASE WHEN v > 0 AND v < c THEN vdb - qdb WHEN v = c THEN 60 ELSE 0 END AS snr, 20 * log10(greatest(sqrt(e), 1e-10)) AS rms, 20 * log10(greatest(sqrt(he), 1e-10)) AS hd, 20 * log10(greatest(sqrt(te), 1e-10)) AS td FROM g)
+    SELECT item, first, (stop - first) AS frames, round(40 * least(1, ratio / 0.8) + 30 * least(1, greatest(0, snr) / 30) + CASE WHEN clip < 0.0005 THEN 12 WHEN clip > 0.002 THEN -25 ELSE -8 END + 12 * greatest(0, 1 - abs(rms + 20) / 14)
+      + 3 * (1 - least(1, greatest(0, (hd - (peak - 35)) / 20))) + 3 * (1 - least(1, greatest(0, (td - (peak - 35)) / 20))), 5) AS score, round(snr, 5) AS snr, round(ratio, 6) AS voiced_ratio, round(clip, 6) AS clip_ratio, round(rms, 5) AS rms_db FROM t""")
+def segment_scores(spark, sf_dir):
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    value = F.col("value").cast("double")
+    frames = _t(spark, sf_dir, "events").select(F.col("user_id").alias("item"), pos.cast("bigint").alias("pos"), (-value / 2).alias("db"), (10.0 * F.pow(F.lit(10.0), -value / 40)).alias("energy"), (F.col("event_id") % 97 == 0).cast("int").alias("clipped"), F.lit(10).alias("samples"))
+    done = segments.scored_windows(frames, 12, 4, 6)
+    return done.select("item", "first", "frames", F.round("score", 5).alias("score"), F.round("snr", 5).alias("snr"), F.round("voiced_ratio", 6).alias("voiced_ratio"), F.round("clip_ratio", 6).alias("clip_ratio"), F.round("rms_db", 5).alias("rms_db"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
