@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -70,8 +71,11 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """Deletes tables, and lets Spark delete the shuffle files of what they came from, which it does when its plans are collected."""
         for name in names:
             _delete(self.spark, f"{self.path}/{name}")
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def drop_all(self) -> None:
         _delete(self.spark, self.path)
