@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import glossary, scans, segments, spectra
+from ..functions import spans, sql
+from ..operators import glossary, scans, segments, spectra, token_packing
 from ..streaming import sessions
 from .corpus import _t
 
@@ -161,6 +162,61 @@ def segment_scores(spark, sf_dir):
     return done.select("item", "first", "frames", F.round("score", 5).alias("score"), F.round("snr", 5).alias("snr"), F.round("voiced_ratio", 6).alias("voiced_ratio"), F.round("clip_ratio", 6).alias("clip_ratio"), F.round("rms_db", 5).alias("rms_db"))
 
 
+_GRAMMAR = "|".join(spans.PATTERNS)
+
+
+@_says(f"""
+    SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{_GRAMMAR}'))::INT AS n, md5(array_to_string(regexp_extract_all(coalesce(text, ''), '{_GRAMMAR}'), ' ')) AS held,
+      md5(lower(regexp_replace(coalesce(text, ''), '{_GRAMMAR}', '#', 'g'))) AS lowered, md5(coalesce(text, '')) AS back FROM documents""")
+def protected_spans(spark, sf_dir):
+    """What is protected in each document, the rest in lower case, and the document as it comes back."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", spans.spans(F.col("text")).alias("s"), spans.masked(F.col("text")).alias("m"))
+    lowered = F.replace(F.lower("m"), F.lit(spans.MASK), F.lit("#"))
+    return docs.select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", " ")).alias("held"), F.md5(lowered).alias("lowered"), F.md5(spans.restored(F.col("m"), F.col("s"))).alias("back"))
+
+
+@_says(r"""
+    WITH w AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '([A-Za-z]+) ([A-Za-z]+)', '<\1|\2>', 'g') AS t FROM documents),
+    p AS (SELECT doc_id, regexp_split_to_array(t, '<[A-Za-z]+\|[A-Za-z]+>') AS outside, regexp_extract_all(t, '<([A-Za-z]+)\|([A-Za-z]+)>', 2) AS sound FROM w)
+    SELECT doc_id, md5(array_to_string(flatten(list_transform(range(1, len(outside) + 1), lambda i: [outside[i], coalesce('<|SPECIAL_TOKEN_1|>' || upper(sound[i]) || '<|SPECIAL_TOKEN_1|>', '')])), '')) AS said, 0 AS issues FROM p""")
+def pronounced(spark, sf_dir):
+    """Each second of two neighbouring words as the pronunciation of the first."""
+    pairs = F.regexp_replace(F.coalesce("text", F.lit("")), "([A-Za-z]+) ([A-Za-z]+)", "<$1|$2>")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", pairs.alias("t"))
+    return docs.select("doc_id", F.md5(spans.annotated(F.col("t"))).alias("said"), F.size(spans.annotation_issues(F.col("t"))).alias("issues"))
+
+
+def _count_words():
+    import re
+
+    return lambda text: len(re.findall(r"\w+|[^\w\s]", text))
+
+
+@_says(None)
+def token_segments(spark, sf_dir):
+    """Turns in segments of at most 24 words and marks; hyphenated terms stay whole."""
+    return token_packing.token_segments(_t(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", _count_words, 24, spans.TERM)
+
+
+@_says("SELECT event_id, CASE WHEN k % 10 <> 0 THEN 100.0 / (k % 10) END AS value, CASE WHEN k % 10 = 0 THEN 'ZeroDivisionError: float division by zero' END AS error FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)")
+def ordered_map(spark, sf_dir):
+    """A function that fails on some rows: they carry their error, the others their value."""
+    import json
+
+    done = token_packing.mapped(_t(spark, sf_dir, "events").select("event_id", "props"), "props", lambda p: 100.0 / float(json.loads(p)["k"] % 10), "double")
+    return done.select("event_id", "value", "error")
+
+
+@_says(r"""
+    SELECT doc_id, pos, length(line)::INT AS chars, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))::INT AS words, length(line) / 15.0::DOUBLE AS seconds
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INT - 1 AS pos FROM documents) WHERE regexp_matches(line, '\S')""")
+def sql_functions(spark, sf_dir):
+    """Lines by a table function, and the library's scalar functions, in plain SQL."""
+    sql.register(spark)
+    _t(spark, sf_dir, "documents").createOrReplaceTempView("spoken_documents")
+    return spark.sql("SELECT doc_id, l.pos, char_length(l.line) AS chars, word_count(l.line) AS words, speech_seconds(char_length(l.line)) AS seconds FROM spoken_documents, LATERAL text_lines(text) AS l")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
