@@ -66,19 +66,37 @@ def status(text: Column, seconds: Column, snr: Column, has_features: Column, nee
     return F.when(gone, "missing_audio").otherwise(verdict), F.when(gone, F.array(F.lit("missing_audio"))).otherwise(problems)
 
 
+#: Parts that the rows of one key are ranked in before their best meet.
+PARTS = 64
+
+
+def _over(rows: DataFrame, key: list[str], order: list[str], most: int, counts: Column, name: str, parts: int = PARTS) -> DataFrame:
+    """Adds ``name``: whether a row that ``counts`` is beyond the first ``most`` of its key.
+
+    Rows of a key are first ranked in parts; only the first ``most`` of each part meet, so that no task ranks all rows of
+    a key that a third of them share. Rows that don't count are never brought together.
+    """
+    part = F.pmod(F.xxhash64(*order), F.lit(parts))
+    rows = rows.withColumns({"_counts": F.coalesce(counts, F.lit(False)), "_part": part})
+    local = Window.partitionBy(*key, "_counts", "_part").orderBy(*order)
+    rows = rows.withColumn("_first", F.col("_counts") & (F.row_number().over(local) <= most))
+    rows = rows.withColumn("_part", F.when(F.col("_first"), -1).otherwise(F.col("_part")))
+    whole = Window.partitionBy(*key, "_first", "_part").orderBy(*order)
+    over = F.col("_counts") & (~F.col("_first") | (F.row_number().over(whole) > most))
+    return rows.withColumn(name, over).drop("_counts", "_part", "_first")
+
+
 def keep_repeats(records: DataFrame, key: Column, order: list[str], most: int) -> DataFrame:
-    """Marks in ``over`` the rows beyond the first ``most`` with the same key."""
-    window = Window.partitionBy("_key").orderBy(*order)
-    return records.withColumn("_key", key).withColumn("over", F.row_number().over(window) > most).drop("_key")
+    """Marks in ``over`` the rows beyond the first ``most`` with the same key; keys are told apart by 128 bits."""
+    return _over(records.withColumn("_key", F.md5(key.cast("string").cast("binary"))), ["_key"], order, most, F.lit(True), "over").drop("_key")
 
 
 def curate(records: DataFrame, reason: Column, score: Column, min_score: float, key: Column, order: list[str], most: int) -> DataFrame:
     """Adds ``drop_reason``: text, score, or too many repeats among the rows that pass the other tests; '' for kept rows."""
     first = records.withColumn("drop_reason", F.when(reason != "", F.concat(F.lit("text: "), reason)).when(score < min_score, "score too low").otherwise(""))
-    passed = F.col("drop_reason") == ""
-    window = Window.partitionBy("_key", "_passed").orderBy(*order)
-    marked = first.withColumns({"_key": F.xxhash64(key), "_passed": passed}).withColumn("_at", F.row_number().over(window))
-    return marked.withColumn("drop_reason", F.when(passed & (F.col("_at") > most), "repeats over the limit").otherwise(F.col("drop_reason"))).drop("_key", "_passed", "_at")
+    keyed = first.withColumn("_key", F.md5(key.cast("string").cast("binary")))
+    marked = _over(keyed, ["_key"], order, most, F.col("drop_reason") == "", "_over")
+    return marked.withColumn("drop_reason", F.when(F.col("_over"), "repeats over the limit").otherwise(F.col("drop_reason"))).drop("_key", "_over")
 
 
 def contained_name(rows: DataFrame, text: str, names: list[str], limit: int = MOST_NAMES) -> DataFrame:

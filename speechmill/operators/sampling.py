@@ -37,11 +37,40 @@ def usable(rows: DataFrame, codes: str, chars: str, most_codes: int, most_chars:
     return rows.withColumn("kept", F.col(codes).between(2, most_codes) & F.col(chars).between(1, most_chars))
 
 
+#: Rows that one task may put in order.
+ORDERED_ROWS = 100_000
+
+
+def least_hashes(rows: DataFrame, hashed: str, tie: str, n: int, ordered: int = ORDERED_ROWS) -> DataFrame:
+    """The ``n`` rows of the least (``hashed``, ``tie``); ``hashed`` is a column of hexadecimal digits.
+
+    Counts by the next four digits tell which rows are below the cut for sure; only the stretch that the cut falls
+    into, of at most ``ordered`` rows, is put in order.
+    """
+    start, left = "", n
+    while True:
+        inside = rows.filter(F.col(hashed).startswith(start)) if start else rows
+        digits = F.substring(hashed, len(start) + 1, 4)
+        counts = sorted((r.d, r.n) for r in inside.groupBy(digits.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect())  # 65,536 rows at most
+        for digit, count in counts:
+            if count > left:
+                break
+            left -= count
+        else:
+            return rows  # there are no more than n
+        start += digit
+        if count <= ordered or len(digit) < 4:
+            taken = rows.filter(F.col(hashed).startswith(start)).orderBy(hashed, tie).limit(left)
+            return rows.filter((F.col(hashed) < start) & ~F.col(hashed).startswith(start)).unionByName(taken)
+
+
 def epoch_mix(target: DataFrame, pool: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFrame:
     """kind, key, copies: all target rows, and of the pool what makes up ``ratio`` of the whole.
 
-    That number is n * ratio / (1 - ratio). Each pool row is taken the same whole number of times, and those with the
-    least hashes once more, so no row is drawn twice while another isn't drawn at all.
+    That number is n * ratio / (1 - ratio), halves to even. A pool that is large enough is drawn from without
+    replacement, by least hashes. One that is too small is drawn evenly: each row the same whole number of times, and
+    those with the least hashes once more. Drawing with replacement, as elsewhere, would draw some rows far more often
+    than others for no use. The order within an epoch is ``batch_plan``'s.
     """
     ratio = max(0.0, min(0.95, ratio))
     n_target, n_pool = target.count(), pool.count()
@@ -49,7 +78,7 @@ def epoch_mix(target: DataFrame, pool: DataFrame, key: str, ratio: float, seed:
     whole, rest = divmod(need, n_pool) if n_pool else (0, 0)
     mine = target.select(F.lit("target").alias("kind"), key, F.lit(1).alias("copies"))
     hashed = pool.select(key, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))).alias("_h"))
-    more = hashed.orderBy("_h", key).limit(rest).select(key, F.lit(1).alias("_more"))
+    more = least_hashes(hashed, "_h", key, rest).select(key, F.lit(1).alias("_more"))
     drawn = hashed.join(more, key, "left").select(F.lit("replay").alias("kind"), key, (F.lit(whole) + F.coalesce("_more", F.lit(0))).alias("copies"))
     return mine.unionByName(drawn.filter("copies > 0"))
 
