@@ -5,12 +5,16 @@ retracted (sign -1) and, unless deleted, entered anew (sign +1); totals are sums
 summed deltas and touches nothing else. A batch is committed by one marker file that is made only if it is not there
 yet; what an attempt without marker wrote is never read, and a batch that comes again changes nothing.
 
-Folder: ``entries/attempt=A``, ``totals/attempt=A`` and ``commits/BATCH`` (its text is A). Compaction is a batch of
-its own that carries totals on. One writer at a time commits; readers need no lock.
+Folder: ``entries/attempt=A``, ``totals/attempt=A`` and ``commits/BATCH``, whose first line is A. ``compact`` commits the
+present entries and totals as one attempt, whose marker names in its further lines the attempts that it stands for;
+``vacuum`` deletes what these wrote. Their batches stay committed. A batch looks its documents up in what was written
+since the last compaction and in that. One writer at a time commits; readers need no lock, but for ``vacuum``.
 
-Defined cases: a batch's last row for a document (by ``order``) counts; an insert of a known document is a revision,
-a deletion of an unknown one nothing; null source or language is a group of its own; a null text has no tokens; rows
-without doc_id are ignored, as later batches could not name them.
+Defined cases: a batch's last row for a document (by ``order``) counts, and of an upsert and a deletion of the same
+order the upsert; an insert of a known document is a revision, a deletion of an unknown one nothing; null source or
+language is a group of its own; a null text has no tokens, a very long one is counted in its row's task; rows without
+doc_id are ignored, as later batches could not name them; an empty batch is committed and changes nothing; other columns
+take no part whatever their names.
 """
 
 from __future__ import annotations
@@ -34,19 +38,28 @@ class TokenRollup:
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def committed(self) -> dict[str, str]:
-        """Batch -> the attempt that counts."""
+        """Batch -> the attempt that was committed for it."""
+        return {batch: lines[0] for batch, lines in self._markers().items()}
+
+    def live(self) -> list[str]:
+        """The attempts that count: those that no compaction stands for."""
+        markers = self._markers().values()
+        replaced = {a for lines in markers for a in lines[1:]}
+        return sorted(lines[0] for lines in markers if lines[0] not in replaced)
+
+    def _markers(self) -> dict[str, list[str]]:
         where = self._path(f"{self.folder}/commits")
         if not self._fs.exists(where):
             return {}
         out = {}
         for status in self._fs.listStatus(where):
             stream = self._fs.open(status.getPath())
-            out[status.getPath().getName()] = bytes(stream.readAllBytes()).decode()
+            out[status.getPath().getName()] = bytes(stream.readAllBytes()).decode().split("\n")
             stream.close()
         return out
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.folder}/{kind}/attempt={a}" for a in self.committed().values()]
+        paths = [f"{self.folder}/{kind}/attempt={a}" for a in self.live()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def present(self, touched: DataFrame | None = None) -> DataFrame:
@@ -81,12 +94,32 @@ class TokenRollup:
         deltas.coalesce(1).write.parquet(f"{self.folder}/totals/attempt={attempt}")
         return self._commit(batch, attempt)
 
-    def _commit(self, batch: str, attempt: str) -> bool:
+    def compact(self, batch: str) -> bool:
+        """Commit, as ``batch``, the present entries and totals in place of all attempts so far; False if it already was."""
+        if batch in self.committed():
+            return False
+        attempt, before = uuid.uuid4().hex, self.live()
+        self.present().select(*[c.split()[0] for c in ENTRY.split(", ")]).write.parquet(f"{self.folder}/entries/attempt={attempt}")
+        self.totals().select(*[c.split()[0] for c in TOTAL.split(", ")]).write.parquet(f"{self.folder}/totals/attempt={attempt}")
+        return self._commit(batch, "\n".join([attempt, *before]))
+
+    def vacuum(self) -> int:
+        """Deletes what attempts wrote that count no more or never did; how many."""
+        keep, gone = {f"attempt={a}" for a in self.live()}, set()
+        for kind in ("entries", "totals"):
+            where = self._path(f"{self.folder}/{kind}")
+            for status in self._fs.listStatus(where) if self._fs.exists(where) else ():
+                if (name := status.getPath().getName()) not in keep:
+                    self._fs.delete(status.getPath(), True)
+                    gone.add(name)
+        return len(gone)
+
+    def _commit(self, batch: str, text: str) -> bool:
         """The marker appears whole: written aside, then renamed, which fails if it is there already."""
-        aside, marker = self._path(f"{self.folder}/aside/{attempt}"), self._path(f"{self.folder}/commits/{batch}")
+        aside, marker = self._path(f"{self.folder}/aside/{uuid.uuid4().hex}"), self._path(f"{self.folder}/commits/{batch}")
         self._fs.mkdirs(marker.getParent())
         self._fs.mkdirs(aside.getParent())
         stream = self._fs.create(aside, True)
-        stream.write(bytearray(attempt.encode()))
+        stream.write(bytearray(text.encode()))
         stream.close()
         return not self._fs.exists(marker) and bool(self._fs.rename(aside, marker))

@@ -570,3 +570,21 @@ def test_op2_chunks_of_shuffled_input(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scores = [{r.doc_id: round(r.score, 6) for r in ngram_lm.score_documents(d, chunk_bytes=200_000).collect()} for d in (docs, docs.orderBy(F.desc("doc_id")).repartition(3))]
     assert scores[0] == scores[1]
+
+
+def test_op6_compaction(spark, tmp_path):
+    """Totals and later batches are the same with compactions between; batches stay committed, old attempts can go."""
+    counts = {"w": F.regexp_count("text", F.lit(r"\S+"))}
+    plain, tidy = (rollup.TokenRollup(spark, str(tmp_path / n), counts) for n in ("plain", "tidy"))
+    schema = "op string, doc_id long, text string, source string, lang string, sign int"
+    batches = [[("upsert", 1, "a b", "s", None, 7), ("upsert", 2, "c", None, "l", 7)], [("delete", 2, None, None, None, 7), ("upsert", 1, "a b c", "t", "l", 7), ("delete", 9, None, None, None, 7)], [], [("upsert", 2, "x y", "s", "l", 7)]]
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, schema)
+        assert plain.apply(f"b{n}", df) and tidy.apply(f"b{n}", df)
+        assert tidy.compact(f"tidy-{n}") and not tidy.compact(f"tidy-{n}") and not tidy.apply(f"b{n}", df)
+        if n % 2:
+            assert tidy.vacuum() >= 1 and tidy.vacuum() == 0
+        assert len(tidy.live()) == 1
+        for one, other in ((plain.totals(), tidy.totals()), (plain.present(), tidy.present())):
+            assert sorted(map(str, one.select(sorted(one.columns)).collect())) == sorted(map(str, other.select(sorted(one.columns)).collect()))
+    assert set(tidy.committed()) == {f"b{n}" for n in range(4)} | {f"tidy-{n}" for n in range(4)}
