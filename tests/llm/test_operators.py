@@ -588,3 +588,19 @@ def test_op6_compaction(spark, tmp_path):
         for one, other in ((plain.totals(), tidy.totals()), (plain.present(), tidy.present())):
             assert sorted(map(str, one.select(sorted(one.columns)).collect())) == sorted(map(str, other.select(sorted(one.columns)).collect()))
     assert set(tidy.committed()) == {f"b{n}" for n in range(4)} | {f"tidy-{n}" for n in range(4)}
+
+
+def test_pipeline_stages_on_odd_tables(spark, sf_dir):
+    """Nulls, empty and long texts, repeated rows, clashing names: each stage alone keeps its columns; an empty table stays empty."""
+    import corpus_pipeline
+
+    schema = DOCS + ", score string, body string, _t string, n_words int, label string, runs int"
+    rows = [(o[0], o[1], None if i % 2 else "en", o[2], i, "s", "b", "t", i, "l", None) for i, o in enumerate(ODD)]
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, spark.createDataFrame(rows, schema), sf_dir)
+        if name == corpus_pipeline.STAGES[-1][0]:
+            assert got.count() == len(rows) and got.filter("not exact").count() == 0
+        else:
+            assert got.columns == spark.createDataFrame([], schema).columns, name
+            assert not Counter(map(str, got.drop("text").collect())) - Counter(map(str, spark.createDataFrame(rows, schema).drop("text").collect())), name
+        assert stage(spark, spark.createDataFrame([], schema), sf_dir).count() == 0, name
