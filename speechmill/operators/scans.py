@@ -188,6 +188,23 @@ class Buffer(Recurrence):
         return [max(state[0] + map_[0], map_[1])]
 
 
+class Total(Recurrence):
+    """The sum of an item's values before each row. Values: value."""
+
+    def __init__(self, name: str = "before"):
+        self.outputs = [(name, pa.float64())]
+
+    def run(self, values, state):
+        sums = np.cumsum(np.concatenate([[state[0] if state else 0.0], values[0]]))
+        return [sums[:-1]], [float(sums[-1])]
+
+    def summary(self, values):
+        return [float(values[0].sum())]
+
+    def apply(self, map_, state):
+        return [state[0] + map_[0]]
+
+
 class PickApart(Recurrence):
     """Takes each interval that begins at the end of the one taken before, or up to ``room`` earlier. Values: start, end; in order of start.
 
@@ -397,3 +414,26 @@ def early_stops(series: DataFrame, group: str, order: list[str], value: str, pat
     """group, best, best_at and stopped_at of each series."""
     rows = carried(series, group, order, [F.col(value)], EarlyStop(patience, least), range_rows)
     return rows.groupBy(group).agg(F.max_by(F.struct("best", "best_at", "stopped_at"), F.struct(*order)).alias("s")).select(group, "s.*")
+
+
+def character_spans(speech: DataFrame, texts: DataFrame, item: str, range_rows: int = RANGE_ROWS, least: float = 0.15) -> DataFrame:
+    """``item``, pos, start, end: when each character of an item's text is spoken.
+
+    speech: item, start, end of its stretches of speech, of which those under ``least`` seconds don't count. texts: item,
+    chars, seconds (used where there is no stretch). Characters take equal shares of all the speech, in order; one that
+    would reach over the end of its stretch ends there. Instead of a range join, each stretch makes the characters that
+    begin in it, from the sum of the stretches before; so an item's characters are as many tasks' work as its stretches.
+    """
+    known = speech.filter(F.col("end") - F.col("start") >= least).select(item, "start", "end")
+    bare = texts.join(known.select(item).distinct(), item, "left_anti").select(item, F.lit(0.0).alias("start"), F.col("seconds").cast("double").alias("end"))
+    known = known.join(texts.select(item), item, "left_semi").unionByName(bare).withColumn("_length", F.col("end") - F.col("start"))
+    placed = carried(known, item, ["start", "end"], [F.col("_length")], Total("_before"), range_rows)
+    whole = known.groupBy(item).agg(F.sum("_length").alias("_whole"))
+    shares = texts.join(whole, item).filter("chars > 0 and _whole > 0").select(item, "chars", (F.col("_whole") / F.col("chars")).alias("_share"))
+    rows = placed.join(shares, item)
+    # Character k begins at k shares; sums are rounded to whole shares where they are within a millionth of one.
+    first = lambda at: F.ceil(at / F.col("_share") - 1e-6)
+    rows = rows.withColumns({"_lo": F.greatest(first(F.col("_before")), F.lit(0)), "_hi": F.least(first(F.col("_before") + F.col("_length")), F.col("chars")) - 1}).filter("_lo <= _hi")
+    rows = rows.withColumn("pos", F.explode(F.sequence("_lo", "_hi")))
+    start = F.col("start") + F.greatest(F.col("pos") * F.col("_share") - F.col("_before"), F.lit(0.0))
+    return rows.select(item, "pos", start.alias("start"), F.least(start + F.col("_share"), F.col("end")).alias("end"))

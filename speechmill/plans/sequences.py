@@ -85,6 +85,20 @@ def chunked_sessions(spark, sf_dir):
     return blocks.select("session", "start", "lead", F.size("samples").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
+@_says("""
+    WITH w AS (SELECT user_id AS item, event_id::DOUBLE AS start, event_id + value::DOUBLE / 500 AS stop FROM events WHERE value / 500 >= 0.15),
+    c AS (SELECT *, stop - start AS len, coalesce(sum(stop - start) OVER (PARTITION BY item ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(stop - start) OVER (PARTITION BY item) / (20 + item % 30) AS share FROM w),
+    k AS (SELECT item, start, stop, before, share, len, unnest(range(0, 20 + item % 30)) AS pos FROM c)
+    SELECT item, pos, round(start + greatest(pos * share - before, 0), 5) AS start, round(least(start + greatest(pos * share - before, 0) + share, stop), 5) AS end FROM k
+    WHERE pos >= ceil(before / share - 1e-6) AND pos < ceil((before + len) / share - 1e-6)""")
+def character_spans(spark, sf_dir):
+    """Twenty to forty-nine characters of each user over stretches as long as the events' values."""
+    at = F.col("event_id").cast("double")
+    speech = _t(spark, sf_dir, "events").select(F.col("user_id").alias("item"), at.alias("start"), (at + F.col("value").cast("double") / 500).alias("end"))
+    texts = _t(spark, sf_dir, "events").filter(F.col("value") / 500 >= 0.15).select(F.col("user_id").alias("item")).distinct().select("item", (20 + F.col("item") % 30).alias("chars"), F.lit(1.0).alias("seconds"))
+    return scans.character_spans(speech, texts, "item").select("item", "pos", F.round("start", 5).alias("start"), F.round("end", 5).alias("end"))
+
+
 _WORDS = "regexp_extract_all(lower(text), '[a-zà-öø-ÿ]+')"
 _SOUND = "translate({}, 'àâäçèéêëîïôöùûüñáíóú', 'aaaceeeeiioouuunaiou')"
 

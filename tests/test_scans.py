@@ -112,6 +112,26 @@ def test_early_stops(spark, patience, least, tied, range_rows):
     assert {r.item: (r.best, r.best_at, r.stopped_at) for r in df.collect()} == want
 
 
+def test_character_spans(spark):
+    """Shares of all speech in order, by a walk over the stretches; an item without speech has its whole length."""
+    draw = random.Random(8)
+    speech = [("hot", float(10 * k), 10 * k + draw.uniform(0.1, 8)) for k in range(60)] + [("b", 1.0, 2.0), ("b", 3.0, 3.1), ("gone", 0.0, 1.0)]
+    chars = {"hot": 500, "b": 4, "none": 3, "empty": 0}
+    want = {}
+    for item, n in chars.items():
+        parts = [(a, b) for i, a, b in speech if i == item and b - a >= 0.15] or [(0.0, 6.0)]
+        share, before, at = sum(b - a for a, b in parts) / max(n, 1), 0.0, 0
+        for a, b in parts:
+            while at < n and at * share < before + b - a - 1e-9:
+                start = a + max(0.0, at * share - before)
+                want[item, at] = (pytest.approx(start), pytest.approx(min(start + share, b)))
+                at += 1
+            before += b - a
+    texts = spark.createDataFrame([(i, n, 6.0) for i, n in chars.items()], "item string, chars long, seconds double")
+    got = scans.character_spans(spark.createDataFrame(speech, "item string, start double, end double"), texts, "item", range_rows=9)
+    assert {(r["item"], r.pos): (r.start, r.end) for r in got.collect()} == want
+
+
 def test_maps_are_those_of_the_rows():
     """A map says for every state what running the rows says."""
     draw = random.Random(9)
