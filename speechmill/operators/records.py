@@ -28,6 +28,11 @@ def update_fields(records: DataFrame, changes: DataFrame, key: str, order: str |
     return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in records.columns])
 
 
+def by_id(records: DataFrame, key: str, value) -> DataFrame:
+    """The rows of one id; a filter that reaches the files, so that most of them aren't read."""
+    return records.filter(F.col(key) == F.lit(value))
+
+
 def only_new(incoming: DataFrame, existing: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row in ``order`` for each key that ``existing`` doesn't have."""
     first = Window.partitionBy(*keys).orderBy(*order)

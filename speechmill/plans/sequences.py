@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans, sql
-from ..operators import glossary, scans, segments, spectra, token_packing
+from ..operators import checks, glossary, records, scans, segments, spectra, token_packing
 from ..streaming import sessions
 from .corpus import _t
 
@@ -99,6 +99,62 @@ def character_spans(spark, sf_dir):
     return scans.character_spans(speech, texts, "item").select("item", "pos", F.round("start", 5).alias("start"), F.round("end", 5).alias("end"))
 
 
+_FEATURES = {
+    "mel_len": "CAST(floor(n_chars % 2000 * 3.44 * (0.9 + doc_id % 20 / 100.0)) AS BIGINT)", "n_codes": "n_chars % 2000", "n_text_tokens": "n_chars % 5", "mel_bands": "CASE WHEN doc_id % 13 = 0 THEN 128 ELSE 80 END",
+    "mu_extra": "CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END", "style_width": "CASE WHEN doc_id % 11 = 0 THEN 191 ELSE 192 END", "f0_max": "doc_id % 17 * 100.0", "technique_max": "CASE WHEN doc_id % 5 = 0 THEN doc_id % 9 END",
+}
+_ISSUES = {
+    "mel_shape": "mel_bands <> 80", "mu_prompt_frames": "mu_extra > 0", "style_width": "style_width <> 192", "frame_ratio": "n_codes > 0 AND abs(n_codes * 3.44 - mel_len) / greatest(1.0, n_codes * 3.44) > 0.05",
+    "few_text_tokens": "n_text_tokens < 2", "many_codes": "n_codes > 1815", "mu_shapes_differ": "mu_extra > 0", "f0_range": "f0_max > 1600", "technique_range": "coalesce(technique_max > 6, false)",
+}
+
+
+@_says(f"""
+    WITH f AS (SELECT doc_id, {", ".join(f"{e} AS {n}" for n, e in _FEATURES.items())} FROM documents)
+    SELECT doc_id, array_to_string(list_filter([{", ".join(f"CASE WHEN {t} THEN '{n}' END" for n, t in _ISSUES.items())}], lambda x: x IS NOT NULL), ',') AS issues FROM f""")
+def feature_issues(spark, sf_dir):
+    """Sizes of feature files made from each document's numbers, some of them wrong."""
+    f = _t(spark, sf_dir, "documents").select("doc_id", *[F.expr(e).alias(n) for n, e in _FEATURES.items()])
+    c = {n: F.col(n) for n in _FEATURES if n != "mu_extra"}
+    c |= {"mel_frames": F.col("mel_len"), "mu_prompt_frames": F.col("mel_len") + F.col("mu_extra"), "mu_target_frames": F.col("mel_len"), "mu_prompt_width": F.lit(512), "mu_target_width": F.lit(512), "emotion_width": F.lit(1280)}
+    return f.select("doc_id", F.array_join(checks.feature_issues(c), ",").alias("issues"))
+
+
+@_says("""
+    SELECT event_id, array_to_string(list_filter([CASE WHEN event_type = 'error' THEN 'error:unknown_size' END, CASE WHEN k % 3 = 2 THEN 'error:unknown_engine' END, CASE WHEN k > 90 THEN 'error:negative_weight_0' END,
+      CASE WHEN k % 3 = 1 THEN 'info:engine_falls_back' END, CASE WHEN event_type = 'view' THEN 'warn:large_model' END, CASE WHEN k < 5 THEN 'error:weights' END, CASE WHEN k >= 5 AND k <> 50 THEN 'info:weights_sum' END,
+      CASE WHEN k % 7 = 0 THEN 'error:unknown_language' END, CASE WHEN k % 13 NOT BETWEEN 1 AND 10 THEN 'error:beam' END], lambda x: x IS NOT NULL), ',') AS notices
+    FROM (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)""")
+def option_notices(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = _t(spark, sf_dir, "events").withColumn("k", k)
+    k = F.col("k")
+    engine, language = F.element_at(F.array(*map(F.lit, ("whisper", "sensevoice", "other"))), k % 3 + 1), F.when(k % 7 == 0, "xx").otherwise("en")
+    told = checks.option_notices(engine, F.col("event_type"), {"click": 39, "view": 809, "purchase": 244, "signup": 74}, F.when(k < 5, F.lit(0.0)).otherwise(k / 100.0), F.when(k < 5, F.lit(0.0)).otherwise(F.lit(0.5)), [F.when(k > 90, -1).otherwise(1)], k % 13, language, ("zh", "en", "ja", "es"))
+    return e.select("event_id", F.array_join(F.transform(told, lambda n: F.concat_ws(":", n["level"], n["name"])), ",").alias("notices"))
+
+
+@_says("""
+    WITH w AS (SELECT conv_id * 1000 + turn AS key, string_split_regex(text, '[^\\w]+') AS w FROM conversations),
+    x AS (SELECT key, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+    t AS (SELECT key, i, CASE WHEN length(word) % 3 = 0 THEN 2 WHEN length(word) % 5 = 0 THEN 5 END AS t FROM x WHERE word <> ''),
+    g AS (SELECT *, i - row_number() OVER (PARTITION BY key, t ORDER BY i) AS g FROM t WHERE t IS NOT NULL)
+    SELECT key, round(min(i) * 0.25::DOUBLE, 3) AS start, round(max(i) * 0.25::DOUBLE + 0.25::DOUBLE, 3) AS end, t AS technique FROM g GROUP BY key, t, g""")
+def technique_intervals(spark, sf_dir):
+    """Words of each turn, a quarter of a second each, with techniques by their length."""
+    words = F.split("text", r"[^\w]+")
+    flag = lambda n, w: F.when(F.char_length(w) % n == 0, F.array(F.lit("0"), F.lit("1"))).otherwise(F.array(F.lit("0")))
+    sung = F.transform(words, lambda w, i: F.struct(w.alias("word"), ((i + 1) * 0.25).alias("start_time"), F.when(w == "", (i + 1) * 0.25).otherwise((i + 2) * 0.25).alias("end_time"), flag(3, w).alias("falsetto"), flag(5, w).alias("vibrato")))
+    rows = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.to_json(F.reverse(sung)).alias("json"))
+    return checks.technique_intervals(checks.sung_words(rows, "key", "json"), "key")
+
+
+@_says("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = (SELECT max(doc_id) FROM labels)")
+def record_by_id(spark, sf_dir):
+    top = _t(spark, sf_dir, "labels").agg(F.max("doc_id")).first()[0]
+    return records.by_id(_t(spark, sf_dir, "documents"), "doc_id", top).select("doc_id", "lang", "n_chars")
+
+
 _WORDS = "regexp_extract_all(lower(text), '[a-zà-öø-ÿ]+')"
 _SOUND = "translate({}, 'àâäçèéêëîïôöùûüñáíóú', 'aaaceeeeiioouuunaiou')"
 

@@ -1,3 +1,4 @@
+import json
 import random
 import re
 import time
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from speechmill.functions import numeric, text
-from speechmill.operators import ranked, records, series
+from speechmill.operators import checks, ranked, records, series
 
 
 def one(spark, values, make):
@@ -176,3 +177,17 @@ def test_status(spark):
     df = spark.createDataFrame([("", 80.0, 30.0, True), ("x", 5.0, 30.0, True), ("x", 0.5, 30.0, True)], "t string, s double, n double, f boolean")
     first, every = records.status(F.col("t"), F.col("s"), F.col("n"), F.col("f"))
     assert [(r[0], r[1]) for r in df.select(first, every).collect()] == [("no_text", ["no_text", "over_hard_limit"]), ("ready", []), ("too_short", ["too_short"])]
+
+
+def test_sung_transcripts(spark):
+    words = [
+        {"word": "b", "start_time": 0.5, "end_time": 1.0, "breathy": ["0", "1"]}, {"word": "愛", "start_time": 0.0, "end_time": 0.5, "breathy": "x"}, {"word": "人", "start_time": 1.0, "end_time": 1.5, "breathy": ["1"], "mix": []},
+        {"word": "go", "start_time": 2.0, "end_time": 2.5, "mix": ["true"], "vibrato": ["1"]}, {"word": "", "start_time": 3.0}, {"word": "on", "start_time": 2.51, "end_time": 2.51, "mix": ["1"]}, {"word": "x", "start_time": 2.505, "end_time": 3.0, "mix": ["1.0"]},
+    ]
+    for w in words:
+        w["breathy"] = w.get("breathy") if isinstance(w.get("breathy"), list) else None
+    rows = spark.createDataFrame([(1, json.dumps(words)), (2, "no json"), (3, None), (4, "[]")], "k int, j string")
+    sung = checks.sung_words(rows, "k", "j")
+    assert {r.k: r.t for r in sung.select("k", checks.sung_text(F.col("words")).alias("t")).collect()} == {1: "愛 b 人 go x on", 2: "", 3: "", 4: ""}
+    got = sorted(map(tuple, checks.technique_intervals(sung, "k").collect()))
+    assert got == [(1, 0.5, 1.5, 3), (1, 2.0, 3.0, 1)]
