@@ -123,10 +123,14 @@ def pick_apart(pieces: DataFrame, most: int, tolerance: float = 0.05) -> DataFra
 def nearest_unused(wanted: DataFrame, there: DataFrame, within: float) -> DataFrame:
     """Each wanted time (item, seq, at), in order, with the nearest silence (item, start) not used yet within reach.
 
-    The candidates come from a range join; the greedy choice folds an item's candidates in order of the wants.
+    The candidates come from an equi-join on bins as wide as the reach: a silence stands in its bin and both beside
+    it, so only what is near meets. The greedy choice folds an item's candidates in order of the wants.
     """
-    near = wanted.join(there, (wanted["item"] == there["item"]) & (F.abs(there["start"] - wanted["at"]) <= within))
-    near = near.select(wanted["item"], "seq", F.abs(F.col("start") - F.col("at")).alias("apart"), "start")
+    bin_of = lambda at: F.floor(at / within)
+    asked = wanted.select("item", "seq", "at", bin_of(F.col("at")).alias("_bin"))
+    offered = there.select(F.col("item").alias("_of"), "start", F.explode(F.sequence(bin_of(F.col("start")) - 1, bin_of(F.col("start")) + 1)).alias("_near"))
+    near = asked.join(offered, (F.col("item") == F.col("_of")) & (F.col("_bin") == F.col("_near"))).filter(F.abs(F.col("start") - F.col("at")) <= within)
+    near = near.select("item", "seq", F.abs(F.col("start") - F.col("at")).alias("apart"), "start")
     series = near.groupBy("item", "seq").agg(F.array_sort(F.collect_list(F.struct("apart", "start"))).alias("c")).groupBy("item").agg(F.array_sort(F.collect_list(F.struct("seq", "c"))).alias("s"))
     none = F.array().cast("array<struct<seq:bigint,start:double>>")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ready_for_checkpoints
+
 
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("place") <= k)
@@ -29,20 +31,43 @@ def preference_pairs(rows: DataFrame, group: str, reward: str, index: str, margi
     return pairs.withColumn("margin", F.col("reward_chosen") - F.col("reward_rejected")).filter((F.col("margin") >= margin) & (F.col("chosen") != F.col("rejected")))
 
 
+#: Rows that one task puts in order.
+RANGE_ROWS = 500_000
+
+
+def placed(rows: DataFrame, group: list[str], order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``rows`` with place (from 1, in ``order``) and of (the group's rows), whatever share of all rows a group has.
+
+    Rows are dealt into sorted ranges of (group, order) and numbered in each; a range's numbers in a group go on from the
+    counts of the ranges before, which are a row for each range and group. Ranges come from sampled bounds, so they are
+    checkpointed before they are counted. Rows of equal group and order stay in one range.
+    """
+    ready_for_checkpoints(rows.sparkSession)
+    keys = [F.col(g) for g in group]
+    dealt = rows.repartitionByRange(max(1, -(-rows.count() // range_rows)), *keys, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    counts = dealt.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*group)
+    before = F.sum("_n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_range").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("of"))
+    numbers = dealt.withColumn("place", F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order)))
+    same = F.col("_range") == F.col("_at")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return numbers.join(counts, same).select(*rows.columns, (F.col("place") + F.col("_before")).alias("place"), "of")
+
+
 def split_rows(rows: DataFrame, group: list[str], key: Column, ratio: float, least: int, spare: int = 1) -> DataFrame:
     """Adds ``part``: of each group's rows in hash order, max(least, half-even round of n * ratio) are val; ``spare`` stay train."""
-    within = Window.partitionBy(*group)
-    n = F.count(F.lit(1)).over(within)
+    known = placed(rows.withColumns({"_hash": F.md5(key.cast("string")), "_key": key}), group, ["_hash", "_key"])
+    n = F.col("of")
     n_val = F.least(F.greatest(F.lit(least), F.bround(n * ratio).cast("int")), F.greatest(n - spare, F.lit(0)))
-    at = F.row_number().over(within.orderBy(F.md5(key.cast("string")), key))
-    return rows.withColumn("part", F.when(at <= n_val, "val").otherwise("train"))
+    return known.withColumn("part", F.when(F.col("place") <= n_val, "val").otherwise("train")).select(*rows.columns, "part")
 
 
 def highest_share(rows: DataFrame, group: str, value: str, index: str, share: float = 0.1) -> DataFrame:
-    """Adds ``held_out`` to each group's highest ``share`` by value, at least one row."""
-    within = Window.partitionBy(group)
-    most = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(within) * share))
-    return rows.withColumn("held_out", F.row_number().over(within.orderBy(F.desc(value), index)) <= most)
+    """Adds ``held_out`` to each group's highest ``share`` by value, at least one row; null values come last."""
+    known = placed(rows.withColumn("_low", -F.col(value)).withColumn("_none", F.col(value).isNull()), [group], ["_none", "_low", index])
+    return known.withColumn("held_out", F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("of") * share))).select(*rows.columns, "held_out")
 
 
 def balance_copies(rows: DataFrame, kind: str) -> DataFrame:

@@ -19,7 +19,10 @@ def workers_find_package(spark: SparkSession) -> SparkSession:
 
 
 def ready_for_checkpoints(spark: SparkSession) -> None:
-    """The context gets the session's ``spark.checkpoint.dir``; only a local session that names none gets a temporary one."""
+    """The context gets the session's ``spark.checkpoint.dir``; only a local session that names none gets a temporary one.
+
+    Checkpoints go when nothing refers to them any more, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,7 +33,7 @@ def ready_for_checkpoints(spark: SparkSession) -> None:
 
 def build(name: str = "speechmill", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """A session with the settings that the library's jobs are written for."""
-    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if master:
         builder = builder.master(master)
     if partitions:

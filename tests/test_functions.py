@@ -191,3 +191,21 @@ def test_sung_transcripts(spark):
     assert {r.k: r.t for r in sung.select("k", checks.sung_text(F.col("words")).alias("t")).collect()} == {1: "愛 b 人 go x on", 2: "", 3: "", 4: ""}
     got = sorted(map(tuple, checks.technique_intervals(sung, "k").collect()))
     assert got == [(1, 0.5, 1.5, 3), (1, 2.0, 3.0, 1)]
+
+
+def test_places_of_a_hot_group(spark):
+    draw = random.Random(3)
+    rows = [(i, "hot" if i % 3 == 0 else draw.choice(["a", "b", None]), draw.choice([1.0, 2.5, None, draw.random()])) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, g string, v double").repartition(4)
+    want = {}
+    for g in {r[1] for r in rows}:
+        mine = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is None, r[2] or 0, r[0]))
+        want |= {r[0]: (n, len(mine)) for n, r in enumerate(mine, 1)}
+    got = ranked.placed(df.withColumn("none", F.col("v").isNull()), ["g"], ["none", "v", "i"], range_rows=30)
+    assert {r.i: (r.place, r.of) for r in got.collect()} == want
+    held = {r.i for r in ranked.highest_share(df, "g", "v", "i", 0.1).filter("held_out").collect()}
+    best = set()
+    for g in {r[1] for r in rows}:
+        mine = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+        best |= {r[0] for r in mine[: max(1, len(mine) // 10)]}
+    assert held == best
