@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import spans, sql
+from ..functions import emotions, spans, sql
 from ..operators import checks, glossary, records, scans, segments, spectra, token_packing
 from .corpus import _t
 
@@ -158,6 +158,18 @@ def record_by_id(spark, sf_dir):
     return records.by_id(_t(spark, sf_dir, "documents"), "doc_id", top).select("doc_id", "lang", "n_chars")
 
 
+@_says("""
+    WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, value::DOUBLE AS v FROM events)
+    SELECT event_id, array_to_string(list_transform(CASE k % 5 WHEN 0 THEN [least(1.2, v / 50), 0, CASE WHEN k % 3 = 0 THEN 0 ELSE 0.5 END, 0, 0, CASE WHEN k % 3 = 0 THEN 0.5 ELSE 0 END, 0, 0]
+      WHEN 1 THEN [0, 1, 0, 0, 0, 0, 0, 0] WHEN 2 THEN [0.5, 0, 0, 0, 0, 0, 0.25, 0] WHEN 3 THEN [0, 0, 0, 1, 0, 0, 0, 0] ELSE [0, 0, 0, 0, 0, 0, 0, 1] END, lambda x: CAST(CAST(round(x::DOUBLE * 1000) AS BIGINT) AS VARCHAR)), ',') AS thousandths FROM e""")
+def emotion_scores(spark, sf_dir):
+    """Answers made of each event's numbers: JSON, a label under an alias, broken JSON, a bare label, nothing known."""
+    k, v = F.get_json_object("props", "$.k").cast("int"), F.col("value").cast("double")
+    answer = F.when(k % 5 == 0, F.concat(F.lit('{"高兴": '), (v / 50).cast("string"), F.lit(', "悲伤": 0.5}'))).when(k % 5 == 1, '{"emotion": "Angry"}').when(k % 5 == 2, '"高兴": 0.5, "惊讶": .25').when(k % 5 == 3, ' "afraid" ').otherwise('{"x": 3}')
+    scores = emotions.emotion_scores(answer, F.when(k % 3 == 0, "so Gloomy").otherwise("x"))
+    return _t(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(scores, lambda x: F.round(x * 1000).cast("bigint").cast("string")), ",").alias("thousandths"))
+
+
 _WORDS = "regexp_extract_all(lower(text), '[a-zà-öø-ÿ]+')"
 _SOUND = "translate({}, 'àâäçèéêëîïôöùûüñáíóú', 'aaaceeeeiioouuunaiou')"
 

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from speechmill.functions import spans, sql
+from speechmill.functions import emotions, spans, sql
 from speechmill.operators import token_packing as packing
 
 
@@ -107,3 +107,14 @@ def test_sql_functions(spark):
     got = spark.sql("SELECT speech_seconds(30) AS s, clamp(5, 0, 1) AS c, clamp(NULL, 0, 1) AS n, word_count('a  b\\nc') AS w, stable_seed(42, '7') AS k").first()
     assert (got.s, got.c, got.n, got.w) == (2.0, 1.0, None, 3) and 42 <= got.k < 100_042
     assert [tuple(r) for r in spark.sql("SELECT * FROM text_lines('a\\n\\n b')").collect()] == [(0, "a"), (2, " b")]
+
+
+def test_emotion_scores(spark):
+    cases = [
+        ('{"高兴": 2, "悲伤": -1}', "x", [1.2, 0, 0, 0, 0, 0, 0, 0]), ('{"label": " Sad "}', "x", [0, 0, 1, 0, 0, 0, 0, 0]), ('{"label": "sad", "高兴": 0.1}', "x", [0.1, 0, 0, 0, 0, 0, 0, 0]),
+        ('{"高兴": "angry"}', "x", [0, 1, 0, 0, 0, 0, 0, 0]), ('"恐惧"', "x", [0, 0, 0, 1, 0, 0, 0, 0]), ("happy", "x", [1, 0, 0, 0, 0, 0, 0, 0]), ('高兴": 0.5, "高兴": .25', "x", [0.25, 0, 0, 0, 0, 0, 0, 0]),
+        ('{"悲伤": 0.7}', "I feel GLOOMY", [0, 0, 0, 0, 0, 0.7, 0, 0]), ("[1]", "x", [0] * 7 + [1]), (None, None, [0] * 7 + [1]), ("", "x", [0] * 7 + [1]),
+    ]
+    df = spark.createDataFrame([(i, a, s) for i, (a, s, _) in enumerate(cases)], "i int, a string, s string")
+    got = df.select("i", emotions.emotion_scores(F.col("a"), F.col("s")).alias("v")).orderBy("i").collect()
+    assert [r.v for r in got] == [c[2] for c in cases]
