@@ -71,9 +71,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Deletes tables, and lets Spark delete the shuffle files of what they came from, which it does when its plans are collected."""
+        """Deletes tables, and releases what they came from."""
         for name in names:
             _delete(self.spark, f"{self.path}/{name}")
+        self.release()
+
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files behind tables that are written, which it does when their plans are collected."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 

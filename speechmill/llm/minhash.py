@@ -173,9 +173,11 @@ def _open_pairs(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch
     parity = [f"p{i}" for i in range(PARITY)]
     nodes = rows.groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n"))
     held = scratch.keep(sets.join(nodes, "node").select("node", "label", "n", "hashes", *[F.col("parity")[i].alias(w) for i, w in enumerate(parity)]), "open-sets")
+    scratch.release()
     shingles = held.select(F.explode("hashes").alias("hash"), "node", "label", "n")
     few = shingles.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= RARE)
     rare = scratch.keep(shingles.join(few, "hash"), "open-rare")
+    scratch.release()
     counts = rare.groupBy("node").agg(F.count_if(F.col("c") == 1).alias("alone"), F.count(F.lit(1)).alias("rare"))
     counts = held.select("node", "label", "n", *parity).join(counts, "node", "left").na.fill(0, ["alone", "rare"])
     counts = counts.select("node", "label", "n", *parity, (F.col("n") - F.col("alone")).alias("shared"), (F.col("n") - F.col("rare")).alias("frequent"))
@@ -209,16 +211,19 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     classes = signed.filter("n_shingles > 0").groupBy(F.col("high").alias("node"), "low").agg(F.min(row).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = scratch.keep(classes, "classes")
     bands = scratch.keep(_bands(classes), "bands")
+    scratch.release()
     wanted = bands.filter("once").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep._t").alias("_h"))
     bodies = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]) & (docs["_t"] == wanted["_h"])).select("node", "text")
     sets = bodies.mapInArrow(lambda b: _sets(b, width), "node long, hashes array<long>, parity array<long>")
     sets = scratch.keep(sets.groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("parity").alias("parity")), "sets")
+    scratch.release()
 
     labels = components(scratch.keep(_verified(scratch.keep(_leader_pairs(bands), "leader-pairs"), sets, percent), "leader-links"), scratch, "labels")
     rows = scratch.keep(_open_rows(bands, labels), "open-rows")
     scratch.drop("leader-pairs", "leader-links", "bands")
     if not rows.isEmpty():
         pairs = scratch.keep(_open_pairs(rows, sets, percent, scratch), "open-pairs")
+        scratch.drop("open-sets", "open-rare", "open-counts")
         links = scratch.keep(_verified(pairs, sets, percent).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "open-links")
         if not links.isEmpty():
             joined = components(links, scratch, "joined").select(F.col("node").alias("label"), F.col("label").alias("_to"))
@@ -228,7 +233,7 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
             labels = known.unionByName(alone)
     heads = classes.join(labels, "node", "left").select("node", "low", F.col("rep.doc_id").alias("first"), F.coalesce("label", "node").alias("label"))
     heads = scratch.keep(heads, "heads")
-    scratch.drop("classes", "sets", "open-rows", "open-sets", "open-rare", "open-counts", "open-pairs", "open-links")
+    scratch.drop("classes", "sets", "open-rows", "open-pairs", "open-links")
     return signed.drop("bands"), heads
 
 
