@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import total
+from ..functions.numeric import once, total
 
 
 def _doubles(wave: Column) -> Column:
@@ -27,22 +27,22 @@ def level(wave: Column) -> Column:
 def under_ceiling(wave: Column, ceiling_db: float = -1.0) -> Column:
     """The wave, made quieter if its peak is above the ceiling."""
     limit = 10 ** (ceiling_db / 20)
-    top = peak(wave)
-    return F.when(top > limit, F.transform(wave, lambda x: x * (limit / top))).otherwise(wave)
+    return once(wave, lambda w: once(peak(w), lambda top: F.when(top > limit, F.transform(w, lambda x: x * (limit / top))).otherwise(w)))
+
+
+def _gained(wave: Column, db: Column, ceiling_db: float) -> Column:
+    return once(F.pow(F.lit(10.0), db / 20), lambda gain: under_ceiling(F.transform(wave, lambda x: x.cast("double") * gain), ceiling_db))
 
 
 def anchored(wave: Column, low_db: float, high_db: float, gain_db: float, ceiling_db: float = -1.0) -> Column:
     """A wave moved by the anchor's gain, its own level first brought within bounds; silence stays as it is."""
-    now = level(wave)
-    gain = F.pow(F.lit(10.0), (F.least(F.greatest(now, F.lit(low_db)), F.lit(high_db)) + gain_db - now) / 20)
-    louder = under_ceiling(F.transform(wave, lambda x: x.cast("double") * gain), ceiling_db)
-    return F.when(now <= -100.0, _doubles(wave)).otherwise(louder)
+    moved = lambda now: _gained(wave, F.least(F.greatest(now, F.lit(low_db)), F.lit(high_db)) + gain_db - now, ceiling_db)
+    return once(level(wave), lambda now: F.when(now <= -100.0, _doubles(wave)).otherwise(moved(now)))
 
 
 def at_level(wave: Column, target_db: float, ceiling_db: float = -1.0) -> Column:
     """A wave at a root mean square, its peak under the ceiling."""
-    now = level(wave)
-    return F.when(now <= -120.0, _doubles(wave)).otherwise(under_ceiling(F.transform(wave, lambda x: x.cast("double") * F.pow(F.lit(10.0), (F.lit(target_db) - now) / 20)), ceiling_db))
+    return once(level(wave), lambda now: F.when(now <= -120.0, _doubles(wave)).otherwise(_gained(wave, F.lit(target_db) - now, ceiling_db)))
 
 
 def trimmed(wave: Column, loud: float, margin: int) -> Column:
@@ -61,7 +61,10 @@ def segment(wave: Column, first: int, end: int) -> Column:
 
 def crossfaded(a: Column, b: Column, overlap: int) -> Column:
     """b after a, ``overlap`` samples of both faded at equal power; joined without a fade where one is too short."""
-    a, b = _doubles(a), _doubles(b)
+    return once(_doubles(a), lambda a: once(_doubles(b), lambda b: _crossfaded(a, b, overlap)))
+
+
+def _crossfaded(a: Column, b: Column, overlap: int) -> Column:
     turn = lambda i: F.when(F.lit(overlap) > 1, i / F.lit(float(max(overlap - 1, 1)))).otherwise(0.0) * (math.pi / 2)
     mixed = F.transform(F.sequence(F.lit(0), F.lit(max(overlap - 1, 0))), lambda i: F.get(a, F.size(a) - overlap + i) * F.cos(turn(i)) + F.get(b, i) * F.sin(turn(i)))
     faded = F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - overlap, F.lit(0))), mixed, F.slice(b, F.lit(overlap + 1), F.greatest(F.size(b) - overlap, F.lit(0))))
@@ -170,9 +173,9 @@ def tear_and_bursts(frames: DataFrame, active: Column, tear: Column, burst: Colu
 def frame_levels(wave: Column, width: int, hop: int) -> Column:
     """Level in dB of each frame of ``width`` samples, ``hop`` apart, -200 at least; a shorter wave is filled with zeros."""
     filled = F.concat(_doubles(wave), F.array_repeat(F.lit(0.0), F.greatest(F.lit(width) - F.size(wave), F.lit(0))))
-    starts = F.sequence(F.lit(0), F.floor((F.size(filled) - width) / hop).cast("int"))
-    rms = lambda k: F.sqrt(F.aggregate(F.slice(filled, k * hop + 1, width), F.lit(0.0), lambda s, x: s + x * x) / width)
-    return F.transform(starts, lambda k: 20 * F.log10(F.greatest(rms(k), F.lit(1e-10))))
+    starts = lambda w: F.sequence(F.lit(0), F.floor((F.size(w) - width) / hop).cast("int"))
+    rms = lambda w, k: F.sqrt(F.aggregate(F.slice(w, k * hop + 1, width), F.lit(0.0), lambda s, x: s + x * x) / width)
+    return once(filled, lambda w: F.transform(starts(w), lambda k: 20 * F.log10(F.greatest(rms(w, k), F.lit(1e-10)))))
 
 
 def inhales(frames: DataFrame, shortest: int = 8, longest: int = 30, ahead: int = 15, most: int = 6) -> DataFrame:

@@ -1,6 +1,7 @@
 """Gates, waves and series repairs on hand-made rows: nulls, ends, short series."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +129,12 @@ def test_health_of_levels_and_waves(spark):
     told = {r.id: r for r in df.select("id", *waves.wave_health(F.col("w"))).collect()}
     assert (told[1].peak_dbfs, told[1].clip_ratio, told[1].dc_offset) == (0, 0.25, 0.125) and told[4].rms_dbfs == pytest.approx(-200)
     assert told[2].peak_dbfs is None and told[3].rms_dbfs is None and told[3].dc_offset is None
+
+
+def test_long_waves_are_moved_in_linear_time(spark):
+    wave = [math.sin(i / 5) / 2 for i in range(3000)]
+    level = 20 * math.log10(math.sqrt(sum(x * x for x in wave) / len(wave)))
+    begun = time.monotonic()
+    got = one(spark, waves.anchored(F.col("wave"), -30.0, -20.0, 5.0), wave=wave)[0]
+    assert got == pytest.approx([x * 10 ** ((-20.0 + 5.0 - level) / 20) for x in wave])
+    assert time.monotonic() - begun < 30
