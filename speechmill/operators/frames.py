@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import numeric
 from . import scans
 
 
@@ -82,12 +83,24 @@ def rms_dbfs(values: Column) -> Column:
     return F.when(rms < 1e-10, -120.0).otherwise(20 * F.log10(rms))
 
 
+def quantiles(frames: DataFrame, value: str, share: float) -> DataFrame:
+    """item, n, quantile of the item's values but nulls, from running counts of its distinct values; no item is held whole."""
+    counts = frames.filter(F.col(value).isNotNull()).groupBy("item", F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    item = Window.partitionBy("item")
+    counts = counts.withColumns({"_to": F.sum("_c").over(item.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("_c").over(item)})
+    at = (F.col("n") - 1) * F.lit(share)
+    reach = lambda k: F.min(F.when(F.col("_to") > k, F.col("_v")))
+    ends = counts.withColumn("_at", at).groupBy("item").agg(F.first("n").alias("n"), F.first("_at").alias("_at"), reach(F.floor("_at")).alias("_lo"), reach(F.ceil("_at")).alias("_hi"))
+    return ends.select("item", "n", numeric.between(F.col("_lo"), F.col("_hi"), F.col("_at") - F.floor("_at")).alias("quantile"))
+
+
 def pause_score(frames: DataFrame, level: str) -> DataFrame:
     """item, score 0 to 1 of the share of silence between the first and last loud frame: 1 from 5 to 20 percent.
 
     Silence is at most twice the 10th percentile. Items of fewer than 4 frames, or of fewer than 2 loud ones, score 0.5.
     """
-    quiet = frames.groupBy("item").agg(F.greatest(F.percentile(level, F.lit(0.1)) * 2, F.lit(1e-4)).alias("limit"), F.count(F.lit(1)).alias("n"))
+    known = frames.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    quiet = known.join(quantiles(frames, level, 0.1).drop("n"), "item", "left").select("item", "n", F.greatest(F.col("quantile") * 2, F.lit(1e-4)).alias("limit"))
     marked = frames.join(quiet, "item").withColumn("loud", F.col(level) > F.col("limit"))
     ends = marked.groupBy("item").agg(F.min(F.when(F.col("loud"), F.col("pos"))).alias("first"), F.max(F.when(F.col("loud"), F.col("pos"))).alias("last"), F.count_if("loud").alias("n_loud"), F.first("n").alias("n"))
     # All quiet frames less those before the first and after the last loud one.

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import once, total
+from ..functions.numeric import once, sorted_quantile, total
 
 
 def _doubles(wave: Column) -> Column:
@@ -206,7 +206,8 @@ def final_creak(frames: DataFrame, reach: int = 150, tail: int = 65, low: float
     """
     ends = frames.groupBy("item").agg(F.max("pos").alias("_end"))
     near = frames.join(ends, "item").withColumn("_back", F.col("_end") - F.col("pos")).filter(F.col("_back") < reach)
-    gates = near.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(floor_db), F.percentile("db", F.lit(0.6)) - below_db).alias("_gate"))
+    levels = near.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("db")).alias("_dbs"))  # ``reach`` of each item at most
+    gates = levels.select("item", "n", F.greatest(F.lit(floor_db), sorted_quantile(F.col("_dbs"), 0.6) - below_db).alias("_gate"))
     heard = near.join(gates, "item").filter((F.col("hz") > 0) & (F.col("db") > F.col("_gate")))
     medians = heard.groupBy("item").agg(F.percentile("hz", F.lit(0.5)).alias("_m"), F.count(F.lit(1)).alias("_n"))
     last = heard.filter(F.col("_back") < tail).join(medians, "item").groupBy("item").agg(

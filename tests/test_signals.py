@@ -1,6 +1,7 @@
 """Gates, waves and series repairs on hand-made rows: nulls, ends, short series."""
 
 import math
+import random
 import time
 
 import pytest
@@ -138,3 +139,28 @@ def test_long_waves_are_moved_in_linear_time(spark):
     got = one(spark, waves.anchored(F.col("wave"), -30.0, -20.0, 5.0), wave=wave)[0]
     assert got == pytest.approx([x * 10 ** ((-20.0 + 5.0 - level) / 20) for x in wave])
     assert time.monotonic() - begun < 30
+
+
+def test_long_waves_are_levelled_in_linear_time(spark):
+    wave = [math.sin(i / 5) / 2 for i in range(3000)]
+    level = 20 * math.log10(math.sqrt(sum(x * x for x in wave) / len(wave)))
+    begun = time.monotonic()
+    loud = one(spark, waves.at_level(F.col("wave"), -1.0), wave=wave)[0]
+    assert max(map(abs, loud)) == pytest.approx(10 ** (-1 / 20))
+    assert one(spark, waves.at_level(F.col("wave"), -20.0), wave=wave)[0] == pytest.approx([x * 10 ** ((-20.0 - level) / 20) for x in wave])
+    assert time.monotonic() - begun < 30
+
+
+def test_ties_with_a_quantile_fall_as_in_sql(spark):
+    """The 60th percentile between 8.94 and 10.89, less 24 dB, is -13.89 and a last bit; a frame at -13.89 is heard."""
+    hz_db = [(100.0, v) for v in (20.0, 21.0, 22.0, 23.0)] + [(55.0, 58.94 - 50), (55.0, 10.89), (50.0, -13.89)] + [(100.0, -40.0)] * 5
+    rows = spark.createDataFrame([(1, i, hz, db) for i, (hz, db) in enumerate(hz_db)], "item int, pos int, hz double, db double")
+    assert waves.final_creak(rows).first().score == 0.225
+    draw = random.Random(5)
+    series = [(k, i, round(draw.uniform(0, 100), 2)) for k in range(300) for i in range(draw.randint(1, 30))]
+    got = {r["item"]: (r.n, r.quantile) for r in frames.quantiles(spark.createDataFrame(series, "item int, pos int, v double"), "v", 0.1).collect()}
+    for k in range(300):
+        values = sorted(v for item, _, v in series if item == k)
+        at = (len(values) - 1) * 0.1
+        low, high, d = values[math.floor(at)], values[math.ceil(at)], at - math.floor(at)
+        assert got[k] == (len(values), math.fma(low, 1 - d, high * d) if d else low)
