@@ -164,3 +164,11 @@ def test_ties_with_a_quantile_fall_as_in_sql(spark):
         at = (len(values) - 1) * 0.1
         low, high, d = values[math.floor(at)], values[math.ceil(at)], at - math.floor(at)
         assert got[k] == (len(values), math.fma(low, 1 - d, high * d) if d else low)
+
+
+def test_addresses_that_differ_by_a_slash_are_two_pages(spark, tmp_path):
+    from speechmill.plans import signals
+
+    pages = [(1, "http://a.org/x/", "short"), (2, "http://a.org/x", "long" * 600), (3, "http://a.org//x", "short"), (4, None, "long" * 600), (5, "http://a.org/y/", "long" * 600), (6, "http://a.org/y/", "short"), (7, ".", "long" * 600)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r.page_id for r in signals.path_conflicts(spark, str(tmp_path)).collect()) == [2, 5, 6, 7]
