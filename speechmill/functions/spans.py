@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numeric import once
+
 MASK = "\ue000"
 # Names with a middle dot, terms with hyphens, addresses, and words with their pronunciation.
 NAME = "[一-鿿]+(?:[-·—][一-鿿]+){1,2}"
@@ -44,26 +46,25 @@ def masked(text: Column, patterns: tuple[str, ...] = PATTERNS) -> Column:
 
 def restored(text: Column, held: Column) -> Column:
     """A masked text with its spans back; null if masks were lost or doubled on the way."""
-    parts = F.split(text, MASK, -1)
-    whole = F.array_join(F.flatten(F.zip_with(parts, held, lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
-    return F.when(F.size(parts) == F.size(held) + 1, whole)
+    whole = lambda parts, h: F.array_join(F.flatten(F.zip_with(parts, h, lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
+    return once(held, lambda h: once(F.split(text, MASK, -1), lambda parts: F.when(F.size(parts) == F.size(h) + 1, whole(parts, h))))
 
 
 def annotated(text: Column) -> Column:
     """Words with their pronunciation as the pronunciation in upper case between tokens of the word's script; kana between spaces."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{MASK}|{ANNOTATION}"), F.lit(0))
+    words, sounds = (F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{MASK}|{ANNOTATION}"), F.lit(k)) for k in (1, 2))
 
-    def said(span: Column) -> Column:
-        word, sound = F.regexp_extract(span, ANNOTATION, 1), F.upper(F.regexp_extract(span, ANNOTATION, 2))
-        token = F.when(word.rlike(HAN), HAN_TOKEN).otherwise(LATIN_TOKEN)
-        return F.when(span == MASK, span).when(sound.rlike(KANA), F.concat(F.lit(" "), sound, F.lit(" "))).otherwise(F.concat(token, sound, token))
+    def said(word: Column, sound: Column) -> Column:
+        between = lambda token: F.concat(token, sound, token)
+        return F.when(word == "", MASK).when(sound.rlike(KANA), between(F.lit(" "))).when(word.rlike(HAN), between(F.lit(HAN_TOKEN))).otherwise(between(F.lit(LATIN_TOKEN)))
 
-    return restored(F.regexp_replace(F.coalesce(text, F.lit("")), f"{MASK}|{ANNOTATION}", MASK), F.transform(found, said))
+    return restored(F.regexp_replace(F.coalesce(text, F.lit("")), f"{MASK}|{ANNOTATION}", MASK), F.zip_with(words, sounds, lambda word, sound: once(F.upper(sound), lambda s: said(word, s))))
 
 
 def annotation_issues(text: Column, most_letters: int = 40) -> Column:
     """array<struct<span, issue>>: brackets with a bar that aren't whole annotations, and those without a word, a sound or with too long a sound."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"<[^<>]*\|[^<>]*>?"), F.lit(0))
+    found = F.filter(found, lambda s: ~s.rlike(rf"^<[A-Za-z]+\|[A-Za-z]{{1,{most_letters}}}>$"))  # plain ones, mostly all, have none of the issues
 
     def issue(span: Column) -> Column:
         word, sound = F.trim(F.regexp_extract(span, r"^<([^|]*)\|", 1)), F.trim(F.regexp_extract(span, r"\|([^>]*)", 1))
