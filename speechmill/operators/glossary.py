@@ -29,8 +29,8 @@ def similar_readings(heard: DataFrame, names: DataFrame, least: int = LEAST_LETT
     a = heard.select("heard").filter("heard <> ''").distinct()
     b = names.select("reading").filter("reading <> ''").distinct()
     exact = a.join(b, F.col("heard") == F.col("reading"))
-    long = b.filter(F.char_length("reading") >= least).select("reading", F.explode(_losses(F.col("reading"))).alias("_key"))
-    near = a.filter(F.char_length("heard") >= least - 1).select("heard", F.explode(_losses(F.col("heard"))).alias("_key")).join(long, "_key")
+    long = b.filter(F.char_length("reading") >= least).select("reading", F.explode_outer(_losses(F.col("reading"))).alias("_key"))
+    near = a.filter(F.char_length("heard") >= least - 1).select("heard", F.explode_outer(_losses(F.col("heard"))).alias("_key")).join(long, "_key")
     near = near.filter((F.col("heard") != F.col("reading")) & (F.levenshtein("heard", "reading", 1) == 1))
     return exact.unionByName(near.select("heard", "reading")).distinct()
 
@@ -41,7 +41,7 @@ def windows(segments: DataFrame, key: list[str], units: str, readings: str, widt
     one = lambda w: F.transform(F.sequence(F.lit(0), n - w), lambda i: F.struct(i.alias("pos"), F.lit(w).alias("width"), F.array_join(F.slice(units, i + 1, w), " ").alias("said"), F.array_join(F.slice(readings, i + 1, w), "").alias("heard")))
     empty = F.array().cast("array<struct<pos:int,width:int,said:string,heard:string>>")
     every = [F.when(n >= w, one(w)).otherwise(empty) for w in sorted({w for w in widths if w >= 2})]
-    return segments.select(*key, F.explode(F.concat(*every) if every else empty).alias("w")).select(*key, "w.*")
+    return segments.select(*key, F.explode_outer(F.concat(*every) if every else empty).alias("w")).filter("w is not null").select(*key, "w.*")  # an inner explode would be asked for its size before, by listing all twice more
 
 
 def matches(segments: DataFrame, key: list[str], units: str, readings: str, names: DataFrame, least: int = LEAST_LETTERS) -> DataFrame:
