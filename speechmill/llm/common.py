@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,16 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_parts(self, parts: Iterable[DataFrame], name: str) -> DataFrame:
+        """Writes the parts one after the other as one table; what led to one is released before the next."""
+        path, schema = f"{self.path}/{name}", None
+        for df in parts:
+            df.write.mode("append").parquet(path)
+            schema = df.schema
+            del df
+            self.release()
+        return self.spark.read.schema(schema).parquet(path)
+
     def drop(self, *names: str) -> None:
         """Deletes tables, and releases what they came from."""
         for name in names:
@@ -77,9 +88,13 @@ class Scratch:
         self.release()
 
     def release(self) -> None:
-        """Lets Spark delete the shuffle files behind tables that are written, which it does when their plans are collected."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Lets Spark delete the shuffle files behind tables that are written, which it does when their plans are collected.
+
+        The last job's plan outlives one collection, and with it the files of the table just written; so there are two.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
 
     def drop_all(self) -> None:
         _delete(self.spark, self.path)

@@ -37,6 +37,8 @@ from .common import LOWER, Scratch, slices, text_or_empty, utf8_values
 BANDS, BAND_ROWS, RING = 40, 6, 1 << 20
 #: A shingle is rare if so many classes have it at most; a set's parity has so many 64-bit words.
 RARE, PARITY = 32, 16
+#: Texts go to their classes in so many parts, one after the other, so that the disk holds one part of them at a time.
+PARTS = 4
 _P = np.uint64(0x9E3779B185EBCA87)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _ring: np.ndarray | None = None
@@ -147,12 +149,12 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(band, node, n, rep, weight, once) of the bands that several classes share. weight: how many classes share them."""
-    rows = classes.select(F.explode("bands").alias("band"), "node", "n", "rep")
+    """(band, node, weight, once) of the bands that several classes share. weight: how many classes share them."""
+    rows = classes.select(F.explode("bands").alias("band"), "node")
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     node = Window.partitionBy("node")  # a class has BANDS rows at most
     once = F.row_number().over(node.orderBy("band")) == 1
-    return rows.join(shared, "band").select("band", "node", "n", "rep", F.sum("size").over(node).alias("weight"), once.alias("once"))
+    return rows.join(shared, "band").select("band", "node", F.sum("size").over(node).alias("weight"), once.alias("once"))
 
 
 def _leader_pairs(bands: DataFrame) -> DataFrame:
@@ -162,19 +164,19 @@ def _leader_pairs(bands: DataFrame) -> DataFrame:
 
 
 def _open_rows(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, node, n, label, other) of bands that hold several labels. other: not of the band's main label."""
-    rows = bands.join(labels, "node", "left").select("band", "node", "n", "weight", F.coalesce("label", "node").alias("label"))
+    """(band, node, label, other) of bands that hold several labels. other: not of the band's main label."""
+    rows = bands.join(labels, "node", "left").select("band", "node", "weight", F.coalesce("label", "node").alias("label"))
     mixed = rows.groupBy("band").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max(F.struct("weight", "node", "label")).alias("_main")).filter("_lo < _hi")
-    return rows.join(mixed.select("band", F.col("_main.label").alias("_main")), "band").select("band", "node", "n", "label", (F.col("label") != F.col("_main")).alias("other"))
+    return rows.join(mixed.select("band", F.col("_main.label").alias("_main")), "band").select("band", "node", "label", (F.col("label") != F.col("_main")).alias("other"))
 
 
 def _open_pairs(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b, la, lb): the pairs of different labels in one band that may be similar enough."""
     parity = [f"p{i}" for i in range(PARITY)]
-    nodes = rows.groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n"))
-    held = scratch.keep(sets.join(nodes, "node").select("node", "label", "n", "hashes", *[F.col("parity")[i].alias(w) for i, w in enumerate(parity)]), "open-sets")
+    nodes = rows.groupBy("node").agg(F.first("label").alias("label"))
+    held = scratch.keep(sets.join(nodes, "node").select("node", "label", F.size("hashes").cast("bigint").alias("n"), "hashes", *[F.col("parity")[i].alias(w) for i, w in enumerate(parity)]), "open-sets")
     scratch.release()
-    shingles = held.select(F.explode("hashes").alias("hash"), "node", "label", "n")
+    shingles = held.select(F.explode("hashes").alias("hash"), "node")
     few = shingles.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= RARE)
     rare = scratch.keep(shingles.join(few, "hash"), "open-rare")
     scratch.release()
@@ -182,6 +184,7 @@ def _open_pairs(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch
     counts = held.select("node", "label", "n", *parity).join(counts, "node", "left").na.fill(0, ["alone", "rare"])
     counts = counts.select("node", "label", "n", *parity, (F.col("n") - F.col("alone")).alias("shared"), (F.col("n") - F.col("rare")).alias("frequent"))
     counts = scratch.keep(counts.filter(100 * F.col("shared") >= percent * F.col("n")), "open-counts")
+    scratch.drop("open-sets")
 
     def pairs(left: DataFrame, right: DataFrame, key: str, most: str) -> DataFrame:
         side = lambda df, k: df.select(key, *[F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "n", most, *parity)])
@@ -199,31 +202,42 @@ def _open_pairs(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch
     return pairs(banded.filter("other"), banded, "band", "frequent").unionByName(pairs(by_rare, by_rare, "hash", "shared")).distinct()
 
 
-def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` (doc_id, _t, text and long columns) with their classes, and (node, low, first, label) of each class.
+def _bodies(docs: DataFrame, wanted: DataFrame, width: int):
+    """(node, hashes, parity) of the classes in ``wanted`` (node, _id, _h), in PARTS parts by the rows that stand for them."""
+    for k in range(PARTS):
+        rows = docs.filter(F.pmod(F.xxhash64("doc_id", "_t"), F.lit(PARTS)) == k)
+        some = wanted.filter(F.pmod(F.xxhash64("_id", "_h"), F.lit(PARTS)) == k)
+        bodies = rows.join(some, rows["doc_id"].eqNullSafe(some["_id"]) & (rows["_t"] == some["_h"])).select("node", "text")
+        sets = bodies.mapInArrow(lambda b: _sets(b, width), "node long, hashes array<long>, parity array<long>")
+        yield sets.groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("parity").alias("parity"))
 
-    ``_t`` is a hash of the text. Both tables stay in the shared folder; what led to them is dropped.
+
+def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, Scratch]:
+    """The rows of ``docs`` (doc_id, _t, text and long columns) with their classes, (node, low, first, label) of each class, and where both are.
+
+    ``_t`` is a hash of the text. Both tables stay in the shared folder; what led to them is dropped, bands as soon as
+    those that several classes share are known.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     carried = ", ".join(f"{c} long" for c in docs.columns if c != "text")
     signed = scratch.keep(docs.mapInArrow(lambda b: _signed(b, width), f"{carried}, n_shingles long, high long, low long, bands array<long>"), "signed")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_t")
     classes = signed.filter("n_shingles > 0").groupBy(F.col("high").alias("node"), "low").agg(F.min(row).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = scratch.keep(classes, "classes")
-    bands = scratch.keep(_bands(classes), "bands")
-    scratch.release()
-    wanted = bands.filter("once").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep._t").alias("_h"))
-    bodies = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]) & (docs["_t"] == wanted["_h"])).select("node", "text")
-    sets = bodies.mapInArrow(lambda b: _sets(b, width), "node long, hashes array<long>, parity array<long>")
-    sets = scratch.keep(sets.groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("parity").alias("parity")), "sets")
-    scratch.release()
+    banded = scratch.keep(classes, "classes-bands")
+    signed = scratch.keep(signed.drop("bands"), "rows")
+    scratch.drop("signed")
+    bands = scratch.keep(_bands(banded), "bands")
+    classes = scratch.keep(banded.drop("bands"), "classes")
+    scratch.drop("classes-bands")
+    wanted = bands.filter("once").select("node").join(classes, "node").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep._t").alias("_h"))
+    sets = scratch.keep_parts(_bodies(docs, scratch.keep(wanted, "wanted"), width), "sets")
 
     labels = components(scratch.keep(_verified(scratch.keep(_leader_pairs(bands), "leader-pairs"), sets, percent), "leader-links"), scratch, "labels")
     rows = scratch.keep(_open_rows(bands, labels), "open-rows")
-    scratch.drop("leader-pairs", "leader-links", "bands")
+    scratch.drop("leader-pairs", "leader-links", "bands", "wanted")
     if not rows.isEmpty():
         pairs = scratch.keep(_open_pairs(rows, sets, percent, scratch), "open-pairs")
-        scratch.drop("open-sets", "open-rare", "open-counts")
+        scratch.drop("open-rare", "open-counts")
         links = scratch.keep(_verified(pairs, sets, percent).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "open-links")
         if not links.isEmpty():
             joined = components(links, scratch, "joined").select(F.col("node").alias("label"), F.col("label").alias("_to"))
@@ -234,13 +248,13 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     heads = classes.join(labels, "node", "left").select("node", "low", F.col("rep.doc_id").alias("first"), F.coalesce("label", "node").alias("label"))
     heads = scratch.keep(heads, "heads")
     scratch.drop("classes", "sets", "open-rows", "open-pairs", "open-links")
-    return signed.drop("bands"), heads
+    return signed, heads, scratch
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and the class of equal sets (high, low), for every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("_t"), text_or_empty().alias("text"))
-    signed, heads = _labelled(docs, width, percent)
+    signed, heads, _ = _labelled(docs, width, percent)
     least = heads.groupBy("label").agg(F.min("first").alias("component_id"))
     homes = heads.join(least, "label").select(F.col("node").alias("high"), "low", "component_id")
     rows = signed.filter("n_shingles > 0").join(homes, ["high", "low"])
@@ -256,12 +270,13 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     by their columns as JSON. Only the latter are brought together as whole rows, and combined before they are shuffled.
     """
     key = {"_id": F.col("doc_id").cast("bigint"), "_t": F.xxhash64(text_or_empty()), "_u": F.xxhash64(F.lit(1), text_or_empty())}
-    signed, heads = _labelled(docs.select(key["_id"].alias("doc_id"), key["_t"].alias("_t"), key["_u"].alias("_u"), text_or_empty().alias("text")), width, percent)
+    signed, heads, labelled = _labelled(docs.select(key["_id"].alias("doc_id"), key["_t"].alias("_t"), key["_u"].alias("_u"), text_or_empty().alias("text")), width, percent)
     scratch = Scratch(docs.sparkSession, "minhash-rows")
     rows = signed.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), "_t", "_u", "high", "low").agg(F.count(F.lit(1)).alias("_n"))
     rows = rows.join(heads.select(F.col("node").alias("high"), "low", "label"), ["high", "low"]).select("label", F.col("_id").isNull().alias("_null"), "_id", "_t", "_u", "_n")
     rows = scratch.keep(rows, "rows")
     least = scratch.keep(rows.groupBy("label").agg(F.min(F.struct("_null", "_id", "_t", "_u", "_n")).alias("s")).select("label", "s.*"), "least")
+    labelled.drop_all()
     several = least.filter("_n > 1")
 
     def same(left, right: DataFrame):
@@ -269,7 +284,8 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     first = least.select("label", F.struct("_id", "_t", "_u").alias("_first"), F.col("_n").alias("_m"))
     aside = rows.join(first, "label").filter((F.struct("_id", "_t", "_u") != F.col("_first")) | (F.col("_m") > 1))
-    aside = aside.select("_id", "_t", "_u")
+    aside = scratch.keep(aside.select("_id", "_t", "_u"), "aside")  # written, so that the join below knows its size
+    scratch.drop("rows")
     stay = docs.join(aside, same(key, aside), "left_anti")
     if several.isEmpty():
         return stay

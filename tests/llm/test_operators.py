@@ -8,6 +8,8 @@ import time
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -272,6 +274,41 @@ def test_pipeline_keeps_one_row_of_each_component(spark, odd, none):
     assert minhash.one_of_each(none).count() == 0
 
 
+def test_near_dedup_keeps_little_on_disk(spark, monkeypatch):
+    tables, names, folders = {}, [], set()
+    keep = Scratch.keep
+
+    def watched(self, df, name):
+        out, folder = keep(self, df, name), Path(urlparse(self.path).path)
+        names.append(name)
+        folders.add(folder)
+        tables[name] = {p.name for p in folder.iterdir()}
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", watched)
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(i, f"{text} e{i // 2}") for i in range(40)] + [(99, "alone")], "doc_id long, text string")
+    kept = minhash.one_of_each(docs)
+    # Bands are gone before texts are read again, and the search's tables before all rows are joined.
+    assert not {"signed", "classes-bands"} & tables["leader-pairs"]
+    assert {p.name for folder in folders if folder.exists() for p in folder.iterdir()} == {"least", "aside"}
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 99]
+
+
+def test_release_deletes_the_last_shuffle(spark):
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {p for folder in local for p in Path(folder).rglob("shuffle_*")}
+    scratch, before = Scratch(spark, "test"), files()
+    scratch.keep(spark.range(1000).repartition(3, "id"), "rows")
+    new = files() - before
+    assert new
+    scratch.release()
+    for _ in range(50):
+        if new & files():
+            time.sleep(0.1)
+    assert not new & files()
+
+
 def test_op6(spark, tmp_path):
     counts = {"w": F.regexp_count("text", F.lit(r"\S+"))}
     ledger = rollup.TokenRollup(spark, f"file://{tmp_path}/r", counts)
