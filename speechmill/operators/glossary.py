@@ -6,53 +6,250 @@ as a name has, or one more or less, is the name if their readings are equal, or,
 with all names, both list what they become by losing one letter: readings that are one edit apart share one of these,
 so an equi-join on them finds every pair, and a comparison of the pair confirms it. So the glossary may have any size.
 
+What a reading becomes is a 64-bit key, worked out in Arrow batches from sums over its letters. Windows are listed within
+a batch, and only those go on that have a key which a name may have, as a bitmap of the names' keys tells (a Bloom filter).
+So what is shuffled grows with the windows near a name, not with all windows and their letters; the bitmap has
+``KEY_BITS`` bits for each key and ``MOST_BITS`` at most, beyond which more windows go on and the result stays the same.
+
 Distinct readings are joined, not windows, so a phrase that a third of all texts hold is compared once. In each segment
 the first match counts, by the names' order, then the window of the name's own size, one longer, one shorter, then by place.
+As a window isn't replaced by what it says itself, two names for each reading are enough to find it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_LETTERS = 6
+KEY_BITS, MOST_BITS = 32, 1 << 28
+# Bits of a block of the bitmap (as bitmap_or_agg takes them), bytes of text and lost letters that are worked on at once.
+BLOCK, TEXT, LOSSES = 1 << 15, 1 << 20, 1 << 18
+_BASE = 0x9E3779B97F4A7C15
+_PROBES = tuple(map(np.uint64, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)))
+_SHORT = np.uint64(0xA0761D6478BD642F)  # sets keys of names too short for an edit apart from the others
+
+
+def _codes() -> np.ndarray:
+    """A number for each byte."""
+    x = np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)
+    x = (x ^ (x >> np.uint64(30))) * _PROBES[0]
+    x = (x ^ (x >> np.uint64(27))) * _PROBES[1]
+    return x ^ (x >> np.uint64(31))
+
+
+_CODES = _codes()
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64."""
+    up, down = (np.full(n, b, dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+class _Letters:
+    """Strings side by side (UTF-8): keys of runs of their letters, and of such runs less one letter."""
+
+    def __init__(self, data: np.ndarray):
+        first = (data & 0xC0) != 0x80
+        up, self.down = _powers(max(TEXT, 1 << len(data).bit_length()) + 1)
+        self.at = np.append(np.flatnonzero(first), len(data))  # a letter's first byte
+        self.number = np.concatenate([[0], np.cumsum(first)])  # letters before a byte
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[data] * up[: len(data)])])
+
+    def whole(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        a = self.at[start]
+        return (self.sums[self.at[end]] - self.sums[a]) * self.down[a]
+
+    def less_one(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each letter of each run: which run, and its key without the letter."""
+        size = end - start
+        run = np.repeat(np.arange(len(size)), size)
+        letter = np.arange(len(run)) + (start - np.cumsum(size) + size)[run]
+        a, x, y = self.at[start][run], self.at[letter], self.at[letter + 1]
+        return run, ((self.sums[x] - self.sums[a]) + (self.sums[self.at[end]][run] - self.sums[y]) * self.down[y - x]) * self.down[a]
+
+    def keys(self, start: np.ndarray, end: np.ndarray, least: int, named: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pieces of (which run, key) for runs that are names' readings, or else are heard."""
+        size, whole = end - start, self.whole(start, end)
+        short, long = np.flatnonzero(size < least), np.flatnonzero(size >= least)
+        yield short, whole[short] ^ _SHORT
+        near = long if named else np.flatnonzero(size >= least - 1)
+        yield near, whole[near]
+        ends = np.cumsum(size[long])
+        for part in np.split(long, np.searchsorted(ends, np.arange(LOSSES, ends[-1], LOSSES)) if len(long) else []):
+            run, key = self.less_one(start[part], end[part])
+            yield part[run], key
+
+
+def _strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the strings and where each begins and ends; a null is empty."""
+    column = column.cast(pa.large_string()).fill_null("")
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
+
+
+def _parts(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows some of which have about ``TEXT`` bytes together. ends: 0 bytes in, then each row's end."""
+    at = 0
+    while at < len(ends) - 1:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + TEXT, side="right")) - 1)
+        yield at, to
+        at = to
+
+
+def _gathered(rows: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+    """Lists for n rows. rows: of each value, in order."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32()), values)
+
+
+def _listed(pieces: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Array:
+    run, key = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    order = np.argsort(run, kind="stable")
+    return _gathered(run[order], n, pa.array(key[order].view(np.int64)))
+
+
+def _string_keys(column: pa.Array, least: int, named: bool) -> Iterator[pa.Array]:
+    data, at = _strings(column)
+    for i, j in _parts(at):
+        letters = _Letters(data[at[i] : at[j]])
+        ends = letters.number[at[i : j + 1] - at[i]]
+        yield _listed(list(letters.keys(ends[:-1], ends[1:], least, named)), j - i)
 
 
-def _losses(reading: Column) -> Column:
-    """A reading and what it becomes by losing one letter."""
-    cut = lambda i: F.concat(F.substring(reading, F.lit(1), i), F.substring(reading, i + 2, F.char_length(reading)))
-    return F.array_distinct(F.concat(F.array(reading), F.transform(F.sequence(F.lit(0), F.char_length(reading) - 1), cut)))
+def _keys(reading: str, least: int, named: bool) -> Column:
+    """Keys of readings, each once."""
+
+    @F.arrow_udf("array<bigint>")
+    def keys(column: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], pa.list_(pa.int64())), *_string_keys(column, least, named)])
+
+    return F.array_distinct(keys(reading))
+
+
+def _places(keys: np.ndarray, probe: np.uint64, bits: int) -> np.ndarray:
+    return ((keys * probe) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+
+
+def _may_have(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys may be names'."""
+    there = np.arange(len(keys))
+    for probe in _PROBES:
+        at = _places(keys[there], probe, 8 * len(bitmap))
+        there = there[(bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
+    return there
+
+
+def _bitmap(names: DataFrame, keys: int, least: int) -> np.ndarray:
+    """A bitmap of the readings' keys, made where they are and put together block by block. keys: about how many."""
+    bits = min(MOST_BITS, max(BLOCK, 1 << (keys * KEY_BITS).bit_length()))
+
+    def marked(batches):
+        bitmap = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for lists in _string_keys(batch.column(0), least, True):
+                own = lists.values.to_numpy().view(np.uint64)
+                for probe in _PROBES:
+                    at = _places(own, probe, bits)
+                    np.bitwise_or.at(bitmap, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        blocks = bitmap.reshape(-1, BLOCK // 8)
+        full = np.flatnonzero(blocks.any(axis=1))
+        for k in range(0, len(full), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(full[k : k + 64], pa.int64()), pa.array([blocks[i].tobytes() for i in full[k : k + 64]], pa.binary())], ["block", "bits"])
+
+    blocks = names.select("reading").mapInArrow(marked, "block long, bits binary").groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits"))
+    bitmap = np.zeros((bits // BLOCK, BLOCK // 8), np.uint8)
+    for r in blocks.collect():  # MOST_BITS at most
+        bitmap[r.block] = np.frombuffer(r.bits, np.uint8)
+    return bitmap.ravel()
+
+
+def _alike(heard: DataFrame, names: DataFrame, least: int) -> DataFrame:
+    """Distinct rows of ``heard`` and the readings of ``names``, equal or one edit apart. heard: heard, _key and more."""
+    b = names.select("reading").filter("reading <> ''").distinct()
+    b = b.select("reading", F.explode_outer(_keys("reading", least, True)).alias("_key"))
+    near = (F.col("heard") == F.col("reading")) | (F.char_length("reading") >= least) & (F.levenshtein("heard", "reading", 1) == 1)
+    return heard.join(b, "_key").filter(near).drop("_key").distinct()
 
 
 def similar_readings(heard: DataFrame, names: DataFrame, least: int = LEAST_LETTERS) -> DataFrame:
     """Distinct (heard, reading) of the columns of that name, equal or one edit apart where ``reading`` has ``least`` letters."""
     a = heard.select("heard").filter("heard <> ''").distinct()
-    b = names.select("reading").filter("reading <> ''").distinct()
-    exact = a.join(b, F.col("heard") == F.col("reading"))
-    long = b.filter(F.char_length("reading") >= least).select("reading", F.explode_outer(_losses(F.col("reading"))).alias("_key"))
-    near = a.filter(F.char_length("heard") >= least - 1).select("heard", F.explode_outer(_losses(F.col("heard"))).alias("_key")).join(long, "_key")
-    near = near.filter((F.col("heard") != F.col("reading")) & (F.levenshtein("heard", "reading", 1) == 1))
-    return exact.unionByName(near.select("heard", "reading")).distinct()
+    return _alike(a.select("heard", F.explode_outer(_keys("heard", least, False)).alias("_key")), names, least)
+
+
+def windows(segments: DataFrame, key: list[str], units: str, readings: str, sizes: list[tuple[int, int, int]], bitmap: np.ndarray, least: int = LEAST_LETTERS) -> DataFrame:
+    """``key``, pos (from 0), width, said (units side by side), heard (their readings), keys: every run of two units or more that may be near a name.
+
+    sizes: (units, letters, how often) of the names. keys: those of the run that names may have.
+    """
+    fits = {}  # by a window's width, whether there are names of its letters
+    for n, letters, _ in sizes:
+        for width in range(max(n - 1, 2), n + 2):
+            fits.setdefault(width, set()).update((letters - 1, letters, letters + 1) if letters >= least else (letters,))
+    fits = {w: np.array(sorted(x)) for w, x in sorted(fits.items())}
+    told = segments.sparkSession.sparkContext.broadcast(bitmap)
+
+    def near(lists: pa.Array, data: np.ndarray, at: np.ndarray) -> pa.Array:
+        first = lists.offsets.to_numpy()
+        first, at = first - first[0], at[first[0] : first[-1] + 1]
+        letters = _Letters(data[at[0] : at[-1]])
+        ends, row = letters.number[at - at[0]], np.repeat(np.arange(len(lists)), np.diff(first))
+        found = []
+        for width, lengths in fits.items():
+            unit = np.flatnonzero(np.arange(len(row)) + width <= first[1:][row])
+            unit = unit[np.isin(ends[unit + width] - ends[unit], lengths)]
+            pieces = [(run[may], key[may]) for run, key in letters.keys(ends[unit], ends[unit + width], least, False) for may in [_may_have(told.value, key)]]
+            run, key = (np.concatenate(x) for x in zip(*pieces, strict=True))
+            found.append((row[unit[run]], unit[run], np.full(len(run), width), key))
+        line, unit, width, key = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((width, unit))
+        line, unit, width, key = line[order], unit[order], width[order], key[order]
+        new = np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]) | (width[1:] != width[:-1]))[: len(unit)])
+        keys = pa.ListArray.from_arrays(pa.array(np.append(new, len(key)), pa.int32()), pa.array(key.view(np.int64)))
+        runs = pa.StructArray.from_arrays([pa.array(unit[new] - first[line[new]], pa.int32()), pa.array(width[new], pa.int32()), keys], ["pos", "width", "keys"])
+        return _gathered(line[new], len(lists), runs)
 
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("width", pa.int32()), ("keys", pa.list_(pa.int64()))]))
 
-def windows(segments: DataFrame, key: list[str], units: str, readings: str, widths: list[int]) -> DataFrame:
-    """``key``, pos (from 0), width, said (units side by side), heard (their readings): every run of so many units, two or more."""
-    n = F.size(units)
-    one = lambda w: F.transform(F.sequence(F.lit(0), n - w), lambda i: F.struct(i.alias("pos"), F.lit(w).alias("width"), F.array_join(F.slice(units, i + 1, w), " ").alias("said"), F.array_join(F.slice(readings, i + 1, w), "").alias("heard")))
-    empty = F.array().cast("array<struct<pos:int,width:int,said:string,heard:string>>")
-    every = [F.when(n >= w, one(w)).otherwise(empty) for w in sorted({w for w in widths if w >= 2})]
-    return segments.select(*key, F.explode_outer(F.concat(*every) if every else empty).alias("w")).filter("w is not null").select(*key, "w.*")  # an inner explode would be asked for its size before, by listing all twice more
+    @F.arrow_udf("array<struct<pos:int,width:int,keys:array<bigint>>>")
+    def found(lists: pa.Array) -> pa.Array:
+        data, at = _strings(lists.values)
+        return pa.concat_arrays([pa.array([], kind), *(near(lists[i:j], data, at) for i, j in _parts(at[lists.offsets.to_numpy()]))])
+
+    if not fits:
+        return segments.limit(0).select(*key, *(F.lit(None).cast(t).alias(n) for n, t in (("pos", "int"), ("width", "int"), ("said", "string"), ("heard", "string"), ("keys", "array<bigint>"))))
+    runs = segments.select(*key, units, readings, F.explode_outer(found(readings)).alias("w")).filter("w is not null")  # an inner explode would be asked for its size before, by listing all twice more
+    part = lambda c, by: F.array_join(F.slice(c, F.col("w.pos") + 1, F.col("w.width")), by)
+    return runs.select(*key, "w.pos", "w.width", part(units, " ").alias("said"), part(readings, "").alias("heard"), "w.keys").filter("heard <> ''")
+
+
+def _offers(near: DataFrame, names: DataFrame) -> DataFrame:
+    """heard, width, name, place, rank: the first two names for each window, as one of them may be what it says. near: heard, width, reading."""
+    first = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*(c for c in ("place", "rank") if c in df.columns), "name"))).filter("_n <= 2").drop("_n")
+    some = first(names.groupBy("name", "reading", "n").agg(F.min("place").alias("place")), "reading", "n")
+    rank = F.when(F.col("width") == F.col("n"), 0).when(F.col("width") > F.col("n"), 1).otherwise(2)
+    fit = near.join(some, "reading").filter(F.abs(F.col("width") - F.col("n")) <= 1).withColumn("rank", rank)
+    fit = fit.groupBy("heard", "width", "name").agg(F.min(F.struct("place", "rank")).alias("at")).select("heard", "width", "name", "at.*")
+    return first(fit, "heard", "width")
 
 
 def matches(segments: DataFrame, key: list[str], units: str, readings: str, names: DataFrame, least: int = LEAST_LETTERS) -> DataFrame:
     """The match of each segment that has one: ``key``, pos, width, said, name. names: place, name (units joined by spaces), reading, n (units)."""
-    sizes = [r.n for r in names.select("n").distinct().collect()]  # lengths of names, a few numbers
-    found = windows(segments, key, units, readings, [n + d for n in sizes for d in (-1, 0, 1)])
-    similar = similar_readings(found, names, least)
-    offers = names.join(similar, "reading").select("place", "name", "n", "heard")
-    hit = found.join(offers, (found["heard"] == offers["heard"]) & (F.abs(found["width"] - offers["n"]) <= 1) & (found["said"] != offers["name"]))
-    rank = F.when(F.col("width") == F.col("n"), 0).when(F.col("width") > F.col("n"), 1).otherwise(2)
-    first = F.min_by(F.struct("pos", "width", "said", "name"), F.struct(F.col("place"), rank.alias("rank"), F.col("pos")))
+    sizes = [tuple(r) for r in names.groupBy("n", F.char_length("reading").alias("letters")).count().collect()]  # lengths of names, a few numbers
+    bitmap = _bitmap(names, sum(m * (k + 1 if k >= least else 1) for _, k, m in sizes), least)
+    found = windows(segments, key, units, readings, sizes, bitmap, least)
+    near = _alike(found.select("heard", "width", F.explode_outer("keys").alias("_key")).distinct(), names, least)
+    hit = found.join(_offers(near, names), ["heard", "width"]).filter(F.col("said") != F.col("name"))
+    first = F.min_by(F.struct("pos", "width", "said", "name"), F.struct("place", "rank", "pos", "name"))
     return hit.groupBy(*key).agg(first.alias("m")).select(*key, "m.*")
 
 

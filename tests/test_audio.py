@@ -120,6 +120,64 @@ def test_one_edit_apart(spark):
     assert {tuple(r) for r in got.select("heard", "reading").collect()} == want and got.count() == len(want)
 
 
+def _shuffled(spark, query) -> tuple[list, int]:
+    """Rows of a query that hasn't run yet, and the records that its stages shuffle."""
+    context = spark.sparkContext
+    new = lambda: context._jvm.java.util.ArrayList()
+    stages = lambda: context._jsc.sc().statusStore().stageList(new(), False, False, context._gateway.new_array(context._jvm.double, 0), new())
+    before = max([-1, *(stages().apply(i).stageId() for i in range(stages().size()))])
+    rows = [tuple(r) for r in query.collect()]
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    after = stages()
+    return rows, sum(x.shuffleWriteRecords() for x in map(after.apply, range(after.size())) if x.stageId() > before)
+
+
+def test_only_windows_near_a_name_are_shuffled(spark):
+    draw = random.Random(5)
+    lines = [(i, ["".join(draw.choice("abcdefghij") for _ in range(7)) for _ in range(40)]) for i in range(100)]
+    lines += [(100, ["xyzxyz", "xyyxyz", "a"]), (101, ["ab", "xyzxyz", "xyzxyz"])]
+    text = spark.createDataFrame(lines, "i int, u array<string>").withColumn("r", F.col("u"))
+    names = glossary.glossary(spark.createDataFrame([(1, ["xyzxyz", "xyzxyz"])], "at int, u array<string>"), F.col("u"), F.col("u"), "at")
+    rows, records = _shuffled(spark, glossary.matches(text, ["i"], "u", "r", names))
+    assert rows == [(100, 0, 2, "xyzxyz xyyxyz", "xyzxyz xyzxyz")] and 0 < records < 100  # of 7,700 windows
+
+
+def test_matches_as_all_windows_by_all_names(spark):
+    draw = random.Random(8)
+    sound = str.maketrans("áéôß", "aeoo")
+    words = ["".join(draw.choice("abáéôß") for _ in range(draw.randint(0, 4))) for _ in range(40)]
+    lines = [(i, None if i == 7 else [draw.choice(words) for _ in range(draw.randint(0, 9))]) for i in range(150)]
+    listed = [(i, [draw.choice(words) for _ in range(draw.randint(1, 4))]) for i in range(30)]
+    listed += [(30 + i, u[j : j + 3]) for i, (u, j) in enumerate((lines[k][1], draw.randint(0, 3)) for k in range(10, 40)) if u]  # said in a line, and of the same reading
+    listed += [(60 + i, [w.replace("á", "a") for w in u]) for i, u in listed[30:]]
+    names = {}
+    for at, u in listed:
+        if "".join(u):
+            names.setdefault(" ".join(u), (at, len(u), "".join(u).translate(sound)))
+
+    def near(a, b):
+        k = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        return a == b or len(b) >= 6 and (a[k + 1 :] == b[k + 1 :] or a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:])
+
+    want = set()
+    for i, u in lines:
+        found = []
+        for name, (at, n, reading) in names.items():
+            for rank, w in enumerate((n, n + 1, n - 1)):
+                for pos in range(len(u or []) - w + 1 if w >= 2 else 0):
+                    said, heard = " ".join(u[pos : pos + w]), "".join(u[pos : pos + w]).translate(sound)
+                    if heard and said != name and near(heard, reading):
+                        found.append((at, rank, pos, w, said, name))
+        want |= {(i, *min(found)[2:])} if found else set()
+    assert len(want) > 50
+    read = lambda u: F.transform(u, lambda x: F.translate(x, "áéôß", "aeoo"))
+    text = spark.createDataFrame(lines, "i int, u array<string>").repartition(3)
+    table = glossary.glossary(spark.createDataFrame(listed, "at int, u array<string>"), F.col("u"), read(F.col("u")), "at")
+    got = glossary.matches(text.withColumn("r", read(F.col("u"))), ["i"], "u", "r", table)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert glossary.matches(text.withColumn("r", read(F.col("u"))), ["i"], "u", "r", table.limit(0)).collect() == []
+
+
 def test_glossary_replaces_the_first_match(spark):
     text = spark.createDataFrame([(1, list("哈提西亚对他说")), (2, list("卡提希娅来了")), (3, list("好"))], "i int, u array<string>")
     sounds = {"哈": "ka", "卡": "ka", "提": "ti", "西": "xi", "希": "xi", "亚": "ya", "娅": "ya"}
