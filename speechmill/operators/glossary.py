@@ -13,7 +13,9 @@ So what is shuffled grows with the windows near a name, not with all windows and
 
 Distinct readings are joined, not windows, so a phrase that a third of all texts hold is compared once. In each segment
 the first match counts, by the names' order, then the window of the name's own size, one longer, one shorter, then by place.
-As a window isn't replaced by what it says itself, two names for each reading are enough to find it.
+As a window isn't replaced by what it says itself, two names for each reading are enough to find it. Up to ``MOST_OFFERS``
+of these are given to all tasks, which look up their windows (by 128 bits of hash) and send on each segment's first match;
+beyond that the windows near a name are joined with them.
 """
 
 from __future__ import annotations
@@ -23,14 +25,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_LETTERS = 6
-KEY_BITS, MOST_BITS = 32, 1 << 28
+KEY_BITS, MOST_BITS, MOST_OFFERS = 32, 1 << 28, 1 << 22
 # Bits of a block of the bitmap (as bitmap_or_agg takes them), bytes of text and lost letters that are worked on at once.
 BLOCK, TEXT, LOSSES = 1 << 15, 1 << 20, 1 << 18
-_BASE = 0x9E3779B97F4A7C15
+_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _PROBES = tuple(map(np.uint64, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)))
 _SHORT = np.uint64(0xA0761D6478BD642F)  # sets keys of names too short for an edit apart from the others
 
@@ -46,10 +49,10 @@ def _codes() -> np.ndarray:
 _CODES = _codes()
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=4)
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2^64."""
-    up, down = (np.full(n, b, dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    up, down = (np.full(n, b, dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
@@ -57,9 +60,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class _Letters:
     """Strings side by side (UTF-8): keys of runs of their letters, and of such runs less one letter."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, base: int = _BASE):
         first = (data & 0xC0) != 0x80
-        up, self.down = _powers(max(TEXT, 1 << len(data).bit_length()) + 1)
+        up, self.down = _powers(max(TEXT, 1 << len(data).bit_length()) + 1, base)
         self.at = np.append(np.flatnonzero(first), len(data))  # a letter's first byte
         self.number = np.concatenate([[0], np.cumsum(first)])  # letters before a byte
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[data] * up[: len(data)])])
@@ -117,6 +120,17 @@ def _listed(pieces: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Array:
     return _gathered(run[order], n, pa.array(key[order].view(np.int64)))
 
 
+def _whole_keys(column: pa.Array, base: int = _BASE) -> np.ndarray:
+    """A key of each string."""
+    data, at = _strings(column)
+    found = [np.zeros(0, np.uint64)]
+    for i, j in _parts(at):
+        letters = _Letters(data[at[i] : at[j]], base)
+        ends = letters.number[at[i : j + 1] - at[i]]
+        found.append(letters.whole(ends[:-1], ends[1:]))
+    return np.concatenate(found)
+
+
 def _string_keys(column: pa.Array, least: int, named: bool) -> Iterator[pa.Array]:
     data, at = _strings(column)
     for i, j in _parts(at):
@@ -139,6 +153,16 @@ def _places(keys: np.ndarray, probe: np.uint64, bits: int) -> np.ndarray:
     return ((keys * probe) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
 
 
+def _mark(bitmap: np.ndarray, keys: np.ndarray) -> None:
+    for probe in _PROBES:
+        at = _places(keys, probe, 8 * len(bitmap))
+        np.bitwise_or.at(bitmap, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+
+
+def _bits(keys: int) -> int:
+    return min(MOST_BITS, max(BLOCK, 1 << (keys * KEY_BITS).bit_length()))
+
+
 def _may_have(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the keys may be names'."""
     there = np.arange(len(keys))
@@ -150,16 +174,13 @@ def _may_have(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _bitmap(names: DataFrame, keys: int, least: int) -> np.ndarray:
     """A bitmap of the readings' keys, made where they are and put together block by block. keys: about how many."""
-    bits = min(MOST_BITS, max(BLOCK, 1 << (keys * KEY_BITS).bit_length()))
+    bits = _bits(keys)
 
     def marked(batches):
         bitmap = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for lists in _string_keys(batch.column(0), least, True):
-                own = lists.values.to_numpy().view(np.uint64)
-                for probe in _PROBES:
-                    at = _places(own, probe, bits)
-                    np.bitwise_or.at(bitmap, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+                _mark(bitmap, lists.values.to_numpy().view(np.uint64))
         blocks = bitmap.reshape(-1, BLOCK // 8)
         full = np.flatnonzero(blocks.any(axis=1))
         for k in range(0, len(full), 64):
@@ -186,37 +207,58 @@ def similar_readings(heard: DataFrame, names: DataFrame, least: int = LEAST_LETT
     return _alike(a.select("heard", F.explode_outer(_keys("heard", least, False)).alias("_key")), names, least)
 
 
-def windows(segments: DataFrame, key: list[str], units: str, readings: str, sizes: list[tuple[int, int, int]], bitmap: np.ndarray, least: int = LEAST_LETTERS) -> DataFrame:
-    """``key``, pos (from 0), width, said (units side by side), heard (their readings), keys: every run of two units or more that may be near a name.
+class _Lines:
+    """Segments' readings side by side, and their runs of units. data, at: as ``_strings`` tells the lists' values."""
 
-    sizes: (units, letters, how often) of the names. keys: those of the run that names may have.
-    """
-    fits = {}  # by a window's width, whether there are names of its letters
+    def __init__(self, lists: pa.Array, data: np.ndarray, at: np.ndarray):
+        first = lists.offsets.to_numpy()
+        self.first, at = first - first[0], at[first[0] : first[-1] + 1]
+        self.data = data[at[0] : at[-1]]
+        self.letters = _Letters(self.data)
+        self.ends = self.letters.number[at - at[0]]
+        self.row = np.repeat(np.arange(len(lists)), np.diff(first))
+
+    def runs(self, width: int, lengths: np.ndarray) -> np.ndarray:
+        """The first units of runs within a segment that have one of these lengths."""
+        unit = np.flatnonzero(np.arange(len(self.row)) + width <= self.first[1:][self.row])
+        return unit[np.isin(self.ends[unit + width] - self.ends[unit], lengths)]
+
+
+def _fits(sizes: list[tuple[int, int, int]], least: int) -> dict[int, np.ndarray]:
+    """Widths of windows that some name may have, and their numbers of letters. sizes: (units, letters, how often) of the names."""
+    fits = {}
     for n, letters, _ in sizes:
         for width in range(max(n - 1, 2), n + 2):
             fits.setdefault(width, set()).update((letters - 1, letters, letters + 1) if letters >= least else (letters,))
-    fits = {w: np.array(sorted(x)) for w, x in sorted(fits.items())}
+    return {w: np.array(sorted(x - {0, -1})) for w, x in sorted(fits.items())}
+
+
+def _part(units: str, by: str) -> Column:
+    return F.array_join(F.slice(units, F.col("w.pos") + 1, F.col("w.width")), by)
+
+
+def windows(segments: DataFrame, key: list[str], units: str, readings: str, fits: dict[int, np.ndarray], bitmap: np.ndarray, least: int = LEAST_LETTERS) -> DataFrame:
+    """``key``, pos (from 0), width, said (units side by side), heard (their readings), keys: every run of two units or more that may be near a name.
+
+    keys: those of the run that names may have.
+    """
     told = segments.sparkSession.sparkContext.broadcast(bitmap)
 
     def near(lists: pa.Array, data: np.ndarray, at: np.ndarray) -> pa.Array:
-        first = lists.offsets.to_numpy()
-        first, at = first - first[0], at[first[0] : first[-1] + 1]
-        letters = _Letters(data[at[0] : at[-1]])
-        ends, row = letters.number[at - at[0]], np.repeat(np.arange(len(lists)), np.diff(first))
-        found = []
+        lines, found = _Lines(lists, data, at), []
         for width, lengths in fits.items():
-            unit = np.flatnonzero(np.arange(len(row)) + width <= first[1:][row])
-            unit = unit[np.isin(ends[unit + width] - ends[unit], lengths)]
-            pieces = [(run[may], key[may]) for run, key in letters.keys(ends[unit], ends[unit + width], least, False) for may in [_may_have(told.value, key)]]
+            unit = lines.runs(width, lengths)
+            pieces = [(run[may], key[may]) for run, key in lines.letters.keys(lines.ends[unit], lines.ends[unit + width], least, False) for may in [_may_have(told.value, key)]]
             run, key = (np.concatenate(x) for x in zip(*pieces, strict=True))
-            found.append((row[unit[run]], unit[run], np.full(len(run), width), key))
-        line, unit, width, key = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.append((unit[run], np.full(len(run), width), key))
+        unit, width, key = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((width, unit))
-        line, unit, width, key = line[order], unit[order], width[order], key[order]
+        unit, width, key = unit[order], width[order], key[order]
         new = np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]) | (width[1:] != width[:-1]))[: len(unit)])
+        line = lines.row[unit[new]]
         keys = pa.ListArray.from_arrays(pa.array(np.append(new, len(key)), pa.int32()), pa.array(key.view(np.int64)))
-        runs = pa.StructArray.from_arrays([pa.array(unit[new] - first[line[new]], pa.int32()), pa.array(width[new], pa.int32()), keys], ["pos", "width", "keys"])
-        return _gathered(line[new], len(lists), runs)
+        runs = pa.StructArray.from_arrays([pa.array(unit[new] - lines.first[line], pa.int32()), pa.array(width[new], pa.int32()), keys], ["pos", "width", "keys"])
+        return _gathered(line, len(lists), runs)
 
     kind = pa.list_(pa.struct([("pos", pa.int32()), ("width", pa.int32()), ("keys", pa.list_(pa.int64()))]))
 
@@ -225,11 +267,8 @@ def windows(segments: DataFrame, key: list[str], units: str, readings: str, size
         data, at = _strings(lists.values)
         return pa.concat_arrays([pa.array([], kind), *(near(lists[i:j], data, at) for i, j in _parts(at[lists.offsets.to_numpy()]))])
 
-    if not fits:
-        return segments.limit(0).select(*key, *(F.lit(None).cast(t).alias(n) for n, t in (("pos", "int"), ("width", "int"), ("said", "string"), ("heard", "string"), ("keys", "array<bigint>"))))
     runs = segments.select(*key, units, readings, F.explode_outer(found(readings)).alias("w")).filter("w is not null")  # an inner explode would be asked for its size before, by listing all twice more
-    part = lambda c, by: F.array_join(F.slice(c, F.col("w.pos") + 1, F.col("w.width")), by)
-    return runs.select(*key, "w.pos", "w.width", part(units, " ").alias("said"), part(readings, "").alias("heard"), "w.keys").filter("heard <> ''")
+    return runs.select(*key, "w.pos", "w.width", _part(units, " ").alias("said"), _part(readings, "").alias("heard"), "w.keys")
 
 
 def _offers(near: DataFrame, names: DataFrame) -> DataFrame:
@@ -242,14 +281,93 @@ def _offers(near: DataFrame, names: DataFrame) -> DataFrame:
     return first(fit, "heard", "width")
 
 
-def matches(segments: DataFrame, key: list[str], units: str, readings: str, names: DataFrame, least: int = LEAST_LETTERS) -> DataFrame:
+class _Offers:
+    """Offers in order of their windows' keys, then of place and rank: a window's first and perhaps second one."""
+
+    def __init__(self, table: pa.Table):
+        named = pc.unique(table["name"])
+        self.names = named.take(pc.sort_indices(named))
+        place = pc.unique(table["place"])
+        place = place.take(pc.array_sort_indices(place, null_placement="at_start"))
+        order = pc.index_in(table["place"], value_set=place).to_numpy() * 3 + table["rank"].to_numpy()
+        self.own = _whole_keys(self.names)
+        key, check = (self.key(_whole_keys(table["heard"].combine_chunks(), base), table["width"].to_numpy()) for base in (_BASE, _OTHER))
+        by = np.lexsort((order, key))
+        self.keys, self.checks, self.order, self.name = key[by], check[by], order[by], pc.index_in(table["name"], value_set=self.names).to_numpy()[by]
+        self.bitmap = np.zeros(_bits(len(key)) // 8, np.uint8)
+        _mark(self.bitmap, key)
+
+    @staticmethod
+    def key(heard: np.ndarray, width: np.ndarray | int) -> np.ndarray:
+        return (heard + np.atleast_1d(width).astype(np.uint64) * _PROBES[2]) * _PROBES[3]
+
+    def plain(self) -> bool:
+        """Whether each key is one window's."""
+        same = self.keys[1:] == self.keys[:-1]
+        return not (same[1:] & same[:-1]).any() and not (same & (self.checks[1:] != self.checks[:-1])).any()
+
+    def find(self, key: np.ndarray, check: np.ndarray, said: np.ndarray) -> np.ndarray:
+        """The offer for each window by its number, or -1."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        there = (self.keys[at] == key) & (self.checks[at] == check)
+        other = there & (self.own[self.name[at]] == said)
+        after = np.minimum(at + 1, len(self.keys) - 1)
+        there &= ~other | (after > at) & (self.keys[after] == key)
+        return np.where(there, np.where(other, after, at), -1)
+
+
+def _first_hits(segments: DataFrame, key: list[str], units: str, readings: str, fits: dict[int, np.ndarray], offers: _Offers) -> DataFrame:
+    """``key``, pos, width, said, name, at (order of place and rank): the first match of each row that has one."""
+    told = segments.sparkSession.sparkContext.broadcast(offers)
+
+    def first(lists: pa.Array, data: np.ndarray, at: np.ndarray, spoken: pa.Array, words: np.ndarray, word: np.ndarray) -> pa.Array:
+        offers, lines, said = told.value, _Lines(lists, data, at), _Lines(spoken, words, word)
+        other, found = _Letters(lines.data, _OTHER), []
+        for width, lengths in fits.items():
+            unit = lines.runs(width, lengths)
+            keys = offers.key(lines.letters.whole(lines.ends[unit], lines.ends[unit + width]), width)
+            may = _may_have(offers.bitmap, keys)
+            unit, keys = unit[may], keys[may]
+            row = lines.row[unit]
+            pos = unit - lines.first[row]
+            a, z = (said.ends[np.minimum(said.first[row] + pos + w, said.first[row + 1])] for w in (0, width))
+            offer = offers.find(keys, offers.key(other.whole(lines.ends[unit], lines.ends[unit + width]), width), said.letters.whole(a, np.maximum(z - 1, a)))
+            hit = offer >= 0
+            found.append((row[hit], pos[hit], np.full(hit.sum(), width), offer[hit]))
+        row, pos, width, offer = (np.concatenate(x) for x in zip(*found, strict=True))
+        order, name = offers.order[offer], offers.name[offer]
+        by = np.lexsort((name, pos, order, row))
+        by = by[np.append(True, np.diff(row[by]) > 0)[: len(by)]]
+        runs = [pa.array(pos[by], pa.int32()), pa.array(width[by], pa.int32()), offers.names.take(pa.array(name[by])).cast(pa.string()), pa.array(order[by], pa.int64())]
+        return _gathered(row[by], len(lists), pa.StructArray.from_arrays(runs, ["pos", "width", "name", "at"]))
+
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("width", pa.int32()), ("name", pa.string()), ("at", pa.int64())]))
+
+    @F.arrow_udf("array<struct<pos:int,width:int,name:string,at:bigint>>")
+    def found(lists: pa.Array, spoken: pa.Array) -> pa.Array:
+        (data, at), (words, word) = _strings(lists.values), _strings(spoken.values)
+        return pa.concat_arrays([pa.array([], kind), *(first(lists[i:j], data, at, spoken[i:j], words, word) for i, j in _parts(at[lists.offsets.to_numpy()]))])
+
+    spoken = F.transform(units, lambda u: F.concat(u, F.lit(" ")))
+    runs = segments.select(*key, units, F.explode_outer(found(readings, spoken)).alias("w")).filter("w is not null")
+    return runs.select(*key, "w.pos", "w.width", _part(units, " ").alias("said"), "w.name", "w.at")
+
+
+def matches(segments: DataFrame, key: list[str], units: str, readings: str, names: DataFrame, least: int = LEAST_LETTERS, most_offers: int = MOST_OFFERS) -> DataFrame:
     """The match of each segment that has one: ``key``, pos, width, said, name. names: place, name (units joined by spaces), reading, n (units)."""
     sizes = [tuple(r) for r in names.groupBy("n", F.char_length("reading").alias("letters")).count().collect()]  # lengths of names, a few numbers
-    bitmap = _bitmap(names, sum(m * (k + 1 if k >= least else 1) for _, k, m in sizes), least)
-    found = windows(segments, key, units, readings, sizes, bitmap, least)
+    fits = _fits(sizes, least)
+    found = windows(segments, key, units, readings, fits, _bitmap(names, sum(m * (k + 1 if k >= least else 1) for _, k, m in sizes), least), least)
     near = _alike(found.select("heard", "width", F.explode_outer("keys").alias("_key")).distinct(), names, least)
-    hit = found.join(_offers(near, names), ["heard", "width"]).filter(F.col("said") != F.col("name"))
-    first = F.min_by(F.struct("pos", "width", "said", "name"), F.struct("place", "rank", "pos", "name"))
+    offers = _offers(near, names)
+    some = offers.limit(most_offers + 1).toArrow() if fits else ()
+    listed = _Offers(some) if 0 < len(some) <= most_offers else None
+    if listed is not None and listed.plain():
+        hit, at = _first_hits(segments, key, units, readings, fits, listed), ["at", "pos", "name"]
+    else:
+        hit, at = found.join(offers, ["heard", "width"]).filter(F.col("said") != F.col("name")), ["place", "rank", "pos", "name"]
+        hit = hit if len(some) else hit.limit(0)
+    first = F.min_by(F.struct("pos", "width", "said", "name"), F.struct(*at))
     return hit.groupBy(*key).agg(first.alias("m")).select(*key, "m.*")
 
 

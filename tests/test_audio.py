@@ -173,8 +173,9 @@ def test_matches_as_all_windows_by_all_names(spark):
     read = lambda u: F.transform(u, lambda x: F.translate(x, "áéôß", "aeoo"))
     text = spark.createDataFrame(lines, "i int, u array<string>").repartition(3)
     table = glossary.glossary(spark.createDataFrame(listed, "at int, u array<string>"), F.col("u"), read(F.col("u")), "at")
-    got = glossary.matches(text.withColumn("r", read(F.col("u"))), ["i"], "u", "r", table)
-    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    for most in (glossary.MOST_OFFERS, 5):  # looked up, and joined
+        got = glossary.matches(text.withColumn("r", read(F.col("u"))), ["i"], "u", "r", table, most_offers=most)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert glossary.matches(text.withColumn("r", read(F.col("u"))), ["i"], "u", "r", table.limit(0)).collect() == []
 
 
