@@ -164,7 +164,7 @@ def _bits(keys: int) -> int:
 
 
 def _may_have(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which of the keys may be names'."""
+    """Which of the keys may be marked."""
     there = np.arange(len(keys))
     for probe in _PROBES:
         at = _places(keys[there], probe, 8 * len(bitmap))
@@ -361,12 +361,13 @@ def matches(segments: DataFrame, key: list[str], units: str, readings: str, name
     near = _alike(found.select("heard", "width", F.explode_outer("keys").alias("_key")).distinct(), names, least)
     offers = _offers(near, names)
     some = offers.limit(most_offers + 1).toArrow() if fits else ()
-    listed = _Offers(some) if 0 < len(some) <= most_offers else None
+    listed, none = _Offers(some) if 0 < len(some) <= most_offers else None, not len(some)
+    del some
     if listed is not None and listed.plain():
         hit, at = _first_hits(segments, key, units, readings, fits, listed), ["at", "pos", "name"]
     else:
         hit, at = found.join(offers, ["heard", "width"]).filter(F.col("said") != F.col("name")), ["place", "rank", "pos", "name"]
-        hit = hit if len(some) else hit.limit(0)
+        hit = hit.limit(0) if none else hit
     first = F.min_by(F.struct("pos", "width", "said", "name"), F.struct(*at))
     return hit.groupBy(*key).agg(first.alias("m")).select(*key, "m.*")
 
